@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerlake.llm.tables import table
 
+#: Where the public vocabularies lie; every executor has them there.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def piece_model() -> str:
+    return f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kmerlake.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kmerlake.llm.linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "cut_lines")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kmerlake.llm.fertility import text_quality
+
+    return text_quality(table(spark, sf_dir, "documents"), piece_model())
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kmerlake.llm.decontam import scan_benchmark
+
+    found = scan_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_line_dedup": op2_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
