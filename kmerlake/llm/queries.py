@@ -36,6 +36,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kmerlake.llm.spm import encode
+
+    found = encode(table(spark, sf_dir, "documents"), piece_model())
+    return found.select("doc_id", "n_tokens", F.xxhash64("token_ids").alias("ids_hash"), "parity", "round_trip")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kmerlake.llm.decontam import scan_benchmark
 
@@ -48,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
