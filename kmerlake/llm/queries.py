@@ -30,12 +30,24 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "cut_lines")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kmerlake.llm.secrets import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kmerlake.llm.fertility import text_quality
 
     return text_quality(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kmerlake.llm.pii import personal_data_report
+
+    return personal_data_report(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kmerlake.llm.spm import encode
 
@@ -54,7 +66,9 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_personal_data": op7_personal_data,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
