@@ -36,6 +36,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kmerlake.llm.qda import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kmerlake.llm.fertility import text_quality
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op7_personal_data": op7_personal_data,
     "op8_sentencepiece": op8_sentencepiece,
