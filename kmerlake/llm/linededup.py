@@ -28,13 +28,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from kmerlake.llm.tables import cut
+from kmerlake.llm.tables import bounded, cut
 
 _MASK = (1 << 64) - 1
 _SIGN = 1 << 63
 
 
-def line_chunks(text: str, window: int = 2, divisor: int = 4, long_words: int = 24) -> list[tuple[int, int, bool]]:
+def line_chunks(text: str, window: int = 2, divisor: int = 3, long_words: int = 16) -> list[tuple[int, int, bool]]:
     """(first line, end line, whether it counts) of each chunk."""
     lines = text.encode().split(b"\n")
     words = [len(x.split()) for x in lines]
@@ -97,14 +97,14 @@ def _texts(docs: DataFrame, firsts: DataFrame, **how) -> DataFrame:
     return joined.mapInArrow(rows, "hash long, first_text string").groupBy("hash").agg(F.min("first_text").alias("first_text"))
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 4, long_words: int = 24, drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, long_words: int = 16, drop_emptied: bool = False) -> DataFrame:
     """The input's rows and columns with repeated chunks cut out of ``text``, and
     ``cut_lines``, the number of lines removed (null where text is null).
 
     With ``drop_emptied`` rows that lose all their lines are left out.
     """
     how = {"window": window, "divisor": divisor, "long_words": long_words}
-    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    keyed = bounded(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     chunks = cut(_chunk_rows(keyed, **how))
     repeated = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("seq").alias("seq"))).alias("first")).where("n > 1")
     repeated = cut(repeated.select("hash", F.col("first.doc").alias("first_doc"), F.col("first.seq").alias("seq")))
