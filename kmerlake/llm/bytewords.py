@@ -64,7 +64,7 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each; a longer text is a slice of its own."""
     _, at = buffer_of(batch.column(text))
     first = 0
@@ -72,6 +72,7 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = 2 << 20) -> I
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1)
         yield batch.slice(first, last - first)
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 class Words:

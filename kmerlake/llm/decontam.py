@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kmerlake.llm.bytewords import LOWER, NONALNUM, Words, pieces
+from kmerlake.llm.tables import bounded
 
 _PLAIN = bytes(0x20 if NONALNUM[LOWER[b]] else int(LOWER[b]) for b in range(256))
 _SPAN = "array<struct<start:bigint,end:bigint>>"
@@ -99,7 +100,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     spans (runs of hit words as character positions of the original text, end exclusive)."""
     schema = "doc_id long, text string, n_words long, hit array<long>, items array<long>"
     names = ["doc_id", "text", "n_words", "hit", "items"]
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hit"), F.array().cast("array<long>").alias("items"))
+    out = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hit"), F.array().cast("array<long>").alias("items"))
     for block in item_blocks(benchmark, block_chars):
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 8_000_000) -> DataFrame:
     """The documents in which no window of any item occurs, columns unchanged."""
-    out = docs
+    out = bounded(docs)
     for block in item_blocks(benchmark, block_chars):
 
         def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kmerlake.llm.bytewords import SPACE, U64, Words, mix, pieces
+from kmerlake.llm.tables import bounded
 
 #: Script to (least, most characters per token; most byte-fallback share; least
 #: entropy of the tokens in bits as a share of what its token count allows).
@@ -160,7 +161,7 @@ def text_quality(docs: DataFrame, model_file: str, bands: dict = BANDS) -> DataF
                 got = meter.measure(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(got[n], {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in FIELDS)], ["doc_id", *(n for n, _ in FIELDS)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {t}" for n, t in FIELDS))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {t}" for n, t in FIELDS))
 
 
 def keep_quality(docs: DataFrame, model_file: str, bands: dict = BANDS) -> DataFrame:
@@ -172,4 +173,4 @@ def keep_quality(docs: DataFrame, model_file: str, bands: dict = BANDS) -> DataF
             for piece in pieces(batch):
                 yield piece.filter(pa.array(meter.measure(piece.column("text"))["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kmerlake.llm.bytewords import SPACE, U64, Words, fingerprint, mix, pieces
-from kmerlake.llm.tables import cut, per_piece, runs
+from kmerlake.llm.tables import bounded, cut, per_piece, runs
 
 _EMPTY = U64(0xA0761D6478BD642F)
 
@@ -300,6 +300,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block
     ``block_sets`` and ``block_members`` bound what one task holds of a block;
     larger blocks are cut, none is dropped.
     """
+    bounded(docs)
     sized = cut(document_sets(docs, width))
     nodes = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     met = cut(candidate_blocks(docs, width, percent))

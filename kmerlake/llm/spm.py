@@ -6,13 +6,14 @@ and byte fallback.  A unigram model becomes a Unigram model with its scores.  A
 BPE model gets its merges from the pieces: each split of a piece into two pieces
 is a merge, ranked by the score of the whole.
 
-Texts are encoded in batches by the library's own threads.  Pieces never join
-across the start of a marker run (checked when the model is read), so a text is
-cut there and the library's word cache works; the same fact makes parity
-checkable by segment: each distinct segment of a task is also encoded by the
-SentencePiece library, and a text agrees when all its segments do.  A text with
-a segment that differs is encoded by the SentencePiece library as a whole, so
-ids always are SentencePiece's.
+Pieces never join across the start of a run of markers (checked when the model is
+read), so a text's ids are those of its segments, one after another.  Each task
+encodes a distinct segment once, in batches on the library's own threads, and
+holds it against the SentencePiece library and against its own decoding.  A text
+agrees when all its segments do; a text with one that differs is encoded by the
+SentencePiece library as a whole, so ids always are SentencePiece's.  A model
+whose pieces do cross, or whose normaliser does more than mark spaces, has its
+texts encoded, checked and decoded whole.
 
 Null text gives null ids; empty text gives none.  ``round_trip`` says whether
 decoding gives the text back (a text that holds the marker U+2581 itself cannot).
@@ -21,14 +22,18 @@ No shuffle; each input row gives one output row.
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kmerlake.llm.bytewords import pieces
+from kmerlake.llm.tables import bounded
 
 _MARK = "▁"
 _SEGMENT = re.compile("▁+[^▁]*|[^▁]+")
@@ -95,16 +100,20 @@ class Model:
                     found.append((-score, i, usable[a][1], usable[b][1], a, b))
         return [(a, b) for *_, a, b in sorted(found)]
 
-    def tokenizer(self):
-        """The same model in the tokenizers library."""
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    def library_model(self, **options):
+        """The pieces alone in the tokenizers library."""
+        from tokenizers import models
 
         if self.kind == _BPE:
             vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
-            model = models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
-        else:
-            model = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=self.unknown, byte_fallback=self.byte_fallback)
-        out = Tokenizer(model)
+            return models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback, **options)
+        return models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=self.unknown, byte_fallback=self.byte_fallback)
+
+    def tokenizer(self):
+        """The whole of it: normaliser, cuts before runs of markers, pieces, decoder."""
+        from tokenizers import Regex, Tokenizer, decoders, normalizers, pre_tokenizers
+
+        out = Tokenizer(self.library_model())
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
             steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip(left=True, right=True)]
@@ -123,50 +132,74 @@ class Model:
 class Codec:
     """Encodes and decodes batches and holds each against the SentencePiece library."""
 
-    def __init__(self, model_file: str, most_segments: int = 300_000):
+    def __init__(self, model_file: str, most_segments: int = 300_000, threads: int = 1):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         from sentencepiece import SentencePieceProcessor
 
         with open(model_file, "rb") as f:
             self.model = Model(f.read())
         self.tokenizer, self.native = self.model.tokenizer(), SentencePieceProcessor(model_file=model_file)
         self.plain = not self.model.crosses and not self.model.charsmap and not self.model.squeeze and self.model.prefix and self.model.escape
-        self.most, self.agreed, self.good = most_segments, {}, set()
-
-    def _agrees(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        if not self.plain:
-            return [a == b for a, b in zip(ids, self.native.encode(texts, num_threads=1))]
-        cuts = [self._segments(t) for t in texts]
-        if len(self.agreed) > self.most:
-            self.agreed, self.good = {}, set()
-        fresh = [s for s in set().union(*cuts) if s not in self.agreed]
-        if fresh:
-            # Both libraries put one marker before a text, which is a segment's first.
-            ours = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            for segment, ids_, want in zip(fresh, ours, self.native.encode(fresh, num_threads=1)):
-                self.agreed[segment] = ids_ == want
-                if ids_ == want:
-                    self.good.add(segment)
-        return [c <= self.good for c in cuts]
+        if self.plain:
+            from tokenizers import Tokenizer
+
+            self.segment_tokenizer = Tokenizer(self.model.library_model(**({"cache_capacity": 0} if self.model.kind == _BPE else {})))
+        self.most = most_segments
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[str, list[int]] = {}
+        self.odd: set[str] = set()  # segments on which the libraries differ
+        self.lossy: set[str] = set()  # segments that do not decode to themselves
+
+    def _both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[str]]:
+        """SentencePiece's ids of each text, ours, and what ours decode to."""
+        if self.plain:  # segments, marked here; the library's word cache would be of no use to distinct ones
+            got = self.segment_tokenizer.encode_batch_fast([_MARK + t.replace(" ", _MARK) for t in texts], add_special_tokens=False)
+        else:
+            got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ours = [e.ids if t else [] for e, t in zip(got, texts)]
+        want = self.native.encode(texts, num_threads=1)
+        # Segments decode one after another, so one call tells whether all come back.
+        if self.plain and self.tokenizer.decode(list(chain.from_iterable(ours)), skip_special_tokens=False) == " ".join(texts):
+            return want, ours, texts
+        return want, ours, self.tokenizer.decode_batch(ours, skip_special_tokens=False)
 
     @staticmethod
-    def _segments(text: str) -> set[str]:
-        """The distinct segments of a text, each without its first marker and with spaces for the rest."""
-        if "  " not in text and _MARK not in text:
-            out = set(text.split(" "))
-            out.discard("")
-            if text[-1:] == " " or text[:1] == " ":
-                out |= {"", " "}
-            return out
-        return {(s[1:] if s[0] == _MARK else s).replace(_MARK, " ") for s in _SEGMENT.findall((" " + text).replace(" ", _MARK))}
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = [i if t else [] for i, t in zip(ids, texts)]
-        same = self._agrees(texts, ids)
+    def segments(text: str) -> list[str]:
+        """The segments of a text, each without its first marker and with spaces for the rest."""
+        if "  " not in text and _MARK not in text and text[-1:] != " " and text[:1] != " ":
+            return text.split(" ") if text else []
+        return [(s[1:] if s[0] == _MARK else s).replace(_MARK, " ") for s in _SEGMENT.findall((" " + text).replace(" ", _MARK))] if text else []
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+        """Ids, agreement and round trip of each text."""
+        if not self.plain:
+            want, ours, back = self._both(texts)
+            return want, [a == b for a, b in zip(want, ours)], [a == b for a, b in zip(back, texts)]
+        cuts = [self.segments(t) for t in texts]
+        needed = set().union(*cuts)
+        if len(self.ids) > self.most:
+            self._forget()
+        fresh = [s for s in needed if s not in self.ids and s]
+        # Both libraries put one marker before a text, which is the segment's first.
+        want, ours, back = self._both(fresh) if fresh else ([], [], [])
+        self.ids.update(zip(fresh, want))
+        if want != ours:
+            self.odd.update(s for s, a, b in zip(fresh, want, ours) if a != b)
+        if back != fresh:
+            self.lossy.update(s for s, b in zip(fresh, back) if s != b)
+        if "" in needed and "" not in self.ids:  # a marker and nothing else
+            self.ids[""] = self.native.encode(" ")[1:] or self.native.piece_to_id([_MARK])
+        of = self.ids.__getitem__
+        ids = [list(chain.from_iterable(map(of, c))) for c in cuts]
+        odd, lossy = self.odd, self.lossy
+        same = [not odd or odd.isdisjoint(c) for c in cuts]
         for i, good in enumerate(same):
             if not good:
                 ids[i] = self.native.encode(texts[i])
-        return ids, same
+        return ids, same, [(not lossy or lossy.isdisjoint(c)) and _MARK not in t for c, t in zip(cuts, texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -177,11 +210,11 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_file)
+        gc.disable()  # many short lists and no cycles: collections would only walk the caches
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=2 << 20):
                 texts = piece.column("text").to_pylist()
-                ids, same = codec.encode([t or "" for t in texts])
-                back = codec.decode(ids)
+                ids, same, whole = codec.encode([t or "" for t in texts])
                 none = [t is None for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -189,12 +222,13 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
                         pa.array([None if x else i for i, x in zip(ids, none)], pa.list_(pa.int32())),
                         pa.array([None if x else len(i) for i, x in zip(ids, none)], pa.int64()),
                         pa.array([None if x else s for s, x in zip(same, none)], pa.bool_()),
-                        pa.array([None if x else b == t for b, t, x in zip(back, texts, none)], pa.bool_()),
+                        pa.array([None if x else w for w, x in zip(whole, none)], pa.bool_()),
                     ],
                     ["doc_id", "token_ids", "n_tokens", "parity", "round_trip"],
                 )
+        gc.enable()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens long, parity boolean, round_trip boolean")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens long, parity boolean, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model_file: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(docs: DataFrame, megabytes: int = 8, rows: int = 4000) -> DataFrame:
+    """The same rows; from now on the session sends texts to Python in batches of a few megabytes.
+
+    Spark's own bound is a number of rows, which long texts make large on either side.
+    """
+    conf = docs.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):
+        now = int(re.sub("[^0-9-]", "", conf.get(key)))
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
+    return docs
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them from there.
 
@@ -49,7 +63,7 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         yield held[0], held[1], True
 
 
-def per_piece(function: Callable[[pa.RecordBatch], dict], schema: pa.Schema, text: str = "text", limit: int = 2 << 20):
+def per_piece(function: Callable[[pa.RecordBatch], dict], schema: pa.Schema, text: str = "text", limit: int = 1 << 20):
     """A function for ``mapInArrow`` that gives bounded slices of text to ``function`` and wraps its columns."""
     from kmerlake.llm.bytewords import pieces
 
