@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kmerlake.llm.bytewords import SPACE, U64, Words, fingerprint, mix, pieces
-from kmerlake.llm.tables import bounded, cut, per_piece, runs
+from kmerlake.llm.tables import bounded, cut, per_piece, release, runs
 
 _EMPTY = U64(0xA0761D6478BD642F)
 
@@ -304,12 +304,14 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block
     sized = cut(document_sets(docs, width))
     nodes = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     met = cut(candidate_blocks(docs, width, percent))
+    release(docs.sparkSession)  # the segment keys, the largest shuffle, are done with
     members = met.union(met.select("pivot", "pivot").distinct()).join(nodes, "node")
     load = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_members)).cast("int").alias("chunks"))
     members = cut(members.join(load, "pivot"))
     spread = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "chunks").cast("int")))
     tasks = members.select("pivot", F.explode(spread).alias("chunk"), F.lit(0).alias("part"), "node", "rep")
     found = cut(block_edges(tasks, docs, width, percent))
+    release(docs.sparkSession)
     edges = found.select(F.col("node").alias("a"), F.col("head").alias("b"))
 
     apart = found.where("not to_pivot").join(members.where("chunks > 1"), ["pivot", "node"]).select("pivot", "node", "rep", "n", "chunks")
