@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kmerlake.llm import oracles
 from kmerlake.llm.tables import table
 
 #: Where the public vocabularies lie; every executor has them there.
@@ -72,7 +73,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
     found = scan_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +95,8 @@ QUERIES: dict[str, Query] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.JACCARD,
+    "op3_secret_scan": oracles.SECRETS,
+    "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+}
