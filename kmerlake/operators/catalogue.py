@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kmerlake.functions.seq import clean_revcomp, complement
+from kmerlake.operators.annotate import _THREE, CODONS, amino1
+
 #: Order of drugs in a composite label, fixed values.
 LABEL_ORDER = ("RIF", "INH", "EMB", "PZA", "STR", "FQ", "ETH", "AMI", "KAN", "CAP", "LZD", "BDQ", "CFZ", "DLM")
 
@@ -46,13 +49,65 @@ def gene_position(start: Column, end: Column, strand: Column, place: Column) ->
     return F.when(strand == "-", end - offset).otherwise(start + offset)
 
 
+def _one_letter(three: Column) -> Column:
+    """One-letter code of a three-letter amino acid, anything else as it is."""
+    table = F.create_map(*[F.lit(x) for one, name in _THREE.items() if one != "*" for x in (name, one)])
+    return F.coalesce(F.try_element_at(table, three), three)
+
+
+_PROTEIN = r"^p\.([A-Z][a-z]{2})(\d+)([A-Z][a-z]{2}|\*|del|ins.*)"
+
+
 def variant_parts(name: Column) -> Column:
-    """Gene, mutation and type of ``gene_mutation``; a leading ``LoF_`` or trailing ``_LoF`` marks loss of function."""
-    lof = name.rlike("(^LoF_|_LoF$)")
-    bare = F.regexp_replace(name, "(^LoF_|_LoF$)", "")
-    gene = F.regexp_extract(bare, "^([^_]*)", 1)
-    mutation = F.when(F.contains(bare, F.lit("_")), F.regexp_extract(bare, "^[^_]*_(.*)$", 1)).otherwise("")
-    return F.struct(gene.alias("gene"), F.when(lof, "LoF").otherwise(mutation).alias("mutation"), lof.alias("loss"))
+    """Gene and mutation of ``gene_mutation``; ``LoF_`` goes to the gene, protein changes get one-letter codes."""
+    rest = F.regexp_extract(name, "^[^_]*_(.*)$", 1)
+    lost = F.startswith(rest, F.lit("LoF_"))
+    bare = F.when(lost, F.substring(rest, F.lit(5), F.length(rest))).otherwise(rest)
+    part = lambda i: F.regexp_extract(bare, _PROTEIN, i)
+    protein = F.when(part(1) != "", F.concat(_one_letter(part(1)), part(2), _one_letter(part(3)))).otherwise(F.regexp_replace(bare, r"^p\.", ""))
+    gene = F.concat(F.regexp_extract(name, "^([^_]*)", 1), F.when(lost, "_LoF").otherwise(""))
+    whole = ~F.contains(name, F.lit("_"))
+    return F.struct(F.when(whole, name).otherwise(gene).alias("gene"), F.when(whole, name).when(F.startswith(bare, F.lit("p.")), protein).otherwise(bare).alias("mutation"))
+
+
+def protein_snps(variants: DataFrame, reference: str) -> DataFrame:
+    """Protein changes (``mutation`` like ``p.Ser450Leu``, with gene ``start``, ``end``, ``strand``) as single bases.
+
+    Adds pos, ref and alt, one row a changed base.  The codon with the fewest
+    changes is taken, on ties the first by middle, first and last base in T, C, A, G order.  Changes whose
+    first amino acid is not the reference's, insertions and deletions drop out.
+    """
+    part = lambda i: F.regexp_extract("mutation", _PROTEIN, i)
+    told = variants.where((part(1) != "") & ~part(3).rlike("^(del|ins)")).withColumns({"_from": _one_letter(part(1)), "_to": _one_letter(part(3)), "_cds": (part(2).cast("int") - 1) * 3})
+    plus = F.col("strand") == "+"
+    told = told.withColumn("_first", F.when(plus, F.col("start") + F.col("_cds")).otherwise(F.col("end") - F.col("_cds") - 2))
+    cut = F.substring(F.lit(reference), F.col("_first").cast("int"), F.lit(3))
+    told = told.withColumn("_codon", F.when(plus, cut).otherwise(clean_revcomp(cut))).where(amino1(F.col("_codon")) == F.col("_from"))
+    ordered = sorted(CODONS, key=lambda c: ["TCAG".index(c[i]) for i in (1, 0, 2)])
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.lit(CODONS[c]).alias("a")) for i, c in enumerate(ordered)])
+    at = lambda c, j: F.substring(c, F.lit(j), F.lit(1))
+    changes = lambda c: sum((F.when(at(c, j) != at(F.col("_codon"), j), 1).otherwise(0) for j in (1, 2, 3)), F.lit(0))
+    best = F.array_min(F.transform(F.filter(table, lambda x: x["a"] == F.col("_to")), lambda x: F.struct(changes(x["c"]).alias("n"), x["i"].alias("i"), x["c"].alias("c"))))["c"]
+    rows = told.withColumn("_new", best).where("_new is not null").withColumn("_j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    base = lambda c: F.substring(F.col(c), F.col("_j") + 1, F.lit(1))
+    rows = rows.where(base("_codon") != base("_new"))
+    strand = lambda c: F.when(plus, base(c)).otherwise(complement(base(c)))
+    return rows.withColumns({"pos": F.when(plus, F.col("_first") + F.col("_j")).otherwise(F.col("_first") + 2 - F.col("_j")), "ref": strand("_codon"), "alt": strand("_new")}).drop("_from", "_to", "_cds", "_first", "_codon", "_new", "_j")
+
+
+def base_snps(variants: DataFrame, reference: str) -> DataFrame:
+    """Base changes (``c.1210C>T``, ``c.-15C>T``, ``n.1401A>G``) with pos, ref and alt on the genome.
+
+    On the reverse strand the bases are complemented, unless only the bases as
+    written agree with the reference; a change that agrees neither way drops out.
+    """
+    form = r"^[cn]\.(-?\d+)([ACGT])>([ACGT])"
+    part = lambda i: F.regexp_extract("mutation", form, i)
+    told = variants.where(part(1) != "").withColumn("pos", gene_position(F.col("start"), F.col("end"), F.col("strand"), part(1).cast("int")))
+    there = F.substring(F.lit(reference), F.col("pos").cast("int"), F.lit(1))
+    turned = lambda i: F.when(F.col("strand") == "-", complement(part(i))).otherwise(part(i))
+    pick = lambda i: F.when(there == turned(2), turned(i)).when(there == part(2), part(i))
+    return told.withColumns({"ref": pick(2), "alt": pick(3)}).where("ref is not null and pos > 0")
 
 
 def literature_grade(confidence: Column) -> Column:

@@ -137,6 +137,37 @@ def filter_rows(df: DataFrame, text: str = "", columns: dict[str, str] | None =
     return out
 
 
+def quick_filter(df: DataFrame, column: str, kind: str, value: str = "") -> DataFrame:
+    """Rows of one category, of unknown outcome, or of high or low confidence.
+
+    Confidence thresholds are 0.9 and 0.5 when all numbers lie in 0 to 1.1, else
+    90 and 50.
+    """
+    cell = F.col(column).cast("string")
+    if kind == "category":
+        return df.where(F.lower(F.trim(F.coalesce(cell, F.lit("")))) == value.strip().lower())
+    if kind == "unknown":
+        return df.where(unknown(cell))
+    if kind not in ("high", "low"):
+        raise ValueError(f"no such filter: {kind}")
+    unit = df.agg((F.min(number(cell)) >= 0) & (F.max(number(cell)) <= 1.1)).scalar()
+    scaled = number(cell) * F.when(unit, 100).otherwise(1)
+    return df.where(scaled >= 90 if kind == "high" else scaled < 50)
+
+
+def with_bases(df: DataFrame, ref: str | None, alt: str | None, kmer: str | None) -> DataFrame:
+    """``Ref NT`` and ``Mut NT`` columns; without an ALT cell the middle base of the k-mer."""
+    tidy = lambda c: F.nullif(F.upper(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))), F.lit(".")) if c else F.lit(None).cast("string")
+    middle = F.regexp_extract(F.substring(tidy(kmer), F.floor(F.length(tidy(kmer)) / 2).cast("int") + 1, F.lit(1)), "^[ACGTN]$", 0) if kmer else F.lit("")
+    return df.withColumns({"Ref NT": F.coalesce(tidy(ref), F.lit("")), "Mut NT": F.coalesce(F.nullif(tidy(alt), F.lit("")), middle, F.lit(""))})
+
+
+def lineage_cells(cell: Column) -> Column:
+    """A ``path:count`` cell as an array of (path, n); blanks and commas separate, the last colon counts."""
+    parts = F.filter(F.split(F.coalesce(cell, F.lit("")), r"[\s,]+"), lambda x: x.rlike(r"^.+:\d+$"))
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, "^(.*):([0-9]+)$", 1).alias("path"), F.regexp_extract(x, "^(.*):([0-9]+)$", 2).cast("long").alias("n")))
+
+
 def scored_search(df: DataFrame, fields: list[str], query: str, order: list[str], most: int = 2500) -> DataFrame:
     """Rows by how their fields match the words of a query: 14 points for equal, 8 for a beginning, 4 for a part."""
     low = F.array(*[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields])

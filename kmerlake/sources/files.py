@@ -42,6 +42,21 @@ def reference(spark: SparkSession, path: str) -> str:
     return rows[0].seq.upper()
 
 
+def slice_of(records: DataFrame, name: str, first: int, last: int, most: int = 50_000) -> DataFrame:
+    """(header, first, last, seq): bases ``first`` to ``last`` (from 1) of the record with that id or header, else of the first record.
+
+    Case does not matter, reversed ends are swapped, ends outside are moved in
+    and the stretch is cut to ``most`` bases.
+    """
+    low, high = min(first, last), max(first, last)
+    named = (F.lower("id") != name.lower()) & (F.lower("header") != name.lower())
+    one = records.orderBy(named, "ordinal").limit(1)
+    size = F.length("seq")
+    begin = F.least(F.greatest(F.lit(low), F.lit(1)), size)
+    end = F.least(F.greatest(F.lit(high), F.lit(1)), size, begin + most - 1)
+    return one.select("header", begin.alias("first"), end.alias("last"), F.substring(F.col("seq"), begin, end - begin + 1).alias("seq"))
+
+
 def unique_ids(records: DataFrame) -> DataFrame:
     """The records, if no file holds an id twice."""
     twice = records.groupBy("file", "id").count().where("count > 1").select("file", "id").first()
@@ -131,6 +146,20 @@ def coding_genes(features: DataFrame) -> DataFrame:
     return features.where("type = 'CDS'").select("start", "stop", "strand", F.coalesce(attribute(a, "gene"), attribute(a, "locus_tag", "Name", "ID"), F.lit("Unknown")).alias("id"))
 
 
+def feature_label(attributes: Column, chosen: str = "") -> Column:
+    """The label a feature shows: the chosen attribute, else the usual names in turn."""
+    order = ([chosen] if chosen else []) + ["locus_tag", "gene", "Name", "product", "ID"]
+    return F.coalesce(*[attribute(attributes, k) for k in order], F.lit(""))
+
+
+def with_annotation(genomes: DataFrame, annotations: DataFrame, shared: str | None = None) -> DataFrame:
+    """Genomes (``path``) with the annotation file of the same stem, else the shared one, else null as ``gff``."""
+    stem = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    own = annotations.groupBy(stem(F.col("path")).alias("_stem")).agg(F.min("path").alias("_own"))
+    joined = genomes.withColumn("_stem", stem(F.col("path"))).join(own, "_stem", "left")
+    return joined.withColumn("gff", F.coalesce("_own", F.lit(shared))).drop("_stem", "_own")
+
+
 def sample_list(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
     """(sample, paths) of a small list: a header line is skipped, a sample named twice is an error."""
     rows = [[c.strip() for c in r.value.rstrip("\r").split("\t")] for r in spark.read.text(path).collect() if r.value.strip() and not r.value.lstrip().startswith("#")]

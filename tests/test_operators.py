@@ -202,8 +202,39 @@ def test_filters_search_and_thinning(spark):
 def test_catalogue(spark):
     grades = spark.createDataFrame([("v", "MXF", "2) x"), ("v", "LEV", "1) x"), ("v", "RIF", "2) x"), ("v", "KAN", "3) x"), ("w", "INH", "4) x")], "variant string, drug string, grade string")
     assert rows(C.collapse(grades)) == [("v", "RIF_FQ", "1) x")]
-    parts = spark.createDataFrame([("rpoB_p.Ser450Leu",), ("LoF_katG",), ("gene_a_b",), ("bare",)], "n string").select(C.variant_parts(F.col("n")).alias("p")).collect()
-    assert [(r.p.gene, r.p.mutation) for r in parts] == [("rpoB", "p.Ser450Leu"), ("katG", "LoF"), ("gene", "a_b"), ("bare", "")]
+    parts = spark.createDataFrame([("rpoB_p.Ser450Leu",), ("pncA_LoF_p.Trp68*",), ("inhA_c.-15C>T",), ("bare",)], "n string").select(C.variant_parts(F.col("n")).alias("p")).collect()
+    assert [(r.p.gene, r.p.mutation) for r in parts] == [("rpoB", "S450L"), ("pncA_LoF", "W68*"), ("inhA", "c.-15C>T"), ("bare", "bare")]
+
+
+def test_mutations_are_placed_on_the_genome(spark):
+    ref = "AAATGGCCTTAAGGG"  # gene 3..14: ATG GCC TTA AGG, its reverse: CCT TAA GGC CAT
+    cases = [("p.Ala2Thr", 3, 14, "+"), ("p.Met1Trp", 3, 14, "+"), ("p.Gly1Thr", 3, 14, "+"), ("p.Ala2del", 3, 14, "+"), ("p.Pro1Ser", 3, 14, "-"), ("p.Leu3*", 3, 14, "+")]
+    frame = spark.createDataFrame(cases, "mutation string, start int, end int, strand string")
+    got = rows(C.protein_snps(frame, ref).select("mutation", "pos", "ref", "alt"))
+    assert got == [("p.Ala2Thr", 6, "G", "A"), ("p.Leu3*", 10, "T", "A"), ("p.Met1Trp", 3, "A", "T"), ("p.Met1Trp", 4, "T", "G"), ("p.Pro1Ser", 14, "G", "A")]
+    bases = [("c.4G>A", 3, 14, "+"), ("c.-1A>C", 3, 14, "+"), ("c.1C>T", 3, 14, "-"), ("n.1G>A", 3, 14, "-"), ("c.4C>A", 3, 14, "+")]
+    got = rows(C.base_snps(spark.createDataFrame(bases, "mutation string, start int, end int, strand string"), ref).select("mutation", "pos", "ref", "alt"))
+    assert got == [("c.-1A>C", 2, "A", "C"), ("c.1C>T", 14, "G", "A"), ("c.4G>A", 6, "G", "A"), ("n.1G>A", 14, "G", "A")]
+
+
+def test_result_helpers(spark):
+    frame = spark.createDataFrame([("A", "0.95", "aacga"), ("unknown", "0.2", ""), ("a ", "1,0", None)], "call string, conf string, kmer string")
+    assert I.quick_filter(frame, "call", "category", "a").count() == 2 and I.quick_filter(frame, "call", "unknown").count() == 1
+    assert I.quick_filter(frame, "conf", "high").count() == 2 and I.quick_filter(frame, "conf", "low").count() == 1
+    assert [r["Mut NT"] for r in I.with_bases(frame, None, None, "kmer").collect()] == ["C", "", ""]
+    cell = spark.sql("select 'L1:3, L2;L2.1:12 x a:b:4' as c").select(I.lineage_cells(F.col("c")).alias("p")).first().p
+    assert [(x.path, x.n) for x in cell] == [("L1", 3), ("L2;L2.1", 12), ("a:b", 4)]
+
+
+def test_slices_and_annotations(spark, tmp_path):
+    (tmp_path / "s.fa").write_text(">c1 first\nACGTACGT\n>c2\nGGGGCCCC\n")
+    records = files.fasta(spark, str(tmp_path / "s.fa"))
+    assert tuple(files.slice_of(records, "C2", 6, 3).first()) == ("c2", 3, 6, "GGCC")
+    assert tuple(files.slice_of(records, "none", -4, 99).first()) == ("c1 first", 1, 8, "ACGTACGT")
+    genomes = spark.createDataFrame([("d/a.fa",), ("d/b.fasta",)], "path string")
+    notes = spark.createDataFrame([("g/a.gff",)], "path string")
+    assert rows(files.with_annotation(genomes, notes)) == [("d/a.fa", "g/a.gff"), ("d/b.fasta", None)]
+    assert files.with_annotation(genomes, notes, "all.gff").where("gff = 'all.gff'").count() == 1
 
 
 def test_read_pairs(spark):
