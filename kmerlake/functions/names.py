@@ -37,3 +37,24 @@ def read_pairs(paths: DataFrame, path: str = "path") -> DataFrame:
     out = groups.groupBy("dir", "base").agg(F.array_sort(F.collect_list(F.struct("read", "path"))).alias("f"), (F.max("read") > F.min("read")).alias("paired"))
     files = F.transform("f", lambda x: x["path"])
     return out.select("dir", "base", F.when(F.col("paired"), F.col("base")).otherwise(sample_name(files[0])).alias("sample"), "paired", files.alias("files"))
+
+
+def forced_pairs(paths: list[str]) -> list[tuple[str, str]]:
+    """Files two by two in the order given; an odd number is an error."""
+    if len(paths) % 2:
+        raise ValueError(f"{len(paths)} files cannot be paired")
+    return list(zip(paths[::2], paths[1::2]))
+
+
+def unique_names(names: list[str]) -> list[str]:
+    """Names with ``_2``, ``_3`` and so on for those that came before."""
+    taken: set[str] = set()
+    out = []
+    for name in names:
+        new, n = name, 1
+        while new in taken:
+            n += 1
+            new = f"{name}_{n}"
+        taken.add(new)
+        out.append(new)
+    return out

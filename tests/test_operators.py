@@ -344,3 +344,36 @@ def test_stream_ends_with_the_batch_totals(spark, tmp_path):
     stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     totals.run_available(totals.kmer_totals(stream, 5), "kmer_totals_test", str(tmp_path / "c"))
     assert rows(spark.table("kmer_totals_test")) == rows(contain.kmer_counts(reads, 5))
+
+
+def test_model_round_trip_and_cross_validation(spark, tmp_path):
+    table = motif_table(spark, 12)
+    cells = features.bucket_counts(table.select(F.col("seq").alias("key"), F.col("bases").alias("seq")), 9, "key").withColumnRenamed("key", "seq").cache()
+    labels = table.select("seq", "code")
+    model = M.train(cells, labels, trees=3, depth=5, leaf=2)
+    codes = labels.select(F.col("code").cast("string").alias("label"), "code").distinct()
+    M.save(model, codes, str(tmp_path / "m"), 9)
+    again, back, k = M.load(spark, str(tmp_path / "m"))
+    assert k == 9 and rows(again) == rows(model) and rows(back) == rows(codes)
+    M.save(model.limit(0), codes, str(tmp_path / "e"), 9)
+    with pytest.raises(ValueError):
+        M.load(spark, str(tmp_path / "e"))
+    cv = M.cross_validation(cells, labels, 2, trees=3, depth=5, leaf=2).first()
+    assert cv["mean"] >= 80 and cv.deviation >= 0
+
+
+def test_table_functions_equal_the_native_form(spark):
+    from kmerlake.functions import udtf
+
+    udtf.register(spark)
+    spark.createDataFrame([("a", "ACGTNACGG"), ("b", "AC"), ("c", None)], "id string, seq string").createOrReplaceTempView("udtf_reads")
+    native = S.explode_kmers(spark.table("udtf_reads"), 3)
+    assert rows(spark.sql("select id, pos, kmer from udtf_reads, lateral kmers(seq, 3)")) == rows(native)
+    assert rows(spark.sql("select id, pos, kmer from udtf_reads, lateral canonical_kmers(seq, 3)")) == rows(native.select("id", "pos", S.canonical(F.col("kmer"))))
+
+
+def test_driver_side_names():
+    assert names.forced_pairs(["a", "b", "c", "d"]) == [("a", "b"), ("c", "d")]
+    with pytest.raises(ValueError):
+        names.forced_pairs(["a"])
+    assert names.unique_names(["x", "x", "x_2", "x"]) == ["x", "x_2", "x_2_2", "x_3"]
