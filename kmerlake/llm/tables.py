@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -47,8 +48,10 @@ def release(spark: SparkSession) -> None:
     Spark does so when the driver's garbage is collected, which a driver with
     little to do may put off for hours while the files fill the executors' disks.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of plans, the second of the shuffles that only they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch, bool]]:
