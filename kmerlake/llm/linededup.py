@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from kmerlake.llm.tables import bounded, cut
+from kmerlake.llm.tables import bounded, cut, release
 
 _MASK = (1 << 64) - 1
 _SIGN = 1 << 63
@@ -104,21 +104,23 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, long_words:
     With ``drop_emptied`` rows that lose all their lines are left out.
     """
     how = {"window": window, "divisor": divisor, "long_words": long_words}
+    marked_as = "cuts" + "_" * max(map(len, docs.columns))  # no column of the input has this name
     keyed = bounded(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     chunks = cut(_chunk_rows(keyed, **how))
     repeated = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("seq").alias("seq"))).alias("first")).where("n > 1")
     repeated = cut(repeated.select("hash", F.col("first.doc").alias("first_doc"), F.col("first.seq").alias("seq")))
-    first_texts = _texts(keyed, repeated, **how)
+    first_texts = cut(_texts(keyed, repeated, **how))
+    release(docs.sparkSession)  # the texts shuffled for the first occurrences are done with
     later = chunks.join(repeated.select("hash", "first_doc", F.col("seq").alias("first_seq")), "hash").where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("seq") == F.col("first_seq"))))
-    cuts = later.join(first_texts, "hash").groupBy(F.col("doc_id").alias("cut_doc")).agg(F.collect_list(F.struct("seq", "first_text")).alias("__cuts"))
-    joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(cuts["cut_doc"]), "left").drop("cut_doc")
+    cuts = later.join(first_texts, "hash").groupBy(F.col("doc_id").alias("cut_doc")).agg(F.collect_list(F.struct("seq", "first_text")).alias(marked_as))
+    joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(cuts["cut_doc"]), "left").drop(cuts["cut_doc"])
     schema = docs.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in docs.columns if c != "cut_lines"], F.lit(None).cast("long").alias("cut_lines")).schema
     names = [f.name for f in schema]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed, keep = [], [], []
-            for i, (text, marked) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__cuts").to_pylist())):
+            for i, (text, marked) in enumerate(zip(batch.column("text").to_pylist(), batch.column(marked_as).to_pylist())):
                 gone = 0
                 if text and marked:
                     lines, bounds = text.split("\n"), line_chunks(text, **how)

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from kmerlake.llm import decontam, fertility, hdlang, jaccard, licenses, linededup, pii, qda, queries, secrets, spm
 
 MODEL = queries.piece_model()
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, x array<double>, hit string, kinds string, base int, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, x array<double>, hit string, kinds string, base int, key string, cut_doc long, kept_id long, candidate long, rep long"
 TEXTS = ["", None, "one", "two words", "é🎉 ñandú " * 30, "the same old line\nthe same old line\n" * 3, " ".join(f"w{i}" for i in range(400)), "a b c d e f g h i j k l\nm n o p", "x" * 30_000, "7 " * 5000]
 
 
 def rows():
-    out = [(i, t, "en" if i % 2 else None, None, None, 1, None, "h", None, 2, "k") for i, t in enumerate(TEXTS)]
-    return out + [out[6], out[6], (None, TEXTS[6], None, None, None, None, None, None, None, None, None), (None, "alone here", *[None] * 9), (3, "another text under a used id", *[None] * 9)]
+    out = [(i, t, "en" if i % 2 else None, None, None, 1, None, "h", None, 2, "k", 5, 6, 7, 8) for i, t in enumerate(TEXTS)]
+    return out + [out[6], out[6], (None, TEXTS[6], *[None] * 13), (None, "alone here", *[None] * 13), (3, "another text under a used id", *[None] * 13)]
 
 
 @pytest.fixture(scope="module")
