@@ -75,7 +75,7 @@ def query_kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_POOL + "SELECT count(*) AS kept, CAST(sum(n) AS BIGINT) AS weight FROM qc WHERE (SELECT count(*) FROM qc) <= 100000 OR n >= 2")
 def kmer_noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contain.without_noise(contain.kmer_counts(X.doc_dna(spark, sf_dir), 21)).agg(F.count("*").alias("kept"), F.sum("n").alias("weight"))
+    return contain.without_noise(contain.kmer_counts(X.doc_dna(spark, sf_dir), 21).persist()).agg(F.count("*").alias("kept"), F.sum("n").alias("weight"))
 
 
 _SCORES = (
@@ -88,7 +88,8 @@ _SCORES = (
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = contain.without_noise(contain.kmer_counts(X.doc_dna(spark, sf_dir), 21))
+    # The counts are asked for three times: for the gate, the total and the join.
+    counts = contain.without_noise(contain.kmer_counts(X.doc_dna(spark, sf_dir), 21).persist())
     refs = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
     return contain.containment(counts, refs, 21)
 
