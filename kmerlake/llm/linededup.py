@@ -11,6 +11,13 @@ the same chunk occurs more than once in the corpus, the first occurrence (lowest
 doc_id, then position) stays and the others are removed, each only after its
 bytes were compared with those of the first.
 
+With ``extend`` a repeat does not end at its chunk's borders: any two
+neighbouring lines with words (and the blank lines between) are compared as well,
+so a repeat goes on, line by line, as long as these neighbours stand somewhere
+earlier too.  Such a run goes when it holds a repeated chunk, or ``long_words``
+words, or all the words of its text; no repeated passage depends on where the
+borders fall.  The first occurrence of every line stays.
+
 How the work is spread: chunk hashes are counted with map-side combining, so a
 passage in a third of all documents is one row per task; only chunks that repeat
 send text, once from the first document and then along with each occurrence.
@@ -52,8 +59,23 @@ def line_chunks(text: str, window: int = 2, divisor: int = 3, long_words: int =
     return out
 
 
-def _hash(lines: list[str]) -> int:
-    h = xxhash.xxh3_64_intdigest("\n".join(lines).encode(), seed=7)
+def line_units(text: str, extend: bool = False, **how) -> list[tuple[int, int, bool, bool]]:
+    """(first line, end line, whether it counts, whether it is a chunk) by position: the chunks and, with ``extend``, the neighbouring lines with words that are no chunk."""
+    out = [(a, b, counts, True) for a, b, counts in line_chunks(text, **how)]
+    if extend:
+        chunks = {(a, b) for a, b, counts, _ in out if counts}
+        worded = [i for i, x in enumerate(text.encode().split(b"\n")) if x.split()]
+        out = sorted(out + [(a, b + 1, True, False) for a, b in zip(worded, worded[1:]) if (a, b + 1) not in chunks])
+    return out
+
+
+def _said(lines: list[str], chunk: bool, long_words: int = 16) -> str:
+    """What is compared of a unit.  Neighbours show a digest for a long line, whose bytes are compared as a chunk."""
+    return "\n".join(lines if chunk else [xxhash.xxh3_128_hexdigest(x.encode()) if len(x.encode().split()) >= long_words else x for x in lines])
+
+
+def _hash(said: str) -> int:
+    h = xxhash.xxh3_64_intdigest(said.encode(), seed=7)
     return h - (1 << 64) if h >= _SIGN else h
 
 
@@ -64,10 +86,10 @@ def _chunk_rows(docs: DataFrame, **how) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if text:
                     lines = text.split("\n")
-                    for k, (a, b, counts) in enumerate(line_chunks(text, **how)):
+                    for k, (a, b, counts, chunk) in enumerate(line_units(text, **how)):
                         if counts:
                             ids.append(doc)
-                            hashes.append(_hash(lines[a:b]))
+                            hashes.append(_hash(_said(lines[a:b], chunk, how["long_words"])))
                             at.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int32())], ["hash", "doc_id", "seq"])
 
@@ -83,13 +105,14 @@ def _texts(docs: DataFrame, firsts: DataFrame, **how) -> DataFrame:
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
                 if text is None:
                     continue
-                lines, chunks = text.split("\n"), line_chunks(text, **how)
+                lines, units = text.split("\n"), line_units(text, **how)
                 for w in wanted:
-                    if w["seq"] < len(chunks):
-                        a, b, _ = chunks[w["seq"]]
-                        if _hash(lines[a:b]) == w["hash"]:
+                    if w["seq"] < len(units):
+                        a, b, _, chunk = units[w["seq"]]
+                        said = _said(lines[a:b], chunk, how["long_words"])
+                        if _hash(said) == w["hash"]:
                             hashes.append(w["hash"])
-                            texts.append("\n".join(lines[a:b]))
+                            texts.append(said)
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], ["hash", "first_text"])
 
     lists = firsts.groupBy("first_doc").agg(F.collect_list(F.struct("hash", "seq")).alias("wanted"))
@@ -97,22 +120,40 @@ def _texts(docs: DataFrame, firsts: DataFrame, **how) -> DataFrame:
     return joined.mapInArrow(rows, "hash long, first_text string").groupBy("hash").agg(F.min("first_text").alias("first_text"))
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, long_words: int = 16, drop_emptied: bool = False) -> DataFrame:
+def _extended(lines: list[str], chunks: set[int], pairs: set[int], long_words: int) -> set[int]:
+    """The lines of the runs that go: those with a repeated chunk, with ``long_words`` words, or with all the words there are; and the blank lines where nothing else is left."""
+    words = [len(x.encode().split()) for x in lines]
+    drop: set[int] = set()
+    marked = sorted(chunks | pairs)
+    first = 0
+    for k, line in enumerate(marked):
+        if k + 1 == len(marked) or marked[k + 1] != line + 1:
+            run, first = marked[first : k + 1], k + 1
+            n = sum(words[i] for i in run)
+            if n >= long_words or n == sum(words) or not chunks.isdisjoint(run):
+                drop.update(run)
+    return set(range(len(lines))) if drop and not any(n for i, n in enumerate(words) if i not in drop) else drop
+
+
+def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, long_words: int = 16, drop_emptied: bool = False, extend: bool = False) -> DataFrame:
     """The input's rows and columns with repeated chunks cut out of ``text``, and
     ``cut_lines``, the number of lines removed (null where text is null).
 
-    With ``drop_emptied`` rows that lose all their lines are left out.
+    With ``drop_emptied`` rows that lose all their lines are left out.  With
+    ``extend`` repeats go on over the borders of their chunks.
     """
-    how = {"window": window, "divisor": divisor, "long_words": long_words}
+    how = {"window": window, "divisor": divisor, "long_words": long_words, "extend": extend}
     marked_as = "cuts" + "_" * max(map(len, docs.columns))  # no column of the input has this name
     keyed = bounded(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     chunks = cut(_chunk_rows(keyed, **how))
+    release(docs.sparkSession)  # what earlier plans of the session left
     repeated = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("seq").alias("seq"))).alias("first")).where("n > 1")
     repeated = cut(repeated.select("hash", F.col("first.doc").alias("first_doc"), F.col("first.seq").alias("seq")))
     first_texts = cut(_texts(keyed, repeated, **how))
     release(docs.sparkSession)  # the texts shuffled for the first occurrences are done with
     later = chunks.join(repeated.select("hash", "first_doc", F.col("seq").alias("first_seq")), "hash").where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("seq") == F.col("first_seq"))))
-    cuts = later.join(first_texts, "hash").groupBy(F.col("doc_id").alias("cut_doc")).agg(F.collect_list(F.struct("seq", "first_text")).alias(marked_as))
+    own = F.when(F.col("doc_id").eqNullSafe(F.col("first_doc")), F.col("first_seq"))  # the first occurrence in the same text
+    cuts = later.join(first_texts, "hash").groupBy(F.col("doc_id").alias("cut_doc")).agg(F.collect_list(F.struct("seq", "first_text", own.alias("own"))).alias(marked_as))
     joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(cuts["cut_doc"]), "left").drop(cuts["cut_doc"])
     schema = docs.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in docs.columns if c != "cut_lines"], F.lit(None).cast("long").alias("cut_lines")).schema
     names = [f.name for f in schema]
@@ -123,13 +164,20 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, long_words:
             for i, (text, marked) in enumerate(zip(batch.column("text").to_pylist(), batch.column(marked_as).to_pylist())):
                 gone = 0
                 if text and marked:
-                    lines, bounds = text.split("\n"), line_chunks(text, **how)
+                    lines, units = text.split("\n"), line_units(text, **how)
                     drop: set[int] = set()
+                    pairs: set[int] = set()
                     for m in marked:
-                        if m["seq"] < len(bounds):
-                            a, b, _ = bounds[m["seq"]]
-                            if "\n".join(lines[a:b]) == m["first_text"]:
-                                drop.update(range(a, b))
+                        if m["seq"] < len(units):
+                            a, b, _, chunk = units[m["seq"]]
+                            if _said(lines[a:b], chunk, long_words) == m["first_text"]:
+                                if extend and m["own"] is not None and m["own"] < len(units):
+                                    c, d, _, own_chunk = units[m["own"]]
+                                    if c < a < d and _said(lines[c:d], own_chunk, long_words) == m["first_text"]:
+                                        a = d  # a repeat that begins inside its first occurrence leaves that whole
+                                (drop if chunk else pairs).update(i for i in range(a, b) if chunk or len(lines[i].encode().split()) < long_words)
+                    if extend:
+                        drop = _extended(lines, drop, pairs, long_words)
                     gone = len(drop)
                     if gone:
                         text = "\n".join(x for k, x in enumerate(lines) if k not in drop)

@@ -190,6 +190,72 @@ def test_line_dedup_equals_plain(docs, odd):
         assert got.drop("cut_lines").columns == source.columns
 
 
+def plain_extended(data, long_words=16):
+    """Runs of neighbouring lines that stand earlier, told without chunks."""
+    first, out = {}, {}
+    for d, t in sorted(data):
+        lines = t.split("\n")
+        worded = [i for i, x in enumerate(lines) if x.split()]
+        marked = set()
+        for a, b in zip(worded, worded[1:]):
+            key = tuple(lines[a : b + 1])
+            if first.setdefault(key, (d, a, b)) != (d, a, b):
+                e, _, end = first[key]
+                marked.update(range(end + 1 if e == d and end >= a else a, b + 1))
+        for i in worded:
+            if len(lines[i].split()) >= long_words and first.setdefault(lines[i], (d, i)) != (d, i):
+                marked.add(i)
+        out[d] = lines, marked
+    return out
+
+
+def test_short_lines_of_repeated_passages_all_go(spark):
+    rng, data, want = np.random.default_rng(3), [], {}
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    line = lambda n: " ".join(word() for _ in range(n))
+    for case in range(60):
+        n_words, n_lines = int(rng.integers(51, 101)), case % 7 + 4
+        n_words = min(n_words, 15 * n_lines)
+        passage = [line(n) for n in np.diff(np.linspace(0, n_words, n_lines + 1).astype(int))]
+        for copy in range(2):
+            around = [[line(int(n)) for n in rng.integers(2, 9, 4)] for _ in range(2)]
+            d = 2 * case + copy
+            data.append((d, "\n".join([*around[0], *passage, *around[1]])))
+            want[d] = data[-1][1] if copy == 0 else "\n".join(around[0] + around[1])
+    for case in range(30):  # exact copies: nothing is left of the second, whatever its lines
+        text = "\n".join(line(int(n)) for n in rng.choice([0, 1, 3, 8, 20], case % 9 + 1)) + f"\n{word()} {word()}\n{word()}\n"
+        for copy in range(2):
+            d = 1000 + 2 * case + copy
+            data.append((d, text))
+            want[d] = text if copy == 0 else ""
+    data.append((2000, "again and again\n" * 8))
+    want[2000] = "again and again\nagain and again"
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string").repartition(3), extend=True).collect()}
+    assert {d: r.text.strip("\n") for d, r in got.items()} == {d: t.strip("\n") for d, t in want.items()}
+    assert got[1001].cut_lines == len(data[121][1].split("\n"))
+
+
+def test_extension_keeps_first_lines_and_leaves_no_long_run(docs):
+    data = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.text]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs, extend=True).collect()}
+    seen, copies, kept = set(), 0, {x for t in got.values() if t for x in t.split("\n")}
+    assert {x for _, t in data for x in t.split("\n") if x.split()} <= kept
+    for d, t in sorted(data):
+        copies += t in seen and len(t.split()) >= 16
+        assert t not in seen or len(t.split()) < 16 or got[d] == ""
+        seen.add(t)
+    assert copies > 0
+    for d, (lines, marked) in plain_extended(data).items():
+        left = Counter(got[d].split("\n"))
+        run = []
+        for i in [*sorted(marked), None]:
+            if run and i != run[-1] + 1 if i is not None else run:
+                if sum(len(lines[k].split()) for k in run) >= 16:
+                    assert all(left[lines[k]] < lines.count(lines[k]) for k in run), d
+                run = []
+            run.append(i)
+
+
 def test_chunks_come_back_after_a_shift():
     lines = [f"line {i} " + "z" * (i % 7) for i in range(200)]
     a = {tuple(lines[x:y]) for x, y, _ in linededup.line_chunks("\n".join(lines))}
