@@ -91,10 +91,21 @@ class Finder:
         found = set()
         for i, stretches in self.windows(line).items():
             for a, b in stretches:
-                for m in self.forms[i].finditer(line, a, b):
+                for m in self.places(i, line, a, b):
                     found.add((m.start(), m.end(), self.notices[i].label, sum(m.fuzzy_counts)))
         return sorted(found)
 
+    def places(self, i: int, line: str, a: int, b: int) -> list:
+        """The matches of a notice in a stretch: the best, then those of the parts before and behind it, until none is left."""
+        out, parts = [], [(a, b)]
+        while parts:
+            a, b = parts.pop()
+            m = self.forms[i].search(line, a, b) if a < b else None
+            if m and m.end() > m.start():
+                out.append(m)
+                parts += [(a, m.start()), (m.end(), b)]
+        return out
+
 
 def phrase_places(line: str, phrase: str) -> list[int]:
     """Character positions where the phrase's words stand in a text with a blank at either end."""

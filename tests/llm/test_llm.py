@@ -585,6 +585,17 @@ def test_fuzzy_notices(spark):
     assert got[2].labels == "bsd" and got[3].labels == "" and got[3].score == 0
 
 
+def test_adjacent_notices_are_all_found(spark):
+    exact, edited = "all rights reserved", "all rights reservd"
+    gpl, odd_gpl = "licensed under the gnu general public license", "licensed undr the gnu general public licence"
+    data = [(1, f"{edited} {exact}"), (2, f"{odd_gpl} x {gpl}"), (3, f"{exact} {edited} {exact} {edited}"), (4, f"{gpl} {odd_gpl} y {odd_gpl} {gpl}")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    said = {d: [(data[d - 1][1][s["start"] : s["end"]], s["edits"]) for s in r.spans] for d, r in got.items()}
+    assert said[1] == [(edited, 1), (exact, 0)] and said[2] == [(odd_gpl, 2), (gpl, 0)]
+    assert said[3] == [(exact, 0), (edited, 1)] * 2
+    assert said[4] == [(gpl, 0), (odd_gpl, 2), (odd_gpl, 2), (gpl, 0)]
+
+
 # ---- queries and pipeline
 
 
