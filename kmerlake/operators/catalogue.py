@@ -117,3 +117,36 @@ def literature_grade(confidence: Column) -> Column:
         F.when(F.contains(low, F.lit("not assoc")), "5) Not assoc w R").when(F.contains(low, F.lit("uncertain")), "3) Uncertain significance")
         .when(F.contains(low, F.lit("interim")), "2) Assoc w R - Interim").when(F.contains(low, F.lit("assoc")), "1) Assoc w R").otherwise("Unknown")
     )
+
+
+def with_drug(variants: DataFrame, grades: DataFrame, gene_drug: DataFrame) -> DataFrame:
+    """``variants`` (variant, gene) of the genes in ``gene_drug`` (gene, drug) with ``label`` and ``grade``.
+
+    Both come from ``grades``; where no drug has grade 1 or 2 it is the gene's drug with the variant's strongest grade, or ``Unknown``.
+    """
+    best = grades.groupBy("variant").agg(F.min(F.struct(grade_rank(F.col("grade")), "grade"))["grade"].alias("_any"))
+    own = collapse(grades).withColumnRenamed("grade", "_own")
+    out = variants.join(gene_drug.select("gene", F.col("drug").alias("_drug")), "gene").join(own, "variant", "left").join(best, "variant", "left")
+    return out.select(*variants.columns, F.coalesce("label", "_drug").alias("label"), F.coalesce("_own", "_any", F.lit("Unknown")).alias("grade"))
+
+
+def gene_of(mutations: DataFrame, genes: DataFrame) -> DataFrame:
+    """``mutations`` (gene) with the start, end, strand and gene_id of the gene (ordinal, name, gene_id, start, end, strand) so named, the last if several, else of the first with this id."""
+    place = F.struct("start", "end", "strand", "gene_id")
+    named = genes.where("name != ''").groupBy(F.col("name").alias("gene")).agg(F.max_by(place, "ordinal").alias("by_name"))
+    known = genes.where("gene_id != ''").groupBy(F.col("gene_id").alias("gene")).agg(F.min_by(place, "ordinal").alias("by_id"))
+    found = mutations.join(named, "gene", "left").join(known, "gene", "left").withColumn("_g", F.coalesce("by_name", "by_id")).where("_g IS NOT NULL")
+    return found.select(*mutations.columns, "_g.*")
+
+
+def catalogue_counts(markers: DataFrame, by: tuple[str, ...] = ("drug", "type", "grade")) -> DataFrame:
+    """(field, value, n): markers per value of each field."""
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in by])
+    return markers.select(F.explode(cells).alias("c")).groupBy("c.field", "c.value").agg(F.count("*").alias("n"))
+
+
+def reference_differences(one: DataFrame, other: DataFrame, size: int = 65_536) -> DataFrame:
+    """One row, ``n``: positions at which two references (one row with seq each) differ, as far as both go."""
+    pieces = lambda df, name: df.select(F.col("seq"), F.explode(F.sequence(F.lit(1), F.greatest(F.length("seq"), F.lit(1)), F.lit(size))).alias("at")).select("at", F.split(F.substring("seq", F.col("at"), F.lit(size)), "").alias(name))
+    differ = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x != y), lambda d: d))
+    return pieces(one, "a").join(pieces(other, "b"), "at").agg(F.coalesce(F.sum(differ), F.lit(0)).cast("long").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Clinical reading order of drug codes, fixed values; AMI is read as AMK.
@@ -168,8 +170,15 @@ def lineage_cells(cell: Column) -> Column:
     return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, "^(.*):([0-9]+)$", 1).alias("path"), F.regexp_extract(x, "^(.*):([0-9]+)$", 2).cast("long").alias("n")))
 
 
-def scored_search(df: DataFrame, fields: list[str], query: str, order: list[str], most: int = 2500) -> DataFrame:
-    """Rows by how their fields match the words of a query: 14 points for equal, 8 for a beginning, 4 for a part."""
+def scored_search(df: DataFrame, fields: list[str], query: str, order: list[str], most: int = 2500, positions: tuple[str, ...] = ()) -> DataFrame:
+    """Rows by how their fields match the words of a query: 14 points for equal, 8 for a beginning, 4 for a part.
+
+    Where there are ``positions``, a query that is a number asks for the rows with just this position; they have no score.
+    """
+    if positions and re.fullmatch(r"\s*[+-]?[0-9]+(\.[0-9]*)?\s*", query):
+        at = F.floor(F.lit(float(query)) + 0.5)
+        here = F.array_contains(F.array(*[F.floor(F.col(p).cast("double") + 0.5) for p in positions]), at)
+        return df.withColumn("score", F.lit(None).cast("int")).where(here).orderBy(*order).limit(most)
     low = F.array(*[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields])
     score = F.lit(0)
     for word in query.lower().split():
@@ -177,6 +186,22 @@ def scored_search(df: DataFrame, fields: list[str], query: str, order: list[str]
     return df.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), *order).limit(most)
 
 
+def header(name: str | None) -> str:
+    """A column's name in lower case with ``_`` for everything but letters and digits."""
+    return re.sub("[^a-z0-9]+", "_", (name or "").strip().lower())
+
+
+def column_of(names: list[str], tokens: list[str], exact_only: bool = False) -> str | None:
+    """The first column that is a token or, for tokens of more than three characters, holds it; tokens in order."""
+    for token in map(header, tokens):
+        found = [n for n in names if header(n) == token]
+        if not found and not exact_only and len(token) > 3:
+            found = [n for n in names if token in header(n)]
+        if found:
+            return found[0]
+    return None
+
+
 def _points(fields: Column, word: Column) -> Column:
     begins, holds = F.exists(fields, lambda x: F.startswith(x, word)), F.exists(fields, lambda x: F.contains(x, word))
     return F.when(F.array_contains(fields, word), 14).when(begins, 8).when(holds, 4).otherwise(0)

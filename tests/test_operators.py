@@ -377,3 +377,28 @@ def test_driver_side_names():
     with pytest.raises(ValueError):
         names.forced_pairs(["a"])
     assert names.unique_names(["x", "x", "x_2", "x"]) == ["x", "x_2", "x_2_2", "x_3"]
+
+
+def test_catalogue_joins_and_counts(spark):
+    variants = spark.createDataFrame([("a", "rpoB"), ("b", "rpoB"), ("c", "katG"), ("d", "other")], "variant string, gene string")
+    grades = spark.createDataFrame([("a", "INH", "1) Assoc w R"), ("a", "RIF", "2) Assoc w R - Interim"), ("b", "RIF", "5) Not assoc w R"), ("b", "INH", "3) Uncertain significance")], "variant string, drug string, grade string")
+    drugs = spark.createDataFrame([("rpoB", "RIF"), ("katG", "INH")], "gene string, drug string")
+    got = sorted(tuple(r) for r in C.with_drug(variants, grades, drugs).collect())
+    assert got == [("a", "rpoB", "RIF_INH", "1) Assoc w R"), ("b", "rpoB", "RIF", "3) Uncertain significance"), ("c", "katG", "INH", "Unknown")]
+    genes = spark.createDataFrame([(1, "x", "R1", 1, 9, "+"), (2, "R1", "R2", 20, 30, "-"), (3, "x", "R3", 40, 50, "+"), (4, "", "R2", 60, 70, "+")], "ordinal int, name string, gene_id string, start int, end int, strand string")
+    asked = spark.createDataFrame([("x",), ("R1",), ("R2",), ("R3",), ("none",)], "gene string")
+    assert sorted((r.gene, r.start) for r in C.gene_of(asked, genes).collect()) == [("R1", 20), ("R2", 20), ("R3", 40), ("x", 40)]
+    markers = spark.createDataFrame([("RIF", "snp", "1"), ("RIF", "snp", "2"), ("INH", "snp", "1")], "drug string, type string, grade string")
+    assert sorted(tuple(r) for r in C.catalogue_counts(markers).collect()) == [("drug", "INH", 1), ("drug", "RIF", 2), ("grade", "1", 2), ("grade", "2", 1), ("type", "snp", 3)]
+    one, other = (spark.createDataFrame([(s,)], "seq string") for s in ("ACGTACGTAC", "ACCTACGTTCGG"))
+    assert [C.reference_differences(one, other, n).first().n for n in (3, 100)] == [2, 2]
+
+
+def test_columns_by_token_and_search_by_position(spark):
+    names = ["Sample ID", "SNP-reference (pos)", "alt", "Alt_Fraction"]
+    assert I.header("  SNP-reference (pos)") == "snp_reference_pos_"
+    assert [I.column_of(names, t) for t in (["sample id"], ["alt"], ["sam"], ["nope", "fraction"])] == ["Sample ID", "alt", None, "Alt_Fraction"]
+    assert I.column_of(names, ["fraction"], exact_only=True) is None
+    frame = spark.createDataFrame([(7, 70, "g7"), (17, 7, "x"), (77, 71, "7")], "g int, r int, gene string")
+    assert [r.g for r in I.scored_search(frame, ["g", "r", "gene"], " 7 ", ["g", "r"], positions=("g", "r")).collect()] == [7, 17]
+    assert [r.g for r in I.scored_search(frame, ["g", "gene"], "g7", ["g"], positions=("g", "r")).collect()] == [7]
