@@ -22,12 +22,22 @@ How the work is spread
   4. A block over the bounds is cut into chunks that each hold the pivot.  Only
      the sets which did not get connected to the pivot then meet the other
      chunks, so a large group of near copies costs one pass and no pair is lost.
+     Before that a block goes whose sets all lie in the block of its own pivot's
+     pivot: every pair of it meets there as well.  So a set's text goes to about
+     one block, not to one for each set that it shares a segment with.
   5. Tree edges of the components (never all pairs) go into a distributed
      min-label contraction of alternating stars, checkpointed each round.
 
+Only texts that have a candidate are shuffled, and once, when these are few enough
+to be broadcast by id (checked); else texts and candidates are dealt by id first.  Each phase is written
+to the checkpoint folder, and its shuffle files go then.
+
 Rows with null or wordless text have no members, size 0, and link with nothing.
 Repeated rows and ids: equal texts are one node; each input row gives one output
-row.  A component's id is the smallest non-null document id in it.
+row.  A component's id is the smallest non-null document id in it.  Rows without
+an id take part; a set that occurs only without an id is found by its fingerprint.
+Texts are never cut: one text's set is held whole by the task that reads it, about
+150 bytes a word.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kmerlake.llm.bytewords import SPACE, U64, Words, fingerprint, mix, pieces
-from kmerlake.llm.tables import bounded, cut, per_piece, release, runs
+from kmerlake.llm.tables import bounded, cut, per_piece, runs, small
 
 _EMPTY = U64(0xA0761D6478BD642F)
 
@@ -242,12 +252,38 @@ def candidate_blocks(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(meet, "node long, pivot long").distinct()
 
 
+def needed_blocks(met: DataFrame) -> DataFrame:
+    """``met`` (node, pivot) without the blocks that lie in another one.
+
+    The block of P lies in that of Q, the smallest pivot P itself is under, when
+    all its nodes are under Q too.  Q is smaller than P, so what remains holds
+    every pair, however long the chain.
+    """
+    over = met.groupBy(F.col("node").alias("pivot")).agg(F.min("pivot").alias("upper"))
+    asked = met.join(over, "pivot").select("node", "pivot", "upper")
+    there = met.select("node", F.col("pivot").alias("upper"), F.lit(True).alias("there"))
+    missing = asked.join(there, ["node", "upper"], "left").groupBy("pivot").agg(F.count_if(F.col("there").isNull()).alias("missing"))
+    return met.join(missing.where("missing = 0"), "pivot", "left_anti").select("node", "pivot")
+
+
+def _node_texts(docs: DataFrame, width: int) -> DataFrame:
+    """(node, text) of each row with words."""
+    of = _sets(width)
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        return {"node": [fingerprint(s) if len(s) else None for s in of(batch)], "text": batch.column("text")}
+
+    schema = pa.schema([("node", pa.int64()), ("text", pa.string())])
+    return docs.select("text").mapInArrow(per_piece(rows, schema), "node long, text string").where("node is not null")
+
+
 def block_edges(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Join the sets of each block.
 
     ``members`` has pivot, chunk, part, node, and rep: the id of a document with
-    that set.  Gives pivot, node, head (a set of its component in the block, the
-    same for all of it) and whether the pivot is in that component.
+    that set, null if it occurs only without an id.  Gives pivot, node, head (a
+    set of its component in the block, the same for all of it) and whether the
+    pivot is in that component.
     """
     of = _sets(width)
     keys = ["pivot", "chunk", "part"]
@@ -269,29 +305,38 @@ def block_edges(members: DataFrame, docs: DataFrame, width: int, percent: int) -
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array(heads, pa.int64()), pa.array([h == own for h in heads], pa.bool_())], ["pivot", "node", "head", "to_pivot"])
                 held = {}
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = members.join(texts, members["rep"].eqNullSafe(texts["doc_id"])).select(*keys, "node", "text")
-    return joined.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "pivot long, node long, head long, to_pivot boolean")
+    members = members.select(*keys, "node", "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    near = F.broadcast(members) if small(members) else members
+    known = texts.join(near, F.col("doc_id") == F.col("rep")).select(*keys, "node", "text")
+    lost = members.where("rep is null")
+    if not lost.isEmpty():
+        unnamed = _node_texts(texts.where("doc_id is null"), width).groupBy("node").agg(F.min("text").alias("text"))
+        known = known.union(lost.join(unnamed, "node").select(*keys, "node", "text"))
+    return known.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "pivot long, node long, head long, to_pivot boolean")
 
 
-def star_components(edges: DataFrame) -> DataFrame:
+def star_components(edges: DataFrame, near_rows: int = 1_000_000) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), root the smallest node of its component.
 
     Alternates large-star and small-star contractions until the edges are stars.
+    The minima are broadcast when there are ``near_rows`` edges at most (counted
+    each round), so a hub's edges need not meet; else Spark splits a hub's join.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     while True:
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        e = cut(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
+        dealt = F.broadcast if now[0] <= near_rows else (lambda x: x)
+        both = e.union(e.select("b", "a"))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(dealt(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small_star = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        e = cut(large.join(dealt(low), "a").select(F.explode(small_star).alias("e")).select("e.*").where("a <> b").distinct())
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block_sets: int = 1500, block_members: int = 1_500_000) -> DataFrame:
@@ -302,16 +347,14 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block
     """
     bounded(docs)
     sized = cut(document_sets(docs, width))
-    nodes = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    met = cut(candidate_blocks(docs, width, percent))
-    release(docs.sparkSession)  # the segment keys, the largest shuffle, are done with
+    nodes = cut(sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
+    met = cut(needed_blocks(cut(candidate_blocks(docs, width, percent))))
     members = met.union(met.select("pivot", "pivot").distinct()).join(nodes, "node")
     load = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_members)).cast("int").alias("chunks"))
     members = cut(members.join(load, "pivot"))
     spread = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "chunks").cast("int")))
     tasks = members.select("pivot", F.explode(spread).alias("chunk"), F.lit(0).alias("part"), "node", "rep")
     found = cut(block_edges(tasks, docs, width, percent))
-    release(docs.sparkSession)
     edges = found.select(F.col("node").alias("a"), F.col("head").alias("b"))
 
     apart = found.where("not to_pivot").join(members.where("chunks > 1"), ["pivot", "node"]).select("pivot", "node", "rep", "n", "chunks")
@@ -320,21 +363,25 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block
         across = members.join(parts, "pivot")
         own = across.select("pivot", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "rep")
         other = apart.join(parts, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int").alias("part"), "node", "rep")
-        more = block_edges(own.union(other).distinct(), docs, width, percent)
+        more = cut(block_edges(cut(own.union(other).distinct()), docs, width, percent))
         edges = edges.union(more.select(F.col("node").alias("a"), F.col("head").alias("b")))
 
-    roots = star_components(edges)
-    labelled = sized.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = labelled.where("node is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.countDistinct("node").alias("component_sets"))
-    return labelled.join(grouped, "root", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component_sets", F.lit(0)).alias("component_sets"))
+    # Components are told from distinct sets, so a group of copies is one row here.
+    rooted = nodes.join(star_components(edges), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    grouped = cut(rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("component_sets")))
+    told = cut(rooted.join(grouped, "root").select("node", "component_id", "component_sets"))
+    return sized.join(told, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component_sets", F.lit(0)).alias("component_sets"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without the near copies: of each component the smallest doc_id stays.
 
-    Columns are the input's.  Rows that share the kept id stay together (an
-    exact repeated row stays once); rows without an id are never dropped.
+    Columns are the input's.  Rows that share the kept id stay together, repeated
+    rows too; rows without an id are never dropped.  The
+    ids that go are broadcast when they are few (checked), so the texts stay put.
     """
-    found = jaccard_components(docs, width, percent)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
+    found = cut(jaccard_components(docs, width, percent))
+    kept = found.where("doc_id = component_id").select("doc_id")
+    gone = cut(found.where("doc_id is not null").select("doc_id").distinct().join(kept, "doc_id", "left_anti").select(F.col("doc_id").alias("gone_id")))
+    gone = F.broadcast(gone) if small(gone) else gone
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

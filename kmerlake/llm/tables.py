@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,28 +28,46 @@ def bounded(docs: DataFrame, megabytes: int = 8, rows: int = 4000) -> DataFrame:
     return docs
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and read them from there.
+def shared_folder(spark: SparkSession) -> None:
+    """Make sure that there is a checkpoint folder: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where a session
-    has none (a local test) a temporary one is set.
+    Only a local session without one gets a temporary folder; on a cluster that
+    would be a folder of one machine, so it is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
-    Spark does so when the driver's garbage is collected, which a driver with
-    little to do may put off for hours while the files fill the executors' disks.
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and read them from there.
+
+    The rows are on shared storage then, so Spark may delete the shuffle files
+    that made them at once (a setting of Spark's, on for this one plan): a phase
+    takes disk for its own shuffles only, whenever garbage is collected.
     """
-    for _ in range(2):  # the first round lets go of plans, the second of the shuffles that only they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
+def small(df: DataFrame, rows: int = 400_000) -> bool:
+    """Whether ``df``, which should be cheap to read again, has ``rows`` rows at most, so that it may be broadcast."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch, bool]]:

@@ -148,6 +148,22 @@ def test_keep_one_of_each(spark, odd, empty):
     assert jaccard.keep_one_of_each(empty).count() == 0
 
 
+def test_missing_ids_stay_linear(spark, empty):
+    data = near_copies(300, 1) + [(10_000, "a text of its own with an id")]
+    rows = [(None if i < 200 else i, t) for i, t in data] + [(None, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(10_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(frame).collect()
+    assert len(got) == len(rows)
+    assert {r.component_id for r in got if r.component_sets > 100} == {200}
+    assert jaccard.keep_one_of_each(frame).count() == 10_000 + 200 + 2
+    assert jaccard.jaccard_components(empty).count() == 0
+
+
+def test_blocks_within_blocks_go(spark):
+    met = spark.createDataFrame([(2, 1), (3, 1), (4, 1), (3, 2), (4, 2), (4, 3), (5, 3), (7, 6)], "node long, pivot long")
+    assert sorted(map(tuple, jaccard.needed_blocks(met).collect())) == [(2, 1), (3, 1), (4, 1), (4, 3), (5, 3), (7, 6)]
+
+
 # ---- op2
 
 
