@@ -8,16 +8,20 @@ is a merge, ranked by the score of the whole.
 
 Pieces never join across the start of a run of markers (checked when the model is
 read), so a text's ids are those of its segments, one after another.  Each task
-encodes a distinct segment once, in batches on the library's own threads, and
-holds it against the SentencePiece library and against its own decoding.  A text
-agrees when all its segments do; a text with one that differs is encoded by the
-SentencePiece library as a whole, so ids always are SentencePiece's.  A model
-whose pieces do cross, or whose normaliser does more than mark spaces, has its
-texts encoded, checked and decoded whole.
+encodes a distinct segment once, in batches on as many of the library's threads
+as Spark gives the task cores (``spark.task.cpus``), and holds it against the
+SentencePiece library and against its own decoding.  A model whose pieces do
+cross, or whose normaliser does more than mark spaces, has its texts encoded,
+checked and decoded whole.
+
+The ids that stand are always the tokenizers library's.  ``parity`` says whether
+the SentencePiece library gives the same ones; its ids go nowhere else.
 
 Null text gives null ids; empty text gives none.  ``round_trip`` says whether
 decoding gives the text back (a text that holds the marker U+2581 itself cannot).
-No shuffle; each input row gives one output row.
+Texts are never cut: a long one is a batch by itself, and its segments are kept
+once.  Other columns, whatever their names, are not read.  No shuffle; each input
+row gives one output row, so repeated rows stay apart.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from kmerlake.llm.bytewords import pieces
@@ -132,8 +137,10 @@ class Model:
 class Codec:
     """Encodes and decodes batches and holds each against the SentencePiece library."""
 
-    def __init__(self, model_file: str, most_segments: int = 300_000, threads: int = 1):
-        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+    def __init__(self, model_file: str, most_segments: int = 300_000):
+        task = TaskContext.get()
+        self.threads = task.cpus() if task else os.cpu_count() or 1
+        os.environ.setdefault("RAYON_NUM_THREADS", str(self.threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         from sentencepiece import SentencePieceProcessor
 
@@ -160,7 +167,7 @@ class Codec:
         else:
             got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ours = [e.ids if t else [] for e, t in zip(got, texts)]
-        want = self.native.encode(texts, num_threads=1)
+        want = self.native.encode(texts, num_threads=self.threads)
         # Segments decode one after another, so one call tells whether all come back.
         if self.plain and self.tokenizer.decode(list(chain.from_iterable(ours)), skip_special_tokens=False) == " ".join(texts):
             return want, ours, texts
@@ -177,7 +184,7 @@ class Codec:
         """Ids, agreement and round trip of each text."""
         if not self.plain:
             want, ours, back = self._both(texts)
-            return want, [a == b for a, b in zip(want, ours)], [a == b for a, b in zip(back, texts)]
+            return ours, [a == b for a, b in zip(want, ours)], [a == b for a, b in zip(back, texts)]
         cuts = [self.segments(t) for t in texts]
         needed = set().union(*cuts)
         if len(self.ids) > self.most:
@@ -185,48 +192,48 @@ class Codec:
         fresh = [s for s in needed if s not in self.ids and s]
         # Both libraries put one marker before a text, which is the segment's first.
         want, ours, back = self._both(fresh) if fresh else ([], [], [])
-        self.ids.update(zip(fresh, want))
+        self.ids.update(zip(fresh, ours))
         if want != ours:
             self.odd.update(s for s, a, b in zip(fresh, want, ours) if a != b)
         if back != fresh:
             self.lossy.update(s for s, b in zip(fresh, back) if s != b)
         if "" in needed and "" not in self.ids:  # a marker and nothing else
-            self.ids[""] = self.native.encode(" ")[1:] or self.native.piece_to_id([_MARK])
+            self.ids[""] = self.segment_tokenizer.encode(_MARK, add_special_tokens=False).ids
+            if self.ids[""] != (self.native.encode(" ")[1:] or self.native.piece_to_id([_MARK])):
+                self.odd.add("")
         of = self.ids.__getitem__
         ids = [list(chain.from_iterable(map(of, c))) for c in cuts]
         odd, lossy = self.odd, self.lossy
-        same = [not odd or odd.isdisjoint(c) for c in cuts]
-        for i, good in enumerate(same):
-            if not good:
-                ids[i] = self.native.encode(texts[i])
-        return ids, same, [(not lossy or lossy.isdisjoint(c)) and _MARK not in t for c, t in zip(cuts, texts)]
+        return ids, [not odd or odd.isdisjoint(c) for c in cuts], [(not lossy or lossy.isdisjoint(c)) and _MARK not in t for c, t in zip(cuts, texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, token_ids, n_tokens, parity (this library gave SentencePiece's ids) and round_trip."""
+    """doc_id, token_ids, n_tokens, parity (SentencePiece gives the same ids) and round_trip."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_file)
         gc.disable()  # many short lists and no cycles: collections would only walk the caches
-        for batch in batches:
-            for piece in pieces(batch, limit=2 << 20):
-                texts = piece.column("text").to_pylist()
-                ids, same, whole = codec.encode([t or "" for t in texts])
-                none = [t is None for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("doc_id"),
-                        pa.array([None if x else i for i, x in zip(ids, none)], pa.list_(pa.int32())),
-                        pa.array([None if x else len(i) for i, x in zip(ids, none)], pa.int64()),
-                        pa.array([None if x else s for s, x in zip(same, none)], pa.bool_()),
-                        pa.array([None if x else w for w, x in zip(whole, none)], pa.bool_()),
-                    ],
-                    ["doc_id", "token_ids", "n_tokens", "parity", "round_trip"],
-                )
-        gc.enable()
+        try:
+            for batch in batches:
+                for piece in pieces(batch, limit=2 << 20):
+                    texts = piece.column("text").to_pylist()
+                    ids, same, whole = codec.encode([t or "" for t in texts])
+                    none = [t is None for t in texts]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            piece.column("doc_id"),
+                            pa.array([None if x else i for i, x in zip(ids, none)], pa.list_(pa.int32())),
+                            pa.array([None if x else len(i) for i, x in zip(ids, none)], pa.int64()),
+                            pa.array([None if x else s for s, x in zip(same, none)], pa.bool_()),
+                            pa.array([None if x else w for w, x in zip(whole, none)], pa.bool_()),
+                        ],
+                        ["doc_id", "token_ids", "n_tokens", "parity", "round_trip"],
+                    )
+        finally:
+            gc.enable()
 
     return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens long, parity boolean, round_trip boolean")
 
