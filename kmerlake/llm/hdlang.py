@@ -13,7 +13,9 @@ one vector per language, and Spark adds those; nothing else is gathered.
 Learning uses the text and non-null language of the training rows only.  A text
 that is null or without a letter is ``und`` with score 0, as is every text when
 nothing was learned.  Ties go to the first language by name.  Each input row
-gives one output row.
+gives one output row, so repeated rows stay apart; other columns, whatever their
+names, are not read.  Texts are read whole: a long one is bundled some thousand
+n-grams at a time.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ _BLANK = 0
 class Encoder:
     """Turns texts into n-gram counts and n-grams into vectors."""
 
-    def __init__(self, size: int = 512, width: int = 3, most: int = 60_000):
+    def __init__(self, size: int = 512, width: int = 3, most: int = 40_000):
         self.size, self.width, self.most = size, width, most
         self.kind = np.full(0x110000, -1, dtype=np.int32)  # letter number of a code point, 0 for none
         self.kind[0x20] = _BLANK
@@ -77,7 +79,7 @@ class Encoder:
         out = [number.get(g, -1) for g in grams.tolist()]
         fresh = [g for g, i in zip(grams.tolist(), out) if i < 0]
         if fresh:
-            if len(number) + len(fresh) > max(self.most, len(grams)):
+            if len(number) + len(fresh) > self.most:  # a call asks for fewer than ``most``
                 self._forget()
                 number, fresh = self.number, grams.tolist()
             made = np.ones((len(fresh), self.size), np.float32)
@@ -86,16 +88,20 @@ class Encoder:
                 made *= np.roll(letters, self.width - 1 - i, axis=1)
             number.update(zip(fresh, range(len(number), len(number) + len(fresh))))
             if len(number) > len(self.vectors):
-                grown = np.zeros((max(4096, 2 * len(number)), self.size), np.float32)
+                grown = np.zeros((min(max(4096, 2 * len(number)), max(self.most, len(number))), self.size), np.float32)
                 grown[: len(self.vectors)] = self.vectors
                 self.vectors = grown
             self.vectors[len(number) - len(fresh) : len(number)] = made
             out = [number[g] for g in grams.tolist()]
         return np.array(out, dtype=np.int64)
 
-    def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        at = self.rows(grams)
-        return counts.astype(np.float32) @ self.vectors[at]
+    def bundle(self, grams: np.ndarray, counts: np.ndarray, step: int = 4096) -> np.ndarray:
+        """The sum of the n-grams' vectors, ``step`` of them at a time, so a text's memory does not grow with its n-grams."""
+        total = np.zeros(self.size, np.float64)
+        for i in range(0, len(grams), step):
+            at = self.rows(grams[i : i + step])
+            total += counts[i : i + step].astype(np.float32) @ self.vectors[at]
+        return total
 
 
 def prototypes(docs: DataFrame, size: int = 512, width: int = 3) -> dict[str, np.ndarray]:
@@ -113,7 +119,7 @@ def prototypes(docs: DataFrame, size: int = 512, width: int = 3) -> dict[str, np
                     grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
                     if len(grams):
                         counts = np.bincount(at, weights=np.concatenate([c for _, c in parts]))
-                        total[lang] = total.get(lang, 0.0) + encoder.bundle(grams, counts).astype(np.float64)
+                        total[lang] = total.get(lang, 0.0) + encoder.bundle(grams, counts)
         langs = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array([x for x in langs for _ in range(size)], pa.string()), pa.array(list(range(size)) * len(langs), pa.int32()), pa.array(np.concatenate([total[x] for x in langs]) if langs else [], pa.float64())], ["lang", "place", "value"])
 
