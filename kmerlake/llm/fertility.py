@@ -3,14 +3,25 @@
 The plain rules (the base) count words, symbols, repeated lines and repeated
 3-word windows.  The method then encodes every word with a public vocabulary and
 measures, for each text, the characters per token, the share of byte-fallback
-tokens and the entropy of its token distribution.  A text is rejected when a
-measure leaves the band of its script.
+tokens and the entropy of its token distribution (as a share of what its token
+count allows).  A text is rejected when a measure leaves the band of its language.
+
+Bands come from the corpus: for each language, and for each script, histograms of
+the measures over all texts that pass the base give the quartiles, and a band
+reaches some interquartile ranges beyond them (``REACH``).  Quartiles do not move
+much while less than a quarter of the texts is odd on one side.  A language with
+fewer than ``least`` texts, or beyond the ``most_languages`` most frequent ones, has
+its script's band; a script with too few texts has the stated band of ``BANDS``.
 
 A word's tokens are those of the word encoded on its own, so each task encodes a
-distinct word once and the rest is array work over word numbers.  No shuffle.
+distinct word once and the rest is array work over word numbers.  Only histogram
+counts are shuffled.
 
 Null text counts as empty.  An empty text has no words, so the base fails.  Each
-input row gives one output row; other columns are not touched.
+input row gives one output row, so repeated rows stay apart; other columns are not
+touched.  A null or missing ``lang`` leaves the script's band.  Texts are measured
+whole, a long one as a batch by itself (some 100 bytes of memory a word).  With no
+text at all there is nothing to learn and nothing to reject.
 """
 
 from __future__ import annotations
@@ -19,13 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kmerlake.llm.bytewords import SPACE, U64, Words, mix, pieces
-from kmerlake.llm.tables import bounded
+from kmerlake.llm.tables import bounded, cut
 
-#: Script to (least, most characters per token; most byte-fallback share; least
-#: entropy of the tokens in bits as a share of what its token count allows).
+#: Bands of scripts with too few texts to learn from: least and most characters
+#: per token, most byte-fallback share, least share of the possible entropy.
 BANDS = {
     "latin": (1.55, 7.0, 0.20, 0.67),
     "cyrillic_greek": (1.2, 6.0, 0.30, 0.30),
@@ -34,6 +45,10 @@ BANDS = {
     "east_asian": (0.3, 3.0, 0.90, 0.25),
     "none": (1.0, 12.0, 0.50, 0.30),
 }
+#: How far a band reaches beyond the quartiles, in interquartile ranges, and the
+#: least such range, of each measure.
+REACH = {"chars_per_token": (4.0, 0.05), "byte_share": (4.0, 0.0125), "entropy_share": (2.0, 0.02)}
+_BIN = 1000  # histogram bins in one unit of a measure
 _SCRIPTS = list(BANDS)
 #: Lead byte of a character to its script's number; ASCII letters are Latin.
 _SCRIPT_OF = np.full(256, -1, dtype=np.int8)
@@ -45,7 +60,10 @@ _SCRIPT_OF[[*range(0xE3, 0xEE)]] = 4
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
-FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("n_tokens", "long"), ("chars_per_token", "double"), ("byte_share", "double"), ("token_entropy", "double"), ("script", "string"), ("base_failed", "boolean"), ("kept", "boolean")]
+BASE_FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean")]
+MORE_FIELDS = [("n_tokens", "long"), ("chars_per_token", "double"), ("byte_share", "double"), ("token_entropy", "double"), ("entropy_share", "double"), ("script", "string")]
+_KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+Bands = dict[tuple[str, str | None], tuple[float, float, float, float]]
 
 
 def repeated_lines(text: bytes) -> int:
@@ -62,12 +80,12 @@ def repeated_lines(text: bytes) -> int:
 class Meter:
     """Measures batches of texts; keeps the tokens of the words it has met."""
 
-    def __init__(self, model_file: str, bands: dict = BANDS, most_words: int = 200_000):
+    def __init__(self, model_file: str, most_words: int = 200_000):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=model_file)
         self.byte = np.array([self.model.is_byte(i) for i in range(len(self.model))])
-        self.bands, self.most = np.array([bands[s] for s in _SCRIPTS]), most_words
+        self.most = most_words
         self._forget()
 
     def _forget(self) -> None:
@@ -126,10 +144,7 @@ class Meter:
         per_token = out["word_chars"] / np.maximum(tokens, 1)
         out |= {"n_tokens": tokens, "chars_per_token": per_token, "byte_share": share, "token_entropy": np.maximum(entropy, 0.0)}
         out["base_failed"] = (n < 50) | (100 * out["n_repeat_words"] > 50 * n)
-        low, high, most_bytes, least_entropy = self.bands[script].T
-        possible = np.log2(np.clip(tokens, 2, 512))
-        good = (per_token >= low) & (per_token <= high) & (share <= most_bytes) & (entropy / possible >= least_entropy)
-        out["kept"] = ~out["base_failed"] & good
+        out["entropy_share"] = out["token_entropy"] / np.log2(np.clip(tokens, 2, 512))
         return out
 
     @staticmethod
@@ -151,26 +166,80 @@ class Meter:
         return np.bincount(row[mark], minlength=rows)
 
 
-def text_quality(docs: DataFrame, model_file: str, bands: dict = BANDS) -> DataFrame:
-    """doc_id, the base counts, the fertility measures, base_failed and kept of each row."""
+def measures(docs: DataFrame, model_file: str) -> DataFrame:
+    """doc_id, lang and the measures of each row."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    fields = BASE_FIELDS + MORE_FIELDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = Meter(model_file, bands)
+        meter = Meter(model_file)
         for batch in batches:
             for piece in pieces(batch):
                 got = meter.measure(piece.column("text"))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(got[n], {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in FIELDS)], ["doc_id", *(n for n, _ in FIELDS)])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("lang"), *(pa.array(got[n], _KINDS[t]) for n, t in fields)], ["doc_id", "lang", *(n for n, _ in fields)])
+
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text").mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{n} {t}" for n, t in fields))
+
+
+def learn_bands(measured: DataFrame, least: int = 100, most_languages: int = 500) -> Bands:
+    """(script, language or None) to its band, from the rows of ``measures`` that pass the base."""
+    of = F.array(F.struct("script", F.lit(None).cast("string").alias("lang")), F.struct("script", "lang"))
+    groups = F.explode(F.when(F.col("lang").isNull(), F.slice(of, 1, 1)).otherwise(of))
+    good = measured.where("not base_failed").select(groups.alias("g"), *REACH)
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * _BIN).cast("long").alias("bin")) for m in REACH]))
+    counted = good.select("g.*", cells.alias("c")).groupBy("script", "lang", "c.measure", "c.bin").count()
+    own = Window.partitionBy("script", "lang", "measure")
+    placed = counted.withColumns({"upto": F.sum("count").over(own.orderBy("bin")), "total": F.sum("count").over(own)})
+    quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) / _BIN
+    found = placed.where(F.col("total") >= least).groupBy("script", "lang", "measure").agg(quartile(0.25).alias("a"), quartile(0.75).alias("b"), F.first("total").alias("total"))
+    per = found.groupBy("script", "lang").agg(F.first("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("measure", F.struct("a", "b")))).alias("m"))
+    bands: Bands = {}
+    for r in per.orderBy(F.col("lang").isNotNull(), F.desc("total"), "script", "lang").limit(most_languages + len(BANDS)).collect():
+        out = {}
+        for name, (reach, narrowest) in REACH.items():
+            a, b = r.m[name]
+            out[name] = a - reach * max(b - a, narrowest), b + reach * max(b - a, narrowest)
+        bands[r.script, r.lang] = out["chars_per_token"][0], out["chars_per_token"][1], out["byte_share"][1], out["entropy_share"][0]
+    return bands
+
+
+def within(got: dict, langs: list[str | None], bands: Bands) -> np.ndarray:
+    """Whether each text passes the base and lies in the band of its language, else of its script."""
+    band = [bands.get((s, g)) or bands.get((s, None)) or BANDS[s] for s, g in zip(got["script"], langs)]
+    low, high, most_bytes, least_entropy = np.array(band, np.float64).reshape(-1, 4).T
+    per, share, entropy, failed = (np.asarray(got[n]) for n in ("chars_per_token", "byte_share", "entropy_share", "base_failed"))
+    return ~failed.astype(bool) & (per >= low) & (per <= high) & (share <= most_bytes) & (entropy >= least_entropy)
+
+
+def text_quality(docs: DataFrame, model_file: str, bands: Bands | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and the fertility measures of each row."""
+    measured = cut(measures(docs, model_file))
+    bands = learn_bands(measured) if bands is None else bands
+    names = [n for n, _ in BASE_FIELDS + MORE_FIELDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = {n: batch.column(n).to_pylist() if n == "script" else batch.column(n).to_numpy(zero_copy_only=False) for n in names}
+            kept = within(got, batch.column("lang").to_pylist(), bands)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in first), pa.array(kept), *(batch.column(n) for n, _ in MORE_FIELDS)], [*first, "kept", *(n for n, _ in MORE_FIELDS)])
+
+    first = ["doc_id", *(n for n, _ in BASE_FIELDS)]
+    schema = "doc_id long, " + ", ".join(f"{n} {t}" for n, t in [*BASE_FIELDS, ("kept", "boolean"), *MORE_FIELDS])
+    return measured.mapInArrow(run, schema)
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {t}" for n, t in FIELDS))
 
+def keep_quality(docs: DataFrame, model_file: str, bands: Bands | None = None) -> DataFrame:
+    """The documents that pass the base and the bands, columns unchanged.
 
-def keep_quality(docs: DataFrame, model_file: str, bands: dict = BANDS) -> DataFrame:
-    """The documents that pass the base and the bands, columns unchanged."""
+    Learning the bands reads the texts once, filtering once more.
+    """
+    bands = learn_bands(cut(measures(docs, model_file))) if bands is None else bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = Meter(model_file, bands)
+        meter = Meter(model_file)
         for batch in batches:
             for piece in pieces(batch):
-                yield piece.filter(pa.array(meter.measure(piece.column("text"))["kept"]))
+                langs = piece.column("lang").cast(pa.string()).to_pylist() if "lang" in piece.schema.names else [None] * piece.num_rows
+                yield piece.filter(pa.array(within(meter.measure(piece.column("text")), langs, bands)))
 
     return bounded(docs).mapInArrow(run, docs.schema)
