@@ -2,34 +2,44 @@
 
 The lines of a text (split at ``\\n``) are hashed.  A chunk ends after a line
 when a rolling hash over the last ``window`` line hashes is 0 modulo ``divisor``,
-so chunk borders depend on nearby lines only and come back to the same places
-after lines were put in or taken out.  A line of ``long_words`` words or more is
-a chunk of its own, since it is a passage by itself.
-
-A chunk counts when it has two lines with words or more, or a long line.  Where
-the same chunk occurs more than once in the corpus, the first occurrence (lowest
-doc_id, then position) stays and the others are removed, each only after its
-bytes were compared with those of the first.
-
-With ``extend`` a repeat does not end at its chunk's borders: any two
-neighbouring lines with words (and the blank lines between) are compared as well,
-so a repeat goes on, line by line, as long as these neighbours stand somewhere
-earlier too.  Such a run goes when it holds a repeated chunk, or ``long_words``
-words, or all the words of its text; no repeated passage depends on where the
-borders fall.  The first occurrence of every line stays.
-
-How the work is spread: chunk hashes are counted with map-side combining, so a
-passage in a third of all documents is one row per task; only chunks that repeat
-send text, once from the first document and then along with each occurrence.
-
-Null text stays null, empty text stays empty.  Rows that share an id (or have
-none) count as one document: their equal chunks at equal positions stay.  A text
-all of whose lines are removed becomes empty.
+so borders depend on nearby lines only and come back to the same places after
+lines were put in or taken out.  A chunk has ``least`` lines with words or more
+and ``most`` at most; what is left at a text's end joins the last chunk.  Every
+chunk with two worded lines counts.
+
+Where the same chunk occurs more than once in the corpus, the first occurrence
+(lowest doc_id, then position) stays and the others are removed, each only after
+its bytes were compared with those of the first.  Two further steps, each of
+which can be switched off, take what chunk borders leave:
+
+``extend``      a repeat goes on, line by line, over the borders of its chunk: any
+                two neighbouring lines with words (and the blank lines between)
+                are compared too, and a run of lines that stand earlier goes when
+                it holds a removed chunk or long line, ``run_words`` words, or all
+                the words of its text.
+``long_words``  a single line of so many words that stands earlier goes, since it
+                is a passage by itself (None: off).
+
+The output tells for each row how many lines went by which step.  The first
+occurrence of every line stays.
+
+How the work is spread: unit hashes are counted with map-side combining, so a
+passage in a third of all documents is one row per task; only units that repeat
+send text, once from the first document and then along with each occurrence, in a
+plain join that Spark splits where a hash is frequent.
+
+Null text stays null, empty text stays empty.  Rows that share an id count as one
+document: their equal chunks at equal positions stay.  Rows without an id come
+after the others, ordered by a hash of the text, so equal ones count as one.  A
+text all of whose lines are removed becomes empty.  Texts are read whole, one at a
+time.  Input columns named like the added ones are replaced; any others, whatever
+their names, are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -39,153 +49,182 @@ from kmerlake.llm.tables import bounded, cut
 
 _MASK = (1 << 64) - 1
 _SIGN = 1 << 63
+CHUNK, LONG, PAIR = 0, 1, 2
+ADDED = ("cut_lines", "cut_by_chunk", "cut_by_long_line", "cut_by_extension")
 
 
-def line_chunks(text: str, window: int = 2, divisor: int = 3, long_words: int = 16) -> list[tuple[int, int, bool]]:
-    """(first line, end line, whether it counts) of each chunk."""
-    lines = text.encode().split(b"\n")
-    words = [len(x.split()) for x in lines]
+@dataclass(frozen=True)
+class How:
+    window: int = 2
+    divisor: int = 2
+    least: int = 2
+    most: int = 12
+    extend: bool = False
+    run_words: int = 16
+    long_words: int | None = 16
+
+
+def line_chunks(lines: list[bytes], how: How = How()) -> list[tuple[int, int]]:
+    """(first line, end line) of each chunk."""
     hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
-    out, first = [], 0
-    for i, n in enumerate(words):
+    out, first, worded = [], 0, 0
+    for i, line in enumerate(lines):
+        worded += not not line.split()
         rolling = 0
-        for h in hashes[max(0, i - window + 1) : i + 1]:
+        for h in hashes[max(0, i - how.window + 1) : i + 1]:
             rolling = (rolling * 0x9E3779B97F4A7C15 + h) & _MASK
         rolling ^= rolling >> 29
-        last = i + 1 == len(words)
-        if last or n >= long_words or words[i + 1] >= long_words or rolling % divisor == 0:
-            out.append((first, i + 1, words[first] >= long_words or sum(1 for w in words[first : i + 1] if w) >= 2))
-            first = i + 1
+        if worded >= how.most or worded >= how.least and rolling % how.divisor == 0:
+            out.append((first, i + 1))
+            first, worded = i + 1, 0
+    if first < len(lines):
+        if out and worded < how.least:
+            out[-1] = out[-1][0], len(lines)
+        else:
+            out.append((first, len(lines)))
     return out
 
 
-def line_units(text: str, extend: bool = False, **how) -> list[tuple[int, int, bool, bool]]:
-    """(first line, end line, whether it counts, whether it is a chunk) by position: the chunks and, with ``extend``, the neighbouring lines with words that are no chunk."""
-    out = [(a, b, counts, True) for a, b, counts in line_chunks(text, **how)]
-    if extend:
-        chunks = {(a, b) for a, b, counts, _ in out if counts}
-        worded = [i for i, x in enumerate(text.encode().split(b"\n")) if x.split()]
-        out = sorted(out + [(a, b + 1, True, False) for a, b in zip(worded, worded[1:]) if (a, b + 1) not in chunks])
-    return out
-
-
-def _said(lines: list[str], chunk: bool, long_words: int = 16) -> str:
-    """What is compared of a unit.  Neighbours show a digest for a long line, whose bytes are compared as a chunk."""
-    return "\n".join(lines if chunk else [xxhash.xxh3_128_hexdigest(x.encode()) if len(x.encode().split()) >= long_words else x for x in lines])
-
-
-def _hash(said: str) -> int:
-    h = xxhash.xxh3_64_intdigest(said.encode(), seed=7)
-    return h - (1 << 64) if h >= _SIGN else h
-
-
-def _chunk_rows(docs: DataFrame, **how) -> DataFrame:
+class Units:
+    """What is compared of a text: (first line, end line, kind) in order of position."""
+
+    def __init__(self, text: str, how: How):
+        self.lines = text.encode().split(b"\n")
+        self.words = [len(x.split()) for x in self.lines]
+        self.how = how
+        worded = [i for i, n in enumerate(self.words) if n]
+        units = [(a, b, CHUNK) for a, b in line_chunks(self.lines, how) if sum(1 for n in self.words[a:b] if n) >= 2]
+        if how.long_words is not None:
+            units += [(i, i + 1, LONG) for i in worded if self.words[i] >= how.long_words]
+        if how.extend:
+            units += [(a, b + 1, PAIR) for a, b in zip(worded, worded[1:])]
+        self.units = sorted(units)
+
+    def said(self, unit: tuple[int, int, int]) -> bytes:
+        """The bytes compared of a unit.  A pair shows a digest for a long line, whose own bytes are compared as one."""
+        a, b, kind = unit
+        return b"%d" % kind + b"\n".join(xxhash.xxh3_128_digest(self.lines[i]) if kind == PAIR and self.long(i) else self.lines[i] for i in range(a, b))
+
+    def long(self, i: int) -> bool:
+        return self.how.long_words is not None and self.words[i] >= self.how.long_words
+
+    def hash(self, unit: tuple[int, int, int]) -> int:
+        h = xxhash.xxh3_64_intdigest(self.said(unit), seed=7)
+        return h - (1 << 64) if h >= _SIGN else h
+
+    def dropped(self, marked: list[dict]) -> tuple[set[int], set[int], set[int]]:
+        """Lines that go by their chunk, as long lines and by extension, from (seq, first, own) of repeated units."""
+        lines: tuple[set[int], ...] = (set(), set(), set())
+        for m in marked:
+            if m["seq"] >= len(self.units) or self.said(self.units[m["seq"]]) != m["first"]:
+                continue
+            a, b, kind = self.units[m["seq"]]
+            if m["own"] is not None and m["own"] < len(self.units):
+                c, d, own = self.units[m["own"]]
+                if own == kind and c < a < d:
+                    a = d  # a repeat that begins inside its first occurrence leaves that whole
+            lines[kind].update(i for i in range(a, b) if kind != PAIR or not self.long(i))
+        chunk, long, pair = lines
+        long -= chunk
+        if not self.how.extend:
+            return chunk, long, set()
+        gone = self._runs(chunk | long, pair)
+        return chunk, long, gone - chunk - long
+
+    def _runs(self, sure: set[int], pair: set[int]) -> set[int]:
+        drop, run = set(), []
+        marked = sorted(sure | pair)
+        for line, following in zip(marked, [*marked[1:], None]):
+            run.append(line)
+            if following != line + 1:
+                n = sum(self.words[i] for i in run)
+                if n >= self.how.run_words or n == sum(self.words) or not sure.isdisjoint(run):
+                    drop.update(run)
+                run = []
+        # Blank lines go where nothing else is left.
+        return set(range(len(self.lines))) if drop and not any(n for i, n in enumerate(self.words) if i not in drop) else drop
+
+
+def _unit_rows(docs: DataFrame, how: How) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, at = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for none, key, text in zip(*(batch.column(c).to_pylist() for c in ("none", "key", "text"))):
                 if text:
-                    lines = text.split("\n")
-                    for k, (a, b, counts, chunk) in enumerate(line_units(text, **how)):
-                        if counts:
-                            ids.append(doc)
-                            hashes.append(_hash(_said(lines[a:b], chunk, how["long_words"])))
-                            at.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int32())], ["hash", "doc_id", "seq"])
+                    units = Units(text, how)
+                    for k, u in enumerate(units.units):
+                        for column, value in zip(out, (units.hash(u), none, key, k)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int32()))], ["hash", "none", "key", "seq"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "hash long, doc_id long, seq int")
+    return docs.select("none", "key", "text").mapInArrow(rows, "hash long, none boolean, key long, seq int")
 
 
-def _texts(docs: DataFrame, firsts: DataFrame, **how) -> DataFrame:
-    """(hash, first_text) of the first occurrence of each repeated chunk."""
+def _first_texts(docs: DataFrame, firsts: DataFrame, how: How) -> DataFrame:
+    """(hash, first) with the bytes of the first occurrence of each repeated unit."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, texts = [], []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                if text is None:
-                    continue
-                lines, units = text.split("\n"), line_units(text, **how)
+                units = Units(text or "", how)
                 for w in wanted:
-                    if w["seq"] < len(units):
-                        a, b, _, chunk = units[w["seq"]]
-                        said = _said(lines[a:b], chunk, how["long_words"])
-                        if _hash(said) == w["hash"]:
-                            hashes.append(w["hash"])
-                            texts.append(said)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], ["hash", "first_text"])
-
-    lists = firsts.groupBy("first_doc").agg(F.collect_list(F.struct("hash", "seq")).alias("wanted"))
-    joined = docs.select("doc_id", "text").join(lists, docs["doc_id"].eqNullSafe(lists["first_doc"])).select("text", "wanted")
-    return joined.mapInArrow(rows, "hash long, first_text string").groupBy("hash").agg(F.min("first_text").alias("first_text"))
-
-
-def _extended(lines: list[str], chunks: set[int], pairs: set[int], long_words: int) -> set[int]:
-    """The lines of the runs that go: those with a repeated chunk, with ``long_words`` words, or with all the words there are; and the blank lines where nothing else is left."""
-    words = [len(x.encode().split()) for x in lines]
-    drop: set[int] = set()
-    marked = sorted(chunks | pairs)
-    first = 0
-    for k, line in enumerate(marked):
-        if k + 1 == len(marked) or marked[k + 1] != line + 1:
-            run, first = marked[first : k + 1], k + 1
-            n = sum(words[i] for i in run)
-            if n >= long_words or n == sum(words) or not chunks.isdisjoint(run):
-                drop.update(run)
-    return set(range(len(lines))) if drop and not any(n for i, n in enumerate(words) if i not in drop) else drop
-
-
-def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, long_words: int = 16, drop_emptied: bool = False, extend: bool = False) -> DataFrame:
-    """The input's rows and columns with repeated chunks cut out of ``text``, and
-    ``cut_lines``, the number of lines removed (null where text is null).
-
-    With ``drop_emptied`` rows that lose all their lines are left out.  With
-    ``extend`` repeats go on over the borders of their chunks.
+                    if w["seq"] < len(units.units) and units.hash(units.units[w["seq"]]) == w["hash"]:
+                        hashes.append(w["hash"])
+                        texts.append(units.said(units.units[w["seq"]]))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(texts, pa.binary())], ["hash", "first"])
+
+    lists = firsts.groupBy("none", "key").agg(F.collect_list(F.struct("hash", "seq")).alias("wanted"))
+    joined = docs.select("none", "key", "text").join(lists, ["none", "key"]).select("text", "wanted")
+    return joined.mapInArrow(rows, "hash long, first binary").groupBy("hash").agg(F.min("first").alias("first"))
+
+
+def dedup_lines(docs: DataFrame, drop_emptied: bool = False, **how) -> DataFrame:
+    """The input's rows and columns with repeated lines cut out of ``text``, and
+    ``cut_lines``, how many went, in all and by step (null where text is null).
+
+    With ``drop_emptied`` rows that lose all their lines are left out.  Further
+    arguments are those of ``How``.
     """
-    how = {"window": window, "divisor": divisor, "long_words": long_words, "extend": extend}
-    marked_as = "cuts" + "_" * max(map(len, docs.columns))  # no column of the input has this name
-    keyed = bounded(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    chunks = cut(_chunk_rows(keyed, **how))
-    repeated = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("seq").alias("seq"))).alias("first")).where("n > 1")
-    repeated = cut(repeated.select("hash", F.col("first.doc").alias("first_doc"), F.col("first.seq").alias("seq")))
-    first_texts = cut(_texts(keyed, repeated, **how))
-    later = chunks.join(repeated.select("hash", "first_doc", F.col("seq").alias("first_seq")), "hash").where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("seq") == F.col("first_seq"))))
-    own = F.when(F.col("doc_id").eqNullSafe(F.col("first_doc")), F.col("first_seq"))  # the first occurrence in the same text
-    cuts = later.join(first_texts, "hash").groupBy(F.col("doc_id").alias("cut_doc")).agg(F.collect_list(F.struct("seq", "first_text", own.alias("own"))).alias(marked_as))
-    joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(cuts["cut_doc"]), "left").drop(cuts["cut_doc"])
-    schema = docs.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in docs.columns if c != "cut_lines"], F.lit(None).cast("long").alias("cut_lines")).schema
+    way = How(**how)
+    longest = "_" * max(map(len, docs.columns))  # no column of the input has a name with these added
+    none, key, marked_as = (x + longest for x in ("none", "key", "marked"))
+    told = bounded(docs).withColumns({none: F.col("doc_id").isNull(), key: F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))})
+    keyed = told.select(F.col(none).alias("none"), F.col(key).alias("key"), "text")
+    units = cut(_unit_rows(keyed, way))
+    at = F.struct("none", "key", "seq")
+    repeated = cut(units.groupBy("hash").agg(F.count("*").alias("n"), F.min(at).alias("at")).where("n > 1").select("hash", "at.*"))
+    firsts = repeated.select("hash", F.struct("none", "key", "seq").alias("at"))
+    firsts = cut(firsts.join(_first_texts(keyed, repeated, way), "hash"))
+    own = F.when((F.col("none") == F.col("at.none")) & (F.col("key") == F.col("at.key")), F.col("at.seq"))  # the first occurrence in the same text
+    later = units.join(firsts, "hash").where(F.col("at") != at)
+    cuts = later.groupBy(F.col("none").alias(none), F.col("key").alias(key)).agg(F.collect_list(F.struct("seq", "first", own.alias("own"))).alias(marked_as))
+    joined = told.join(cuts, [none, key], "left").drop(none, key)
+    kept_columns = [c for c in docs.columns if c not in ADDED]
+    schema = docs.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in kept_columns], *[F.lit(None).cast("long").alias(c) for c in ADDED]).schema
     names = [f.name for f in schema]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed, keep = [], [], []
+            keep, texts, counts = [], [], []
             for i, (text, marked) in enumerate(zip(batch.column("text").to_pylist(), batch.column(marked_as).to_pylist())):
-                gone = 0
+                by: tuple[int | None, ...] = (None,) * 4 if text is None else (0,) * 4
                 if text and marked:
-                    lines, units = text.split("\n"), line_units(text, **how)
-                    drop: set[int] = set()
-                    pairs: set[int] = set()
-                    for m in marked:
-                        if m["seq"] < len(units):
-                            a, b, _, chunk = units[m["seq"]]
-                            if _said(lines[a:b], chunk, long_words) == m["first_text"]:
-                                if extend and m["own"] is not None and m["own"] < len(units):
-                                    c, d, _, own_chunk = units[m["own"]]
-                                    if c < a < d and _said(lines[c:d], own_chunk, long_words) == m["first_text"]:
-                                        a = d  # a repeat that begins inside its first occurrence leaves that whole
-                                (drop if chunk else pairs).update(i for i in range(a, b) if chunk or len(lines[i].encode().split()) < long_words)
-                    if extend:
-                        drop = _extended(lines, drop, pairs, long_words)
-                    gone = len(drop)
-                    if gone:
-                        text = "\n".join(x for k, x in enumerate(lines) if k not in drop)
-                        if drop_emptied and gone == len(lines):
+                    units_ = Units(text, way)
+                    parts = units_.dropped(marked)
+                    by = sum(map(len, parts)), *map(len, parts)
+                    if by[0]:
+                        gone = set().union(*parts)
+                        text = b"\n".join(x for k, x in enumerate(units_.lines) if k not in gone).decode()
+                        if drop_emptied and by[0] == len(units_.lines):
                             continue
                 keep.append(i)
                 texts.append(text)
-                removed.append(None if text is None else gone)
+                counts.append(by)
             rest = batch.take(pa.array(keep, pa.int64()))
-            put = {"text": pa.array(texts, pa.string()), "cut_lines": pa.array(removed, pa.int64())}
+            put = {"text": pa.array(texts, pa.string())} | {c: pa.array([x[k] for x in counts], pa.int64()) for k, c in enumerate(ADDED)}
+            if "doc_id" in rest.schema.names:
+                put["doc_id"] = rest.column("doc_id").cast(pa.int64())
             yield pa.RecordBatch.from_arrays([put[n] if n in put else rest.column(n) for n in names], names)
 
     return joined.mapInArrow(remove, schema)

@@ -28,7 +28,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kmerlake.llm.linededup import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents"), extend=True).select("doc_id", "text", "cut_lines")
+    return dedup_lines(table(spark, sf_dir, "documents"), extend=True).select("doc_id", "text", "cut_lines", "cut_by_chunk", "cut_by_long_line", "cut_by_extension")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,36 +174,78 @@ def test_line_dedup_removes_later_copies(spark):
     out = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert out[1].text == data[0][1] and out[3].text == data[2][1] and out[5].text == data[4][1]
     assert out[4].text == "x" and out[4].cut_lines == 1
-    assert out[2].cut_lines >= 20 and out[2].text.startswith("other start here") and out[2].text.endswith("end of it")
+    assert out[2].cut_lines >= 30 and out[2].cut_by_chunk == out[2].cut_lines and out[2].text.startswith("other start here") and out[2].text.endswith("end of it")
     assert out[6].text is None and out[6].cut_lines is None and out[7].text == ""
 
 
-def plain_line_dedup(data):
-    chunks = {}
-    for d, t in sorted(data, key=lambda x: (x[0] is None, x[0])):
-        if t:
-            lines = t.split("\n")
-            for k, (a, b, counts) in enumerate(linededup.line_chunks(t)):
-                if counts:
-                    chunks.setdefault("\n".join(lines[a:b]), (d, k))
-    out = []
+def plain_chunks(lines, divisor=2, least=2, most=12):
+    """Chunks written out from their definition, window of two lines."""
+    import xxhash
+
+    h = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines]
+    ends, since = [], 0
+    for i, line in enumerate(lines):
+        since += bool(line.encode().split())
+        both = ((h[i - 1] * 0x9E3779B97F4A7C15 if i else 0) + h[i]) % 2**64
+        if since >= most or (since >= least and (both ^ (both >> 29)) % divisor == 0):
+            ends.append(i + 1)
+            since = 0
+    if since < least and ends:
+        ends[-1] = len(lines)
+    elif not ends or ends[-1] < len(lines):
+        ends.append(len(lines))
+    return [(a, b) for a, b in zip([0, *ends], ends) if sum(bool(x.encode().split()) for x in lines[a:b]) >= 2]
+
+
+def plain_line_dedup(data, long_words=16):
+    order = lambda d, t: (d is None, d if d is not None else t)
+    first, out = {}, []
+    for d, t in sorted((x for x in data if x[1]), key=lambda x: order(*x)):
+        lines = t.split("\n")
+        for a, b in plain_chunks(lines):
+            first.setdefault(("chunk", *lines[a:b]), (order(d, t), a))
+        for i, x in enumerate(lines):
+            if len(x.encode().split()) >= long_words:
+                first.setdefault(("long", x), (order(d, t), i))
     for d, t in data:
         if t:
-            lines, kept = t.split("\n"), []
-            for k, (a, b, counts) in enumerate(linededup.line_chunks(t)):
-                if not counts or chunks["\n".join(lines[a:b])] == (d, k):
-                    kept += lines[a:b]
-            t = "\n".join(kept)
+            lines = t.split("\n")
+            gone = {i for a, b in plain_chunks(lines) if first[("chunk", *lines[a:b])] != (order(d, t), a) for i in range(a, b)}
+            gone |= {i for i, x in enumerate(lines) if first.get(("long", x), (order(d, t), i)) != (order(d, t), i)}
+            t = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         out.append((str(d), str(t)))
     return sorted(out)
 
 
-def test_line_dedup_equals_plain(docs, odd):
-    for source in (docs, odd):
+def test_line_dedup_equals_plain(docs, odd, empty):
+    clash = odd.withColumns({"cut_lines": F.lit("old"), "cut_by_chunk": F.lit(1), "none": F.lit(0), "marked": F.lit("x"), "seq": F.lit(3), "at": F.lit(4), "hash": F.lit(5), "first": F.lit(6), "own": F.lit(7)})
+    for source in (docs, odd, clash):
         data = [tuple(r) for r in source.select("doc_id", "text").collect()]
         got = linededup.dedup_lines(source)
         assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == plain_line_dedup(data)
-        assert got.drop("cut_lines").columns == source.columns
+        assert got.drop(*linededup.ADDED).columns == [c for c in source.columns if c not in linededup.ADDED]
+        assert got.where("cut_lines <> cut_by_chunk + cut_by_long_line + cut_by_extension").count() == 0
+    assert linededup.dedup_lines(empty, extend=True).count() == 0
+
+
+def test_passages_of_many_lines_go_by_their_chunks(spark):
+    rng = np.random.default_rng(9)
+    line = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    passages = [[line(8) for _ in range(12)] for _ in range(8)]
+    data = [(10 * p + c, "\n".join([*(line(5) for _ in range(6)), *passage, *(line(5) for _ in range(6))])) for p, passage in enumerate(passages) for c in range(5)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = linededup.dedup_lines(frame, extend=True).agg(F.sum("cut_lines"), F.sum("cut_by_chunk"), F.sum("cut_by_long_line"), F.sum("cut_by_extension")).first()
+    assert got[0] == 8 * 4 * 12 and got[1] > got[0] / 2 and got[2] == 0
+    off = linededup.dedup_lines(frame, long_words=None).agg(F.sum("cut_lines"), F.sum("cut_by_chunk")).first()
+    assert off[0] == off[1] == got[1]
+
+
+def test_rows_without_an_id_are_documents(spark):
+    shared = "one line of the shared text\nand another line of it\nthe third line, which is longer"
+    data = [(None, f"alone {i}\n{shared}\n{i} end") for i in range(50)] + [(None, shared)] * 3
+    got = linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string").repartition(4), extend=True)
+    kept = [r.text for r in got.collect()]
+    assert len(kept) == 53 and sum(shared in t for t in kept) in (1, 3)
 
 
 def plain_extended(data, long_words=16):
@@ -274,10 +316,11 @@ def test_extension_keeps_first_lines_and_leaves_no_long_run(docs):
 
 def test_chunks_come_back_after_a_shift():
     lines = [f"line {i} " + "z" * (i % 7) for i in range(200)]
-    a = {tuple(lines[x:y]) for x, y, _ in linededup.line_chunks("\n".join(lines))}
-    moved = ["new", *lines[:100], "put in", *lines[100:]]
-    b = {tuple(moved[x:y]) for x, y, _ in linededup.line_chunks("\n".join(moved))}
-    assert len(a & b) >= len(a) - 4
+    of = lambda x: {tuple(x[a:b]) for a, b in linededup.line_chunks([y.encode() for y in x])}
+    a = of(lines)
+    assert all(len(c) >= 2 for c in a)
+    b = of(["new", *lines[:100], "put in", *lines[100:]])
+    assert len(a & b) >= len(a) - 6
 
 
 # ---- op3
