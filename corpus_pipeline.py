@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on every document its
 predecessor kept.  All but the last return the columns of ``documents``:
 
 quality_rules      documents that fail the base or leave a fertility band go
-line_dedup         repeated chunks of lines and the repeated lines around them
-                   are cut from the texts; a document that loses all its lines goes, since its text stands elsewhere
+line_dedup         repeated chunks of lines, the repeated lines around them and
+                   repeated long lines are cut from the texts; a document that
+                   loses all its lines goes, since its text stands elsewhere
 ngram_jaccard      of each group of near copies (five-word shingles, similarity
                    0.8 or more) the document with the smallest id stays
 decontamination    documents with a run of ten benchmark words go
