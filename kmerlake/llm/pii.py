@@ -1,30 +1,36 @@
 """Personal data: candidate spans, boosted trees, calibrated thresholds; Spark's own functions.
 
-Generators with high recall propose spans of several kinds, which may overlap.
-Each candidate is told by a few yes/no features of its format and its
-surroundings.  The generators with a check (address shape, number range, Luhn,
-digit count) give labels to learn from: a candidate that passes is positive, one
-that fails negative; the checks themselves are not features.
-
-Boosted depth-two trees are fitted to the counts of (kind, features, label),
-which Spark gathers over the whole corpus with map-side combining.  There are at
-most kinds times 2^features such counts, whatever the corpus, so they fit the
-driver.  A kind's threshold is the lowest score at which the held-out share of
-positives, less two standard errors, reaches ``precision``.
+Generators with high recall propose spans of several kinds, which may overlap:
+those of the base (whose matches count when they pass their check) and further
+ones for card numbers that were mistyped, national phone numbers, addresses in
+words, account numbers, identity numbers and IPv6 addresses.  A candidate is told
+by counts of its format and by its surroundings (``FEATURES``).
+
+No text comes with marked spans, so the trees learn from planted ones: ``PLANTED``
+has forms of personal data and of numbers that are none, their characters are
+drawn by hash, and they are put into places of the corpus itself.  A candidate over
+a planted span is positive if that is its kind, negative if it is none; whether a
+base check passes plays no part.  ``contexts`` documents, chosen by hash, lend a
+place each; that is the bound of the sample.  Boosted depth-two trees are fitted to
+counts of equal candidates; a third of the places is held out, and a kind's
+threshold is the lowest score, at least one half, from which the held-out precision,
+less two standard errors, reaches ``precision``.
 
 The base spans, those that pass their check, always stay.  The method adds
-failed candidates whose score reaches their kind's threshold and that overlap no
-base span, so near misses in a convincing form and place are redacted too.
-Scoring is row by row in SQL expressions; nothing is shuffled for it.
+candidates whose score reaches their kind's threshold and that overlap no base
+span; of added spans that overlap the one with the higher score stays.  Scoring is
+row by row in SQL expressions; nothing is shuffled for it.
 
-Null text counts as empty; each input row gives one output row.
+Null text counts as empty; each input row gives one output row, so repeated rows
+stay apart.  Texts are read whole.  Without any text to plant in, nothing is
+learned and nothing added.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kmerlake.llm.located import located, span_text, with_kind
@@ -35,20 +41,46 @@ class Kind:
     name: str
     pattern: str
     base: bool = True
+    needs: str | None = None
 
 
-#: The patterns are the contract's with possessive loops: a run of digits or of
-#: address characters is read once, and long runs need no stack.
+#: The base's patterns are the contract's with possessive loops: a run of digits or
+#: of address characters is read once, and long runs need no stack.  Runs of fewer
+#: than twelve digits, which no card check passes, are no candidates.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", needs="@"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    Kind("local_phone", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", base=False),
+    Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", needs="+"),
+    Kind("card_like", r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}+|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![0-9])", base=False),
+    Kind("local_phone", r"(?<![0-9A-Za-z])\(?[0-9]{2,5}+\)?(?:[\x20./-]{1,2}[0-9]{2,8}+){1,4}+(?![0-9A-Za-z])", base=False),
+    Kind("email_in_words", r"[A-Za-z0-9._%+-]{1,64}+(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{1,64}+(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,64}+)++", base=False, needs="at"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", base=False),
+    Kind("id_number", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", base=False, needs="-"),
+    Kind("ip6", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}+(?::?[0-9A-Fa-f]{1,4}){1,6}+(?![0-9A-Za-z:])", base=False, needs=":"),
 )
-FEATURES = ("has_plus", "has_paren", "has_separator", "long_digits", "short", "cue_before", "number_before", "glued_before", "glued_after", "sentence_end")
-_CUE = r"(?i)(mail|phone|tel|fax|call|mobile|contact|card|visa|credit|account|ip|addr|server|host|from)[^A-Za-z0-9]*$"
-_NUMBER = r"(?i)(version|ver|v|no|nr|order|item|id|invoice|ref|section|isbn|build|release|#|§|\$|€)[^A-Za-z0-9]*$"
+FEATURES = ("digits", "letters", "longest_run", "groups", "distinct_digits", "separator", "first_digit", "before", "after", "cue", "number_cue", "digits_near")
+_CUE = r"(?i)(mail|phone|tel|fax|call|mobile|cell|contact|reach|card|visa|credit|debit|account|iban|ssn|social|passport|host|client|address)[^A-Za-z0-9]*$"
+_NUMBER = r"(?i)(version|ver|v|no|nr|order|item|id|invoice|ref|reference|section|isbn|build|release|tracking|serial|part|total|sum|rate|page|row|time|date)[^A-Za-z0-9]*$"
+#: What is planted: the kind (None: no personal data) and the text, the span between
+#: angle brackets; # is a digit, ^ a hexadecimal digit, ? a small and ~ a capital letter.
+PLANTED = (
+    ("card_like", "<4###############>"), ("card_like", "<5###############>"), ("card_like", "<2###############>"), ("card_like", "card <4### #### #### ####>"), ("card_like", "<5###-####-####-####>"),
+    ("card_like", "<6### #### #### ####>"), ("card_like", "visa <4###############>"), ("card_like", "<3### ###### #####>"), ("card_like", "<37#############>"),
+    (None, "order <################>"), (None, "id <##############>"), (None, "<0.###############>"), (None, "<16###########>"), (None, "<17###########>"), (None, "isbn <978##########>"), (None, "<978-#-##-######-#>"),
+    (None, "<2024##############>"), (None, "^^^^^^<################>^^^"), (None, "?<###############>"), (None, "<###############>^?"), (None, "#.## #.## <#### #### #### ####> #.##"), (None, "<^^^^^^^^-####-####-####-############>"),
+    (None, "tracking <9###################>"), (None, "<1Z################>"), (None, "serial <#### #### #### ####>"), (None, "#<################>"), (None, "$<#############>"),
+    ("local_phone", "<(###) ###-####>"), ("local_phone", "<###-###-####>"), ("local_phone", "call <###.###.####>"), ("local_phone", "tel <0## #######>"), ("local_phone", "<0### ######>"), ("local_phone", "<0## / ### ## ##>"),
+    ("local_phone", "<(0##) #### ####>"), ("local_phone", "<0# ## ## ## ##>"), ("local_phone", "phone <### #### ####>"),
+    (None, "<20##-##-##>"), (None, "<##.##.20##>"), (None, "<##/##/20##>"), (None, "<19##-19##>"), (None, "<###-##-##-###>"), (None, "version <##.##.###>"), (None, "<## ### ###>"), (None, "part <###-####-##>"), (None, "<#### ####>"),
+    (None, "<##.###,##>"), (None, "<###.###.###>"), (None, "page <###-###>"), (None, "<20##-##-## ##>"), (None, "row <## ## ## ##>"), (None, "<##-##-##>"),
+    ("email_in_words", "<?????.??? at ?????? dot com>"), ("email_in_words", "<?????## [at] ??????.org>"), ("email_in_words", "<????? (at) ????? (dot) net>"), ("email_in_words", "mail <???????(at)?????.com>"), ("email_in_words", "<???_??[at]?????[dot]???????[dot]de>"),
+    (None, "<look at ?????.?????????>"), (None, "<????? at #.#>"), (None, "<???? at ##.##>"), (None, "<?????? at ????.??>"),
+    ("iban", "<DE## #### #### #### #### ##>"), ("iban", "iban <FR######################~##>"), ("iban", "<GB##~~~~##############>"), ("iban", "<ES## #### #### #### #### ####>"), ("iban", "account <NL##~~~~##########>"),
+    (None, "<~~##~~~#~~#~>"), (None, "part <~~##~#~##~#~>"), (None, "<~~####~~####>"), (None, "serial <~~## #### ####>"), (None, "<~~##~~~~~~~~>"),
+    ("id_number", "<###-##-####>"), ("id_number", "ssn <###-##-####>"), (None, "part <###-##-####>"), (None, "item <9##-##-####>"), (None, "order <###-##-####>"), (None, "$<###-##-####>"),
+    ("ip6", "<20##:db^:^^^^:^^^^:^^^^:^^^^:^^^^:^^^^>"), ("ip6", "<fe80::^^^^:^^^^:^^^^:^^^^>"), ("ip6", "host <20##:^^^^:^^^^::^^>"), (None, "<##:##:##>"), (None, "<0#:##:##:##>"), (None, "time <##:##:##:##>"), (None, "<^^:^^:^^:^^:^^:^^>"),
+)
 
 
 def _digits(value: Column) -> Column:
@@ -80,149 +112,179 @@ def passes(kind: str, value: Column) -> Column:
 
 
 def features(text: Column, span: Column) -> Column:
-    """A candidate's features as the bits of one number."""
+    """A candidate's ``FEATURES`` as an array of small numbers."""
     value = span["value"]
-    before = F.substring(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24)))
-    before = F.when(span["start"] > 0, before).otherwise("")
-    after = F.substring(text, span["end"] + 1, F.lit(2))
-    bits = {
-        "has_plus": F.startswith(value, F.lit("+")),
-        "has_paren": F.contains(value, F.lit("(")),
-        "has_separator": value.rlike(r"[\x20-]"),
-        "long_digits": F.length(_digits(value)) >= 12,
-        "short": F.length(value) < 9,
-        "cue_before": before.rlike(_CUE),
-        "number_before": before.rlike(_NUMBER),
-        "glued_before": before.rlike("[A-Za-z0-9_]$"),
-        "glued_after": after.rlike("^[A-Za-z0-9_]"),
-        "sentence_end": after.rlike(r"^[.!?]?(\s|$)"),
-    }
-    return sum((F.when(bits[name], 1 << i).otherwise(0) for i, name in enumerate(FEATURES)), F.lit(0))
+    before = F.when(span["start"] > 0, F.substring(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24)))).otherwise("")
+    after = F.substring(text, span["end"] + 1, F.lit(1))
+    digits = _digits(value)
+    runs = F.transform(F.split(value, "[^0-9]+"), lambda r: F.length(r))
+    beside = lambda c, at: F.when(c.rlike(rf"[A-Za-z0-9_]{at}" if at == "$" else "^[A-Za-z0-9_]"), 2).when(c.rlike(rf"[#$%&*/=.:~+-]{at}" if at == "$" else r"^[#$%&*/=:~+-]"), 1).otherwise(0)
+    separators = [F.when(value.rlike(p), 1 << i).otherwise(0) for i, p in enumerate((r"\x20", "-", r"\.", r"[/:()\[]"))]
+    out = (
+        F.length(digits), F.length(F.regexp_replace(value, "[^A-Za-z]", "")), F.array_max(runs), F.size(F.filter(runs, lambda n: n > 0)), F.size(F.array_distinct(F.split(digits, ""))),
+        sum(separators, F.lit(0)), F.coalesce(F.substring(digits, 1, 1).try_cast("int"), F.lit(10)), beside(before, "$"), beside(after, "^"),
+        before.rlike(_CUE).cast("int"), before.rlike(_NUMBER).cast("int"), F.length(_digits(before)),
+    )
+    return F.array(*[F.least(x.cast("int"), F.lit(31)) for x in out])
 
 
 @dataclass
 class Model:
-    """Boosted trees: (kind, a, b, values) adds values[2 * a's bit + b's bit]; a threshold per kind."""
+    """Boosted trees: (kind, f, a, g, b, values) adds values[2 * (x[f] > a) + (x[g] > b)]; a threshold per kind.
+
+    ``report`` has the held-out (precision, recall) of each kind at its threshold, and its held-out candidates.
+    """
 
-    prior: dict[str, float]
-    trees: list[tuple[str, int, int, tuple[float, float, float, float]]]
-    thresholds: dict[str, float]
+    prior: dict[str, float] = field(default_factory=dict)
+    trees: list[tuple[str, int, int, int, int, tuple[float, ...]]] = field(default_factory=list)
+    thresholds: dict[str, float] = field(default_factory=dict)
+    report: dict[str, tuple[float, float, int]] = field(default_factory=dict)
 
-    def score(self, kind: str, bits: int) -> float:
-        z = self.prior.get(kind, -9.0) + sum(v[2 * (bits >> a & 1) + (bits >> b & 1)] for k, a, b, v in self.trees if k == kind)
-        return 1 / (1 + math.exp(-z))
+    def score(self, kind: str, x: np.ndarray) -> np.ndarray:
+        """The scores of rows of features."""
+        z = np.full(len(x), self.prior.get(kind, -9.0))
+        for k, f, a, g, b, values in self.trees:
+            if k == kind:
+                z += np.array(values)[2 * (x[:, f] > a) + (x[:, g] > b)]
+        return 1 / (1 + np.exp(-z))
 
-    def sql(self, kind: str, bits: Column) -> Column:
+    def sql(self, kind: str, x: Column) -> Column:
         z = F.lit(self.prior.get(kind, -9.0))
-        for k, a, b, v in self.trees:
+        for k, f, a, g, b, v in self.trees:
             if k == kind:
-                leaf = 2 * F.shiftright(bits, a).bitwiseAND(1) + F.shiftright(bits, b).bitwiseAND(1)
-                z = z + F.when(leaf == 0, v[0]).when(leaf == 1, v[1]).when(leaf == 2, v[2]).otherwise(v[3])
+                high = F.when(x[g] > b, v[3]).otherwise(v[2])
+                z = z + F.when(x[f] > a, high).otherwise(F.when(x[g] > b, v[1]).otherwise(v[0]))
         return 1 / (1 + F.exp(-z))
 
 
-def fit(counts: list[tuple[str, int, bool, bool, int]], rounds: int = 12, rate: float = 0.4, precision: float = 0.97) -> Model:
-    """Boost on (kind, bits, label, held out, count); held-out counts set the thresholds."""
-    model = Model({}, [], {})
-    pairs = [(a, b) for a in range(len(FEATURES)) for b in range(a + 1, len(FEATURES))]
+def fit(counts: list[tuple[str, list[int], bool, bool, int]], rounds: int = 25, rate: float = 0.4, precision: float = 0.95, least: int = 30) -> Model:
+    """Boost on (kind, features, label, held out, count); held-out counts set the thresholds.
+
+    A kind with fewer than ``least`` held-out candidates at any score adds nothing.
+    """
+    model = Model()
     for kind in sorted({c[0] for c in counts}):
-        own = [(bits, label, n) for k, bits, label, held, n in counts if k == kind and not held]
-        positive, total = sum(n for _, label, n in own if label), sum(n for *_, n in own)
-        model.prior[kind] = math.log((positive + 1) / (total - positive + 1))
-        z = {bits: model.prior[kind] for bits, *_ in own}
-        for _ in range(rounds):
-            steps = [(bits, n * (label - 1 / (1 + math.exp(-z[bits]))), n * math.exp(-abs(z[bits])) / (1 + math.exp(-abs(z[bits]))) ** 2) for bits, label, n in own]
-            best = None
-            for a, b in pairs:
-                g, h = [0.0] * 4, [1.0] * 4
-                for bits, slope, weight in steps:
-                    leaf = 2 * (bits >> a & 1) + (bits >> b & 1)
-                    g[leaf] += slope
-                    h[leaf] += weight
-                gain = sum(x * x / y for x, y in zip(g, h))
-                if best is None or gain > best[0] + 1e-12:
-                    best = gain, a, b, tuple(rate * x / y for x, y in zip(g, h))
-            if best is None or best[0] < 1e-6:
-                break
-            _, a, b, values = best
-            model.trees.append((kind, a, b, values))
-            for bits in z:
-                z[bits] += values[2 * (bits >> a & 1) + (bits >> b & 1)]
-        ranked: dict[float, list[int]] = {}
-        for k, bits, label, held, n in counts:
-            if k == kind and held:
-                got = ranked.setdefault(model.score(kind, bits), [0, 0])
-                got[0] += n * label
-                got[1] += n
-        threshold, yes, all_ = 2.0, 0, 0
-        for score in sorted(ranked, reverse=True):
-            yes, all_ = yes + ranked[score][0], all_ + ranked[score][1]
-            share = yes / all_
-            if all_ >= 30 and share - 2 * math.sqrt(max(share * (1 - share), 1 / all_) / all_) >= precision:
-                threshold = score - 1e-9
-        model.thresholds[kind] = threshold
+        own = [c for c in counts if c[0] == kind]
+        x, y, held, n = (np.array([c[i] for c in own]) for i in (1, 2, 3, 4))
+        tx, ty, tn = x[~held], y[~held].astype(float), n[~held].astype(float)
+        positive = float((tn * ty).sum())
+        model.prior[kind] = float(np.log((positive + 1) / (tn.sum() - positive + 1)))
+        cuts = [(f, int(a)) for f in range(len(FEATURES)) for a in np.unique(tx[:, f])[:-1]] if len(tx) else []
+        sides = np.array([tx[:, f] > a for f, a in cuts], dtype=float).reshape(len(cuts), len(tx))
+        z = np.full(len(tx), model.prior[kind])
+        for _ in range(rounds if cuts else 0):
+            p = 1 / (1 + np.exp(-z))
+            slope, weight = tn * (ty - p), tn * p * (1 - p)
+            leaf = lambda m: ((m @ slope) ** 2) / (m @ weight + 1)
+            i = int(np.argmax(leaf(sides) + leaf(1 - sides)))
+            inside, outside = sides[i] * sides, (1 - sides[i]) * sides
+            rest_in, rest_out = sides[i] - inside, (1 - sides[i]) - outside
+            j = int(np.argmax(leaf(inside) + leaf(rest_in) + leaf(outside) + leaf(rest_out)))
+            where = (2 * sides[i] + sides[j]).astype(int)
+            g, h = np.bincount(where, slope, 4), np.bincount(where, weight, 4) + 1
+            values = tuple((rate * g / h).tolist())
+            model.trees.append((kind, *cuts[i], *cuts[j], values))
+            z = z + np.array(values)[where]
+        score = model.score(kind, x[held])
+        order = np.argsort(-score, kind="stable")
+        score, good, some = score[order], (n[held] * y[held])[order].cumsum(), n[held][order].cumsum()
+        model.thresholds[kind] = 2.0
+        if len(score):
+            share = good / some
+            sure = share - 2 * np.sqrt(np.maximum(share * (1 - share), 1 / some) / some) >= precision
+            ends = np.append(score[1:] != score[:-1], True) & (some >= least) & sure & (score >= 0.5)
+            if ends.any():
+                last = int(np.flatnonzero(ends)[-1])
+                model.thresholds[kind] = float(score[last]) - 1e-9
+                model.report[kind] = float(share[last]), float(good[last] / max(good[-1], 1)), int(some[-1])
     return model
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return found.select("*", *[_checked(k).alias(k.name) for k in KINDS])
+def _located(kind: Kind, text: Column) -> Column:
+    return located(text if kind.needs is None else F.when(F.contains(text, F.lit(kind.needs)), text), kind.pattern)
+
+
+def _featured(kind: Kind, text: Column) -> Column:
+    """Candidates of a kind as start, end and features ``x``."""
+    return F.transform(_located(kind, text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), features(text, s).alias("x")))
 
 
-def _checked(kind: Kind) -> Column:
-    """The candidates of a kind with their check's outcome."""
-    needs = {"email": "@", "phone": "+"}.get(kind.name)
-    text = F.col("text") if needs is None else F.when(F.contains("text", F.lit(needs)), F.col("text"))
-    return F.transform(located(text, kind.pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), passes(kind.name, s["value"]).alias("good")))
+def _good(kind: Kind, text: Column) -> Column:
+    """The candidates of a base kind that pass their check."""
+    return F.filter(_located(kind, text), lambda s: passes(kind.name, s["value"]))
 
 
-def _worth(kind: Kind):
-    """Numbers too short for any kind are no candidates."""
-    return lambda s: F.length(_digits(s["value"])) >= 9 if kind.name == "card" else F.lit(True)
+def planted(docs: DataFrame, contexts: int = 1500) -> DataFrame:
+    """(held, kind, at, upto, text): every form of ``PLANTED`` in a place of ``contexts`` documents, chosen by hash.
 
+    The form's kind is null if it is no personal data; the span is at to upto.
+    """
+    order = F.xxhash64("doc_id", F.length("text"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text"), F.lit(1))).cast("int")
+    windows = docs.where(F.length("text") > 0).select(order.alias("h"), F.substring(F.col("text"), place + 1, F.lit(80)).alias("w"))
+    lent = windows.orderBy("h", "w").limit(contexts)
+    forms = F.array(*[F.struct(F.lit(k).cast("string").alias("kind"), F.lit(t[: t.index("<")]).alias("lead"), F.lit(t[t.index("<") + 1 : t.index(">")]).alias("form"), F.lit(t[t.index(">") + 1 :]).alias("tail")) for k, t in PLANTED])
+    rows = lent.select("h", "w", F.posexplode(forms).alias("i", "f"))
 
-def _told(kind: Kind, base: Column):
-    """A candidate as kind, features and label; without a check of its own, a part of a base span is positive."""
+    def drawn(c: Column, salt: int) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            roll = lambda n: F.pmod(F.xxhash64("h", "i", i, F.lit(salt)), F.lit(n)).cast("int")
+            of = lambda chars: F.substring(F.lit(chars), roll(len(chars)) + 1, F.lit(1))
+            return F.when(x == "#", of("0123456789")).when(x == "^", of("0123456789abcdef")).when(x == "?", of("abcdefghijklmnopqrstuvwxyz")).when(x == "~", of("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(x)
 
-    def told(s: Column) -> Column:
-        label = s["good"] if kind.base else F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-        return F.struct(F.lit(kind.name).alias("kind"), features(F.col("text"), s).alias("bits"), label.alias("label"))
+        return F.array_join(F.transform(F.split(c, ""), one), "")
 
-    return told
+    # Every other place lends only white space, so that lone values are known as well.
+    half = F.when(F.col("h") % 2 == 0, F.col("w")).otherwise("")
+    parts = rows.select("h", F.col("f.kind").alias("kind"), F.concat(F.substring(half, 1, 40), F.lit(" "), drawn(F.col("f.lead"), 1)).alias("left"), drawn(F.col("f.form"), 2).alias("value"), F.concat(drawn(F.col("f.tail"), 3), F.lit(" "), F.substring(half, 41, 40)).alias("right"))
+    return parts.select((F.pmod("h", F.lit(3)) == 0).alias("held"), "kind", F.length("left").alias("at"), (F.length("left") + F.length("value")).alias("upto"), F.concat("left", "value", "right").alias("text"))
 
 
-def _added(kind: Kind, model: Model):
-    def added(s: Column) -> Column:
-        free = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-        return ~s["good"] & _worth(kind)(s) & free & (model.sql(kind.name, features(F.col("text"), s)) >= model.thresholds[kind.name])
+def learn(docs: DataFrame, precision: float = 0.95, contexts: int = 1500) -> Model:
+    """Fit on the candidates over planted spans."""
 
-    return added
+    def over(kind: Kind) -> Column:
+        met = F.filter(_featured(kind, F.col("text")), lambda s: (s["start"] < F.col("upto")) & (s["end"] > F.col("at")))
+        return F.transform(met, lambda s: F.struct(F.lit(kind.name).alias("kind"), s["x"].alias("x")))
 
+    told = [over(kind) for kind in KINDS if not kind.base]
+    rows = planted(docs, contexts).select("held", F.col("kind").alias("is"), F.explode(F.concat(*told)).alias("c")).where("is is null or is = c.kind")
+    counts = rows.groupBy("c.kind", "c.x", F.col("is").isNotNull().alias("label"), "held").count()
+    return fit([(r[0], list(r[1]), bool(r[2]), bool(r[3]), r[4]) for r in counts.collect()], precision=precision)
 
-def learn(docs: DataFrame, precision: float = 0.97) -> Model:
-    """Fit on every candidate of the documents; every fifth document (by id) is held out."""
-    rows = _texts(docs)
-    base = F.concat(*[F.filter(k.name, lambda s: s["good"]) for k in KINDS if k.base])
-    told = [F.transform(F.filter(kind.name, _worth(kind)), _told(kind, base)) for kind in KINDS]
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    counts = rows.select(held.alias("held"), F.explode(F.concat(*told)).alias("c")).groupBy("c.kind", "c.bits", "c.label", "held").count()
-    return fit([(r[0], r[1], bool(r[2]), bool(r[3]), r[4]) for r in counts.collect()], precision=precision)
+
+def _apart(spans: Column) -> Column:
+    """Of sorted spans that overlap, the one with the higher score (the earlier on ties)."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        rest = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when((F.size(acc) == 0) | (last["end"] <= s["start"]), F.concat(acc, F.array(s))).when(last["score"] < s["score"], F.concat(rest, F.array(s))).otherwise(acc)
+
+    return F.aggregate(spans, F.filter(spans, lambda s: F.lit(False)), step)
 
 
 def find_personal_data(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, ``base`` and ``added``: sorted arrays of start, order, end and kind."""
-    rows = _texts(docs)
-    good = [with_kind(F.filter(k.name, lambda s: s["good"]), k.name, i) for i, k in enumerate(KINDS) if k.base]
-    rows = rows.withColumn("base", F.array_sort(F.concat(*good)))
-    added = [with_kind(F.filter(k.name, _added(k, model)), f"{k.name}_like", len(KINDS) + i) for i, k in enumerate(KINDS) if model.thresholds.get(k.name, 2.0) <= 1]
-    more = F.array_sort(F.concat(*added)) if added else F.filter("base", lambda s: F.lit(False))
-    return rows.select("doc_id", "text", "base", more.alias("added"))
+    """doc_id, text, ``base`` and ``added``: sorted arrays of start, order, end and kind; added spans have their score."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.col("text")
+    rows = rows.withColumn("base", F.array_sort(F.concat(*[with_kind(_good(k, text), k.name, i) for i, k in enumerate(KINDS) if k.base])))
+
+    def added(i: int, kind: Kind) -> Column:
+        free = F.filter(_featured(kind, text), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+        scored = F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), model.sql(kind.name, s["x"]).alias("score")))
+        return F.filter(scored, lambda s: s["score"] >= model.thresholds[kind.name])
+
+    more = [added(i, k) for i, k in enumerate(KINDS) if not k.base and model.thresholds.get(k.name, 2.0) <= 1]
+    nothing = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double>>")
+    return rows.select("doc_id", "text", "base", F.array_sort(F.concat(nothing, *more)).alias("raw")).select("doc_id", "text", "base", _apart(F.col("raw")).alias("added"))
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and text with every found span replaced by its kind in brackets."""
     found = find_personal_data(docs, model)
-    spans = F.array_sort(F.concat("base", "added"))
+    plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
+    spans = F.array_sort(F.concat(F.col("base"), plain("added")))
 
     def step(acc: Column, s: Column) -> Column:
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out")))
@@ -232,8 +294,9 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
     return parts.select("doc_id", F.concat("done.out", F.substring(F.col("text"), F.col("done.at") + 1, F.length("text"))).alias("text"))
 
 
-def personal_data_report(docs: DataFrame, precision: float = 0.97) -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans and all spans, per row."""
+def personal_data_report(docs: DataFrame, precision: float = 0.95) -> DataFrame:
+    """Counts of the base kinds, the digest of the base spans, all spans, and the number of added ones, per row."""
     found = find_personal_data(docs, learn(docs, precision))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *[count(k.name).alias(f"n_{k.name}") for k in KINDS if k.base], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "added")).alias("spans"))
+    plain = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return found.select("doc_id", *[count(k.name).alias(f"n_{k.name}") for k in KINDS if k.base], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat(F.col("base"), plain)).alias("spans"), F.size("added").cast("long").alias("n_added"))
