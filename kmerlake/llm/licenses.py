@@ -10,7 +10,9 @@ finds the pieces of all notices in one reading of the text, each gives the
 window in which its notice could stand, and the regex library's bounded-error
 matching tells whether it does, with how many edits and where.
 
-Null text counts as empty; each input row gives one output row; no shuffle.
+Null text counts as empty; each input row gives one output row, so repeated rows
+stay apart; no shuffle.  Texts are read whole, a long one as a batch by itself.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ through a logistic curve fitted to a histogram of the training rows' differences
 Learning uses ``quality`` of label rows only; language, source and id are no
 inputs.  Null text counts as empty.  Labels without a quality or a document are
 ignored, repeated label rows count each.  With one class only, every score is
-the share of label 1.  Each input row gives one output row.
+the share of label 1.  Each input row gives one output row, so repeated rows stay
+apart; a score that equals the threshold counts as 1.  Texts are measured whole, a
+long one as a batch by itself.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

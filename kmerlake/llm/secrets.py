@@ -8,9 +8,13 @@ clause are the rule's candidates, and only there the expression itself runs.  A
 rule without mandatory trigrams reads every text.
 
 Postings are counted per document before they are shuffled and there are at most
-as many as the rules' trigrams, so no key is hot.  Null text counts as empty.
-Rows that share an id (or have none) share candidates, but each row is verified
-on its own text and gives its own output row.
+as many as the rules' trigrams, so no key is hot.  The candidates go to the texts:
+broadcast when they are few (checked), so that no text is shuffled, else by a join
+on the id.  Null text counts as empty.  Rows that share an id (or have none) share
+candidates, but each row is verified on its own text and gives its own output row.
+Texts are read whole; the time for a text is linear in its length but for the
+positions of its matches, which are added up in blocks.  Other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from re import _constants as C, _parser
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kmerlake.llm.located import located, span_text, with_kind
+from kmerlake.llm.tables import cut, small
 
 
 @dataclass(frozen=True)
@@ -136,7 +141,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     asked = {r.kind: trigram_query(r.pattern) for r in rules}
     trigrams = sorted({t for q in asked.values() for c in q or [] for t in c})
-    found = candidates(trigram_index(texts, trigrams), rules).withColumnRenamed("doc_id", "candidate")
+    found = cut(candidates(trigram_index(texts, trigrams), rules).withColumnRenamed("doc_id", "candidate"))
+    found = F.broadcast(found) if small(found) else found
     joined = texts.join(found, texts["doc_id"].eqNullSafe(found["candidate"]), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
 
     def spans(rule: Rule, order: int) -> Column:

@@ -395,6 +395,43 @@ def test_quality_statistics_and_edges(spark, empty, docs):
     assert {r.predicted for r in qda.quality_scores(docs, one).collect()} == {1}
 
 
+def plain_qda(docs, labels, shrink=0.2):
+    """The discriminant from textbook formulas: densities by determinant and inverse, the curve by a general minimiser."""
+    import pyarrow as pa
+
+    names = len(qda.NAMES)
+    x = {d: row for d, row in zip((d for d, _ in docs), qda.statistics(pa.array([t for _, t in docs])))}
+    train = [(x[d], q) for d, q in labels if zlib.crc32(str(d).encode()) % 5 and d in x]
+    per = [np.array([v for v, q in train if q == c]) for c in (0, 1)]
+    cov = [np.cov(p.T, bias=True) for p in per]
+    pooled = np.maximum(sum(len(p) * np.diag(c) for p, c in zip(per, cov)) / len(train), 1e-6)
+    log = []
+    for p, c in zip(per, cov):
+        keep = shrink + (1 - shrink) * names / (names + len(p))
+        s = (1 - keep) * c + keep * np.diag(pooled) + 1e-9 * np.eye(names)
+        log.append(lambda v, m=p.mean(axis=0), i=np.linalg.inv(s), d=np.linalg.slogdet(s)[1]: -0.5 * ((v - m) @ i @ (v - m)) - 0.5 * d)
+    z = lambda v: np.arcsinh(log[1](v) - log[0](v))
+    zs, ys = np.array([z(v) for v, _ in train]), np.array([q for _, q in train], float)
+    a, b = 1.0, 0.0
+    for _ in range(200):  # plain gradient steps by Newton's method on the unrounded values
+        p = 1 / (1 + np.exp(-np.clip(a * zs + b, -30, 30)))
+        w = p * (1 - p)
+        h = np.array([[(w * zs * zs).sum() + 1e-3, (w * zs).sum()], [(w * zs).sum(), w.sum() + 1e-3]])
+        a, b = np.array([a, b]) + np.clip(np.linalg.solve(h, [((ys - p) * zs).sum() - 1e-3 * a, (ys - p).sum() - 1e-3 * b]), -2, 2)
+    return {d: 1 / (1 + np.exp(-np.clip(a * z(v) + b, -30, 30))) for d, v in x.items()}
+
+
+def test_quality_equals_plain(spark, sf_dir):
+    there = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{there}/{t}.parquet") for t in ("documents", "labels"))
+    want = plain_qda([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in labels.select("doc_id", "quality").collect()])
+    got = qda.quality_scores(docs, labels).collect()
+    assert max(abs(r.score - want[r.doc_id]) for r in got) < 0.02
+    assert all(r.predicted == (r.score >= 0.3) for r in got)
+    again = qda.quality_scores(docs.union(docs), labels.select("doc_id", "quality")).groupBy("doc_id").agg(F.countDistinct("score").alias("n"), F.count("*").alias("rows"))
+    assert again.where("n <> 1 or rows <> 2").count() == 0
+
+
 # ---- op5
 
 
@@ -816,6 +853,30 @@ def test_licenses_equal_plain(spark, docs, odd, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def plain_notices(text):
+    """Labels by the regex library over the whole text, notice by notice, without seeds or windows."""
+    import regex
+
+    line = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))) + " "
+    return {n.label for n in licenses.NOTICES if regex.search(rf"(?<![^ ])(?:{regex.escape(n.text)}){{e<={n.edits}}}(?![^ ])", line)}
+
+
+def test_labels_equal_plain(spark, docs):
+    rng, texts = np.random.default_rng(2), [r.text for r in docs.select("text").collect() if r.text and len(r.text) < 1500][:40]
+    for n in licenses.NOTICES:
+        for edits in (0, n.edits, n.edits + 2):
+            t = list(n.text)
+            for p in rng.choice(np.arange(1, len(t) - 1), edits, replace=False):
+                t[p] = "q"
+            texts.append("Before it: " + "".join(t).replace(" ", ",  ") + "; after")
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        base = {x for x in r.base_labels.split(",") if x}
+        assert set(r.labels.split(",")) - {""} == base | plain_notices(texts[r.doc_id]), texts[r.doc_id][-120:]
+        best = max((1 - s["edits"] / max(len(n.text) for n in licenses.NOTICES if n.label == s["label"]) for s in r.spans), default=0.0)
+        assert r.score == 1.0 if base else abs(r.score - best) < 0.25 and (r.score > 0) == bool(r.spans)
+
+
 def test_fuzzy_notices(spark):
     data = [(1, "é Relased under teh MIT license!"), (2, "Redistributon and use, in source and binary form, with or without modification are permited"), (3, "nothing of the kind")]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(data, "doc_id long, text string")).collect()}
@@ -846,6 +907,50 @@ def test_queries_are_registered(spark, sf_dir):
         assert same_ids(query(spark, sf_dir), docs), name
 
 
+def plain_pipeline(data, items):
+    """The five stages one after another on plain rows (doc_id, text, lang)."""
+    from sentencepiece import SentencePieceProcessor
+
+    kept = {x for x in plain_kept(data) if x.endswith("True)")}
+    rows = [(d, t) for d, t, _ in data if str((d, True)) in kept]
+    first, marked_rows = {}, []
+    for d, t in sorted(rows):  # line dedup: chunks, long lines and neighbouring lines that stand earlier
+        lines = t.split("\n")
+        worded = [i for i, x in enumerate(lines) if x.split()]
+        sure, pair = set(), set()
+        units = [("chunk", a, b) for a, b in plain_chunks(lines)] + [("long", i, i + 1) for i in worded if len(lines[i].split()) >= 16] + [("pair", a, b + 1) for a, b in zip(worded, worded[1:])]
+        for kind, a, b in sorted(units, key=lambda u: (u[1], u[2])):
+            e, c, end = first.setdefault((kind, *lines[a:b]), (d, a, b))
+            if (e, c) != (d, a):
+                (pair if kind == "pair" else sure).update(i for i in range(end if e == d and c < a < end else a, b) if kind != "pair" or len(lines[i].split()) < 16)
+        drop, run = set(), []
+        for i in [*sorted(sure | pair), None]:
+            if run and i != run[-1] + 1 if i is not None else run:
+                n = sum(len(lines[k].split()) for k in run)
+                if n >= 16 or n == len(t.split()) or sure & set(run):
+                    drop |= set(run)
+                run = []
+            run.append(i)
+        if drop and not any(lines[i].split() for i in range(len(lines)) if i not in drop):
+            continue
+        marked_rows.append((d, "\n".join(x for i, x in enumerate(lines) if i not in drop)))
+    groups = plain_components(marked_rows, 5, 80)
+    rows = [(d, t) for d, t in marked_rows if any(g[0] == str(d) == g[2] for g in groups)]
+    rows = [(d, t) for d, t in rows if not plain_decontam(t, items)[1]]
+    sp = SentencePieceProcessor(model_file=MODEL)
+    return sorted((d, sp.encode(t)) for d, t in rows)
+
+
+def test_pipeline_equals_plain(spark, sf_dir):
+    import corpus_pipeline
+
+    data = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    want = plain_pipeline(data, items)
+    assert 0 < len(want) < len(data)
+    assert sorted((r.doc_id, list(r.token_ids)) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
+
+
 def test_pipeline(spark, sf_dir, odd):
     import corpus_pipeline
 
