@@ -1,4 +1,4 @@
-"""Sequences and k-mers as column expressions; no user-defined functions."""
+"""Sequences and k-mers as column expressions."""
 
 from __future__ import annotations
 
@@ -56,18 +56,16 @@ def bucket(canonical_kmer: Column) -> Column:
 
 
 def explode_kmers(df: DataFrame, k: int, seq: str = "seq", keep: list[str] | None = None) -> DataFrame:
-    """A row (``pos`` from 0, ``kmer``) for each window without a foreign character.
+    """A row (``pos`` from 0, ``kmer`` as text) for each window without a foreign character."""
+    from kmerlake.functions.kmers import kmer_rows
 
-    Whether a sequence is clean is tested once, before the windows are made.
-    """
-    keep = [c for c in df.columns if c != seq] if keep is None else keep
-    whole = df.where(F.length(seq) >= k).select(*keep, F.col(seq).alias("_seq"), F.col(seq).rlike("^[ACGT]+$").alias("_clean"))
-    windows = whole.select(*keep, "_clean", "_seq", F.explode(F.sequence(F.lit(0), F.length("_seq") - k)).alias("pos"))
-    return windows.select(*keep, "_clean", "pos", F.substring("_seq", F.col("pos") + 1, F.lit(k)).alias("kmer")).where(F.col("_clean") | F.col("kmer").rlike("^[ACGT]+$")).drop("_clean")
+    return kmer_rows(df, k, seq, keep, form="text")
 
 
 def in_chunks(df: DataFrame, k: int, size: int = 65_536, seq: str = "seq") -> DataFrame:
-    """Long sequences as chunks that overlap by k-1 bases, with ``offset``, so one genome feeds many tasks.
+    """Long sequences as chunks that overlap by k-1 bases, with ``offset``, for callers who want one genome to feed many tasks.
+
+    The k-mer functions need no chunks: they read a sequence of any length in slices.
 
     Every window of the sequence lies in exactly one chunk.
     """

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kmerlake.functions.seq import canonical, explode_kmers
+from kmerlake.functions.kmers import kmer_rows, kmer_totals
 
 
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer, n) of the canonical k-mers of all sequences."""
-    return explode_kmers(reads, k, keep=[]).groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+    """(kmer, n) of the canonical k-mers of all sequences, as 2-bit codes."""
+    return kmer_totals(reads, k)
 
 
 def without_noise(counts: DataFrame, least: int = 2, gate: int = 100_000) -> DataFrame:
@@ -20,7 +20,7 @@ def without_noise(counts: DataFrame, least: int = 2, gate: int = 100_000) -> Dat
 
 def containment(counts: DataFrame, references: DataFrame, k: int) -> DataFrame:
     """(ref_id, shared, total, score) of every reference; ``references`` has ref_id and seq."""
-    distinct = explode_kmers(references, k, keep=["ref_id"]).select("ref_id", canonical(F.col("kmer")).alias("kmer")).distinct()
+    distinct = kmer_rows(references, k, keep=["ref_id"], form="canonical").select("ref_id", "kmer").distinct()
     shared = distinct.join(counts, "kmer").groupBy("ref_id").agg(F.sum("n").alias("shared"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     out = references.select("ref_id").join(shared, "ref_id", "left").withColumn("total", total)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kmerlake.functions.seq import check_k, clean_revcomp, explode_kmers, revcomp
+from kmerlake.functions.kmers import kmer_rows, panel_codes, panel_counts, panel_hits
+from kmerlake.functions.seq import check_k, clean_revcomp, decode, encode, revcomp
 
 
 def diagnostic_kmers(markers: DataFrame, reference: Column, k: int, min_flank: int = 0) -> DataFrame:
@@ -36,15 +37,29 @@ def read_index(markers: DataFrame, k: int) -> DataFrame:
     return snps.select("marker_id", F.explode(rows).alias("r")).select("r.kmer", "marker_id", "r.is_alt")
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A panel marked for broadcasting when it has ``rows`` rows at most; else Spark chooses the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _coded(panel: DataFrame, kmer: str) -> DataFrame:
+    return panel.withColumn("kmer", encode(F.col(kmer)))
+
+
+def marker_hits(reads: DataFrame, index: DataFrame, k: int, group: str = "sample") -> DataFrame:
+    """(group, marker_id, is_alt, n): occurrences of marker k-mers, some added up already.
+
+    A panel of a million k-mers or fewer goes to the tasks, which look windows up
+    before they make rows; a larger one is joined.
+    """
+    coded = _coded(index, "kmer")
+    panel = panel_codes(coded)
+    if panel is None:
+        found = kmer_rows(reads, k, keep=[group]).select(group, "kmer", F.lit(1).cast("long").alias("n")).join(coded, "kmer")
+    else:
+        found = panel_counts(reads, k, panel, group).join(F.broadcast(coded), "kmer")
+    return found.select(group, "marker_id", "is_alt", "n")
 
 
 def allele_counts(reads: DataFrame, index: DataFrame, k: int, group: str = "sample") -> DataFrame:
     """(group, marker_id, ref_count, alt_count): occurrences of marker k-mers in the reads."""
-    found = explode_kmers(reads, k, keep=[group]).join(small(index), "kmer")
-    return found.groupBy(group, "marker_id").agg(F.sum(1 - F.col("is_alt")).alias("ref_count"), F.sum("is_alt").cast("long").alias("alt_count"))
+    found = marker_hits(reads, index, k, group)
+    return found.groupBy(group, "marker_id").agg(F.sum((1 - F.col("is_alt")) * F.col("n")).alias("ref_count"), F.sum(F.col("is_alt") * F.col("n")).alias("alt_count"))
 
 
 def called_variants(counts: DataFrame, min_depth: int = 10, min_percent: int = 95) -> DataFrame:
@@ -62,7 +77,13 @@ def assembly_hits(contigs: DataFrame, markers: DataFrame, k: int) -> DataFrame:
     the reverse complement.
     """
     last = markers.groupBy("alt_kmer").agg(F.max_by(F.struct("marker_id", "pos", "ref", "alt", "levels", "left"), "marker_id").alias("m"))
-    strands = contigs.select("genome", "contig", F.posexplode(F.array(F.col("seq"), revcomp(F.col("seq")))).alias("strand", "seq"))
-    found = explode_kmers(strands, k).join(small(last), F.col("kmer") == F.col("alt_kmer"))
+    last = _coded(last, "alt_kmer")
+    upper = contigs.select("genome", "contig", F.upper("seq").alias("seq"))
+    panel = panel_codes(last)
+    if panel is None:
+        strands = upper.select("genome", "contig", F.posexplode(F.array(F.col("seq"), revcomp(F.col("seq")))).alias("strand", "seq"))
+        found = kmer_rows(strands, k).join(last, "kmer")
+    else:
+        found = panel_hits(upper, k, panel).join(F.broadcast(last), "kmer")
     first = found.groupBy("genome", "kmer").agg(F.min(F.struct("contig", "strand", "pos")).alias("at"), F.first("m").alias("m"))
-    return first.select("genome", "kmer", (F.col("at.pos") + 1).alias("kmer_pos"), (F.col("at.pos") + F.col("m.left") + 1).alias("genome_pos"), F.col("at.contig").alias("contig"), F.col("at.strand").alias("strand"), "m.marker_id", "m.pos", "m.ref", "m.alt", "m.levels")
+    return first.select("genome", decode(F.col("kmer"), k).alias("kmer"), (F.col("at.pos") + 1).alias("kmer_pos"), (F.col("at.pos") + F.col("m.left") + 1).alias("genome_pos"), F.col("at.contig").alias("contig"), F.col("at.strand").alias("strand"), "m.marker_id", "m.pos", "m.ref", "m.alt", "m.levels")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerlake.functions import seq as S
+from kmerlake.functions.kmers import kmer_rows
 from kmerlake.operators import contain, lineage, scan
 from kmerlake.plans import fixtures as X
 
@@ -32,7 +33,9 @@ def _doc_kmers(k: int) -> str:
 
 @query(_doc_kmers(31) + "SELECT doc_id, count(*) AS n_windows, count(DISTINCT kmer) AS n_distinct, min(kmer) AS low, max(kmer) AS high FROM kx GROUP BY doc_id")
 def kmer_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.explode_kmers(X.doc_dna(spark, sf_dir), 31, keep=["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_windows"), F.countDistinct("kmer").alias("n_distinct"), F.min("kmer").alias("low"), F.max("kmer").alias("high"))
+    found = kmer_rows(X.doc_dna(spark, sf_dir), 31, keep=["doc_id"]).groupBy("doc_id")
+    counted = found.agg(F.count("*").alias("n_windows"), F.countDistinct("kmer").alias("n_distinct"), F.min("kmer").alias("low"), F.max("kmer").alias("high"))
+    return counted.withColumns({c: S.decode(F.col(c), 31) for c in ("low", "high")})
 
 
 @query(_doc_kmers(21) + f"SELECT doc_id, count(DISTINCT least(kmer, {_RC.format('kmer')})) AS n_canonical, CAST(count(*) FILTER (WHERE kmer <= {_RC.format('kmer')}) AS BIGINT) AS n_forward, min(least(kmer, {_RC.format('kmer')})) AS low FROM kx GROUP BY doc_id")
@@ -44,10 +47,10 @@ def kmer_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CODE = "list_reduce(list_transform(string_split(kmer, ''), lambda b: CAST(instr('ACGT', b) - 1 AS BIGINT)), lambda a, b: a * 4 + b)"
 
 
-@query("WITH " + X.REF_SQL + ", kx AS (SELECT CAST(p - 1 AS INT) AS pos, substr(rseq, CAST(p AS INT), 31) AS kmer FROM ref, range(1, 2019) t(p)) " + f"SELECT pos, kmer, {_CODE} AS code, kmer AS again FROM kx")
+@query(_doc_kmers(31) + f", c AS (SELECT doc_id, {_CODE} AS code FROM kx) SELECT doc_id, min(code) AS low, max(code) AS high, count(DISTINCT code) AS n_codes, CAST(sum(code % 1000003) AS BIGINT) AS checksum FROM c GROUP BY doc_id")
 def kmer_encode2bit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = spark.createDataFrame([(X.REFERENCE,)], "seq string")
-    return S.explode_kmers(ref, 31).select("pos", "kmer", S.encode(F.col("kmer")).alias("code"), S.decode(S.encode(F.col("kmer")), 31).alias("again"))
+    coded = S.explode_kmers(X.doc_dna(spark, sf_dir), 31, keep=["doc_id"]).withColumn("code", S.encode(F.col("kmer")))
+    return coded.groupBy("doc_id").agg(F.min("code").alias("low"), F.max("code").alias("high"), F.countDistinct("code").alias("n_codes"), F.sum(F.col("code") % 1000003).alias("checksum"))
 
 
 @query("SELECT doc_id, reverse(translate(regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) AS rc FROM documents")
@@ -75,7 +78,7 @@ def query_kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_POOL + "SELECT count(*) AS kept, CAST(sum(n) AS BIGINT) AS weight FROM qc WHERE (SELECT count(*) FROM qc) <= 100000 OR n >= 2")
 def kmer_noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contain.without_noise(contain.kmer_counts(X.doc_dna(spark, sf_dir), 21).persist()).agg(F.count("*").alias("kept"), F.sum("n").alias("weight"))
+    return contain.without_noise(contain.kmer_counts(X.doc_dna(spark, sf_dir), 21)).agg(F.count("*").alias("kept"), F.sum("n").alias("weight"))
 
 
 _SCORES = (
@@ -88,8 +91,7 @@ _SCORES = (
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The counts are asked for three times: for the gate, the total and the join.
-    counts = contain.without_noise(contain.kmer_counts(X.doc_dna(spark, sf_dir), 21).persist())
+    counts = contain.without_noise(contain.kmer_counts(X.doc_dna(spark, sf_dir), 21))
     refs = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
     return contain.containment(counts, refs, 21)
 

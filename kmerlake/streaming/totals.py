@@ -7,22 +7,20 @@ recovered from the query's checkpoint.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from kmerlake.functions.seq import canonical, explode_kmers
-from kmerlake.operators.scan import small
+from kmerlake.operators import contain, scan
 
 
 def kmer_totals(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, n) over a stream of reads with ``seq``."""
-    return explode_kmers(reads, k, keep=[]).groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+    return contain.kmer_counts(reads, k)
 
 
 def allele_totals(reads: DataFrame, index: DataFrame, k: int, group: str = "sample") -> DataFrame:
     """(group, marker_id, ref_count, alt_count) over a stream; ``index`` is a batch table."""
-    found = explode_kmers(reads, k, keep=[group]).join(small(index), "kmer")
-    return found.groupBy(group, "marker_id").agg(F.sum(1 - F.col("is_alt")).alias("ref_count"), F.sum("is_alt").cast("long").alias("alt_count"))
+    return scan.allele_counts(reads, index, k, group)
 
 
 def run_available(totals: DataFrame, name: str, checkpoint: str) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Operators on hand-made cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -30,6 +31,47 @@ def test_encode_decode_and_reverse(spark):
     assert tuple(r) == (4**31 - 1, s, "NNACGT", "AAA")
 
 
+def test_kmer_forms_equal_plain(spark):
+    import pyarrow as pa
+
+    from kmerlake.functions import kmers
+
+    rng = np.random.default_rng(4)
+    seqs = ["".join(rng.choice(list("ACGTNa"), n, p=[0.24] * 4 + [0.02] * 2)) for n in (0, 3, 40, 500)] + [None, "éACGTACéGTACGTT", "ACGT" * 60]
+    turn = str.maketrans("ACGT", "TGCA")
+    for k in (1, 3, 8, 31):
+        want = [(i, p, s[p : p + k]) for i, s in enumerate(seqs) for p in range(len(s or "") - k + 1) if not s[p : p + k].strip("ACGT")]
+        code = lambda x: int(x.translate(str.maketrans("ACGT", "0123")), 4)
+        for limit in (7, 64, 1 << 20):  # long sequences are read in slices
+            got = [x for w in kmers.windows(pa.array(seqs), k, limit) for x in zip(w.row.tolist(), w.pos.tolist(), w.text().to_pylist(), w.forward.tolist(), w.reverse.tolist())]
+            assert got == [(i, p, x, code(x), code(x[::-1].translate(turn))) for i, p, x in want]
+    frame = spark.createDataFrame(list(enumerate(seqs)), "id int, seq string").repartition(3)
+    hits = kmers.panel_hits(frame, 3, np.array(sorted({6, 27})), keep=["id"])
+    want = [(i, strand, p, x) for i, s in enumerate(seqs) for strand, t in ((0, s or ""), (1, re.sub("[^ACGT]", "N", s or "")[::-1].translate(turn))) for p in range(len(t) - 2) if not (x := t[p : p + 3]).strip("ACGT") and code(x) in (6, 27)]
+    assert rows(hits.select("id", "strand", "pos", S.decode(F.col("kmer"), 3))) == sorted(want)
+    assert kmers.kmer_rows(frame.where("id < 0"), 3).count() == 0
+
+
+def test_a_genome_takes_linear_time(spark):
+    import time
+
+    genome = "".join(np.random.default_rng(1).choice(list("ACGT"), 5_000_000))
+    made = spark.createDataFrame([(i, 100_000 * (i + 1), "A", "C", ["L"], 15, genome[100_000 * (i + 1) - 16 : 100_000 * (i + 1) + 15]) for i in range(40)], "marker_id int, pos int, ref string, alt string, levels array<string>, left int, alt_kmer string")
+    began = time.time()
+    hits = scan.assembly_hits(spark.createDataFrame([("g", 0, genome)], "genome string, contig int, seq string"), made, 31).collect()
+    assert sorted(h.genome_pos for h in hits) == [100_000 * (i + 1) for i in range(40)] and time.time() - began < 30
+
+
+def test_large_panels_are_joined(spark, monkeypatch):
+    made = scan.diagnostic_kmers(panel(spark, [(150, 1, ALT), (100, 1, "T" if REF[99] != "T" else "G")]), F.lit(REF), 11)
+    reads = spark.createDataFrame([("s", REF[100:220]), ("t", REF[140:149] + ALT + REF[150:170])], "sample string, seq string")
+    contigs = spark.createDataFrame([("g", 0, REF[:149] + ALT + REF[150:]), ("h", 0, REF[:149] + ALT + REF[150:])], "genome string, contig int, seq string")
+    both = lambda: (rows(scan.allele_counts(reads, scan.read_index(made, 11), 11)), rows(scan.assembly_hits(contigs, made, 11).drop("levels")))
+    near = both()
+    monkeypatch.setattr(scan, "panel_codes", lambda df: None)
+    assert both() == near and all(near)
+
+
 def test_chunks_keep_every_window_once(spark):
     rng = random.Random(2)
     text = "".join(rng.choice("ACGT") for _ in range(1000))
