@@ -10,7 +10,7 @@ from kmerlake.plans import fixtures as X
 
 Q: dict = {}
 SQL: dict[str, str] = {}
-K, TREES, DEPTH, LEAF = 8, 12, 10, 5
+K, TREES, DEPTH, LEAF = 8, 100, 20, 5
 
 
 def query(sql: str | None = None):
@@ -37,19 +37,19 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.stratified_folds(X.table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 5)
 
 
-@query("SELECT doc_id, CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) < 858993459 AS is_test FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= greatest(1, least(count(*) OVER () - 1, CAST(floor(count(*) OVER () * 0.2 + 0.5) AS BIGINT))) AS is_test FROM documents")
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.holdout_split(X.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.2)
 
 
 def _trained(spark: SparkSession, sf_dir: str, part: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features, labels and a forest of documents as bases, labelled by language."""
-    cells = features.bucket_counts(X.doc_dna(spark, sf_dir), K, "doc_id").withColumnRenamed("doc_id", "seq").persist()
+    cells = features.bucket_counts(X.doc_dna(spark, sf_dir), K, "doc_id").withColumnRenamed("doc_id", "seq")
     docs = X.table(spark, sf_dir, "documents").select("doc_id", "lang")
     if part:
         docs = M.holdout_split(docs, "doc_id", 0.2).where(part)
     labels = docs.join(F.broadcast(_codes(spark, sf_dir)), F.col("lang") == F.col("label")).select(F.col("doc_id").alias("seq"), "code")
-    return cells, labels, M.train(cells, labels, TREES, DEPTH, LEAF).persist()
+    return cells, labels, M.train(cells, labels, TREES, DEPTH, LEAF)
 
 
 @query()
@@ -68,7 +68,7 @@ def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def oob_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels, model = _trained(spark, sf_dir)
-    return M.accuracy(M.out_of_bag(M.votes(cells, model), labels), labels)
+    return M.accuracy(M.out_of_bag(M.votes(cells, model)), labels)
 
 
 @query()

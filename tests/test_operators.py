@@ -349,24 +349,79 @@ def test_forest_separates_motifs(spark):
     ballots = M.votes(cells, model)
     assert ballots.count() == 600
     assert M.accuracy(ballots, labels).first().accuracy >= 80
-    assert M.accuracy(M.out_of_bag(ballots, labels), labels).first().accuracy >= 80
+    assert M.accuracy(M.out_of_bag(ballots), labels).first().accuracy >= 80
     ranked = M.importance(model).collect()
     assert ranked[0]["rank"] == 1 and sum(r.importance_pct for r in ranked) == pytest.approx(100)
 
 
-def test_tree_limits():
-    rng = np.random.default_rng(0)
-    y = rng.integers(0, 3, 60)
-    r, c = np.nonzero(rng.random((60, 12)) < 0.5)
-    order = np.lexsort((r, c))
-    t = M.Tree(3, 4, rng).fit(r[order], c[order], np.ones(len(r), np.float32), y, np.ones(60), 3, 1024)
+def grown_plainly(cells, codes, drawn, depth, leaf, classes):
+    """One tree over every bucket, by trying every split."""
+    def gini(y):
+        n = sum(y.values())
+        return 1 - sum((c / n) ** 2 for c in y.values()) if n else 0
+
+    def tally(rows):
+        out = {}
+        for r in rows:
+            out[codes[r]] = out.get(codes[r], 0) + drawn[r]
+        return out
+
+    def grow(rows, level):
+        y = tally(rows)
+        n = sum(y.values())
+        top = max(range(classes), key=lambda c: (y.get(c, 0), c))
+        best = None
+        if level < depth and len(y) > 1 and n > 2 * leaf:
+            for f in sorted({b for r in rows for b in cells[r]}):
+                points = sorted({cells[r].get(f, 0) for r in rows})
+                for lo, hi in zip(points, points[1:]):
+                    low = [r for r in rows if cells[r].get(f, 0) <= lo]
+                    a, b = tally(low), tally([r for r in rows if r not in set(low)])
+                    na, nb = sum(a.values()), sum(b.values())
+                    gain = gini(y) - (na * gini(a) + nb * gini(b)) / n
+                    if na >= leaf and nb >= leaf and gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                        best = gain, f, (lo + hi) / 2, low
+        if best is None:
+            return top
+        rest = [r for r in rows if r not in set(best[3])]
+        return best[1], best[2], grow(best[3], level + 1), grow(rest, level + 1)
+
+    return grow([r for r in codes if drawn[r]], 0)
+
+
+def test_trees_equal_plain(spark):
+    rng = np.random.default_rng(5)
+    codes = {i: int(rng.integers(0, 3)) for i in range(70)}
+    cells = {i: {int(b): int(rng.integers(1, 4)) + codes[i] * int(b % 3 == 0) for b in rng.choice(25, 8, replace=False)} for i in codes}
+    frame = spark.createDataFrame([(i, b, n) for i, own in cells.items() for b, n in own.items()], "seq long, bucket int, cnt long")
+    labels = spark.createDataFrame(list(codes.items()), "seq long, code int")
+    model = M.train(frame, labels, trees=3, depth=4, leaf=3)
+    nodes = {(r.tree, r.node): r for r in model.collect()}
+    drawn = {(r.t, r.seq): r.n for r in labels.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("t"))).select("t", "seq", M.draws(F.col("t"), F.col("seq"), 42).alias("n")).collect()}
+
+    def told(tree, i):
+        r = nodes[tree, i]
+        return r.cls if r.feature < 0 else (r.feature, r.threshold, told(tree, r.left), told(tree, r.right))
+
+    for tree in range(3):
+        assert told(tree, 0) == grown_plainly(cells, codes, {i: drawn[tree, i] for i in codes}, 4, 3, 3)
+    walked = {(r.seq, r.tree): r.code for r in M.votes(frame, model).collect()}
+
+    def call(t, row):
+        return t if isinstance(t, int) else call(t[2] if row.get(t[0], 0) <= t[1] else t[3], row)
+
+    assert walked == {(i, tree): call(told(tree, 0), cells[i]) for i in codes for tree in range(3)}
+    oob = {(r.seq, r.tree) for r in M.out_of_bag(M.votes(frame, model)).collect()}
+    assert oob == {(i, t) for t in range(3) for i in codes if not drawn[t, i]}
+    with pytest.raises(ValueError):
+        M.train(frame, labels.withColumn("code", F.lit(1)), trees=1)
+    with pytest.raises(ValueError):
+        M.cross_validation(frame, labels.limit(3), 4)
 
-    def depth(i):
-        return 0 if t.nodes[i][0] < 0 else 1 + max(depth(t.nodes[i][2]), depth(t.nodes[i][3]))
 
-    assert 1 <= depth(0) <= 3
-    pure = M.Tree(5, 1, rng).fit(r[order], c[order], np.ones(len(r), np.float32), np.zeros(60, int), np.ones(60), 3, 1024)
-    assert len(pure.nodes) == 1
+def test_draws_have_the_right_spread(spark):
+    share = {r.n: r["count"] / 20_000 for r in spark.range(20_000).select(M.draws(F.lit(3), F.col("id"), 42).alias("n")).groupBy("n").count().collect()}
+    assert abs(share[0] - 0.3679) < 0.02 and abs(share[1] - 0.3679) < 0.02 and abs(share[2] - 0.1839) < 0.02
 
 
 def test_splits_check_their_parameters(spark):
