@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Patterns of read-pair names in the order they are tried; R stands for the read's number.
+#: Patterns of read-pair names in the order they are tried, and of read suffixes, fixed values; {} stands for the read's number.
 PAIRS = (r"^(.+?)_R{}_\d+\.", r"^(.+?)_R{}[._]", r"^(.+?)_{}\.", r"^(.+?)\.{}\.")
 _SUFFIX = r"^(.+?)(?:_[Rr][12]_001|_[Rr][12]|_[12]|\.[12]|-[Rr][12]|-[12])$"
 

@@ -20,11 +20,11 @@ def grade_rank(grade: Column) -> Column:
 def collapse(grades: DataFrame) -> DataFrame:
     """(variant, label, grade) from (variant, drug, grade): drugs graded 1 or 2 in one label with the strongest grade.
 
-    LEV and MXF are read as FQ.
+    LEV and MXF are read as FQ; drugs without a place in ``LABEL_ORDER`` are left out.
     """
-    kept = grades.select("variant", F.when(F.col("drug").isin("LEV", "MXF"), "FQ").otherwise(F.col("drug")).alias("drug"), "grade", grade_rank(F.col("grade")).alias("rank")).where("rank <= 1")
+    kept = grades.select("variant", F.when(F.col("drug").isin("LEV", "MXF"), "FQ").otherwise(F.col("drug")).alias("drug"), "grade", grade_rank(F.col("grade")).alias("rank")).where("rank <= 1").where(F.col("drug").isin(*LABEL_ORDER))
     at = F.array_position(F.array(*[F.lit(d) for d in LABEL_ORDER]), F.col("drug"))
-    item = F.struct(F.when(at > 0, at).otherwise(99).alias("at"), F.col("drug").alias("drug"))
+    item = F.struct(at.alias("at"), F.col("drug").alias("drug"))
     out = kept.groupBy("variant").agg(F.array_sort(F.collect_set(item)).alias("d"), F.min(F.struct("rank", "grade")).alias("g"))
     return out.select("variant", F.array_join(F.transform("d", lambda x: x["drug"]), "_").alias("label"), F.col("g.grade").alias("grade"))
 
@@ -111,11 +111,14 @@ def base_snps(variants: DataFrame, reference: str) -> DataFrame:
 
 
 def literature_grade(confidence: Column) -> Column:
-    """Free text on confidence as a grade."""
-    low = F.lower(F.coalesce(confidence, F.lit("")))
+    """Free text on confidence as a grade; its case counts.  Text that says nothing is ``TBProfiler_literature``."""
+    has = lambda x: F.contains(F.coalesce(confidence, F.lit("")), F.lit(x))
+    grade = lambda interim, plain: F.when(has("Interim"), interim).otherwise(plain)
     return (
-        F.when(F.contains(low, F.lit("not assoc")), "5) Not assoc w R").when(F.contains(low, F.lit("uncertain")), "3) Uncertain significance")
-        .when(F.contains(low, F.lit("interim")), "2) Assoc w R - Interim").when(F.contains(low, F.lit("assoc")), "1) Assoc w R").otherwise("Unknown")
+        F.when(has("Assoc w R") & ~has("Not"), grade("2) Assoc w R - Interim", "1) Assoc w R"))
+        .when(has("Uncertain"), "3) Uncertain significance")
+        .when(has("Not assoc"), grade("4) Not assoc w R - Interim", "5) Not assoc w R"))
+        .otherwise("TBProfiler_literature")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 DRUG_ORDER = ("RIF", "INH", "PZA", "EMB", "FQ", "BDQ", "LZD", "BDQ_CFZ", "CFZ", "DLM", "ETH", "PAS", "AMK", "KAN", "CAP", "STR", "OTHER")
 #: Verdicts from the strongest evidence down.
 VERDICTS = ("resistant", "uncertain", "ungraded", "not_assoc")
+#: Spellings of an outcome that is not known, fixed values.
 UNKNOWN = ("", "-", "na", "n/a", "none", "null", "unknown", "unassigned", "unclassified")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kmerlake.operators import annotate as A
+from kmerlake.operators import annotate as A, reports, scan
 from kmerlake.plans import fixtures as X
+from kmerlake.plans.genotyping import _HITS
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -106,3 +107,23 @@ def masked_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = _ranges(spark, sf_dir).groupBy("genome").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     return by.select("genome", A.mask(F.lit(X.REFERENCE), F.col("ranges")).alias("seq"))
 
+
+# Every marker is one base, so at most one codon changes; genomes without hits are those of the suppliers' nations.
+_DETAIL = (
+    _HITS + ", g0 AS (SELECT g_start - 1 AS start, g_end AS stop, strand, id FROM (VALUES " + X._values(X.GENES) + ") gene(g_start, g_end, strand, id)), " + _CODON_SQL + ", "
+    "hm AS (SELECT hit.genome, hit.kmer, hit.kmer_pos, hit.genome_pos, hit.marker_id, m.pos, m.ref, m.alt, m.path, m.gene AS m_gene, substr(kmer, 16, 1) AS cut FROM hit JOIN marker m USING (marker_id)), "
+    "fg AS (SELECT hm.*, g0.* FROM hm LEFT JOIN g0 ON pos - 1 < stop AND pos > start QUALIFY row_number() OVER (PARTITION BY genome, kmer ORDER BY start, stop, id) = 1), "
+    "vp AS (SELECT fg.*, CASE WHEN strand = '+' THEN pos - 1 ELSE 2048 - pos END AS f1, CASE WHEN strand = '+' THEN start ELSE 2048 - stop END AS b0, CASE WHEN strand = '+' THEN cut ELSE translate(cut, 'ACGT', 'TGCA') END AS ab, CASE WHEN strand = '+' THEN rseq ELSE reverse(translate(rseq, 'ACGT', 'TGCA')) END AS sq FROM fg, ref), "
+    "cd AS (SELECT vp.*, (f1 - b0) // 3 AS i, substr(sq, CAST(b0 + 3 * ((f1 - b0) // 3) + 1 AS INT), 3) AS rc FROM vp), "
+    "nc AS (SELECT cd.*, substr(rc, 1, CAST(f1 - b0 - 3 * i AS INT)) || ab || substr(rc, CAST(f1 - b0 - 3 * i + 2 AS INT)) AS nc, strand IN ('+', '-') AND f1 >= b0 AS good FROM cd), "
+    "aa AS (SELECT nc.*, coalesce(x.a3, '???') || (i + 1) || coalesce(y.a3, '???') || '(' || rc || '>' || nc || ')' || CASE WHEN x.a3 = y.a3 THEN ' syn' ELSE '' END AS change FROM nc LEFT JOIN codon x ON rc = x.c LEFT JOIN codon y ON nc = y.c), "
+    "every AS (SELECT DISTINCT sample AS genome FROM asm UNION SELECT n_nationkey + 100 FROM nation) "
+    'SELECT e.genome, kmer AS "k-mer", kmer_pos AS "k-merPOS", genome_pos AS "SNPgenome", pos AS "SNPreference", ref AS "REF", alt AS "ALT", path AS lineage, coalesce(id, m_gene) AS "Gene", start + 1 AS "Gene_Start", stop AS "Gene_End", CASE WHEN good THEN CAST(i + 1 AS INT) END AS "AA_Pos", CASE WHEN good THEN change ELSE CASE WHEN kmer IS NOT NULL THEN \'m\' || marker_id END END AS "AA_Change" FROM every e LEFT JOIN aa USING (genome)'
+)
+
+
+@query(_DETAIL)
+def classify_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = scan.diagnostic_kmers(X.markers(spark).withColumn("mutation", F.concat(F.lit("m"), F.col("marker_id").cast("string"))), F.lit(X.REFERENCE), X.K)
+    blank = X.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("genome"), F.lit(0).alias("contig"), F.lit("ACGT").alias("seq"))
+    return reports.hit_detail(X.contigs(spark, sf_dir).unionByName(blank), made, _genes(spark), X.REFERENCE, X.K)

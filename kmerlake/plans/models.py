@@ -85,7 +85,7 @@ def importance_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.bucket_places(X.doc_dna(spark, sf_dir), K, ranked, "doc_id").join(F.broadcast(ranked), "bucket")
 
 
-_DRUGS = ("RIF", "INH", "EMB", "PZA", "STR", "ETH", "AMI", "KAN", "CAP", "LZD", "DLM", "LEV", "MXF", "BDQ", "CFZ")
+_DRUGS = (*(d for d in C.LABEL_ORDER if d != "FQ"), "LEV", "MXF")
 _GRADED = "gr AS (SELECT l_partkey AS variant, [" + ", ".join(f"'{d}'" for d in _DRUGS) + "][CAST(l_suppkey % 15 + 1 AS INT)] AS drug, CAST(1 + l_linenumber % 5 AS VARCHAR) || ') grade' AS grade, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem)"
 
 

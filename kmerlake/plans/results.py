@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kmerlake.operators import insights as I
+from kmerlake.operators import insights as I, views as V
+from kmerlake.operators.lineage import lineage_counts
 from kmerlake.plans import fixtures as X
 from kmerlake.plans.genotyping import _BRANCH, _CALLED, _TALLY, _branches, _called
 
@@ -51,7 +52,7 @@ def dr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_DR + " SELECT drug, verdict, count(*) AS samples FROM prof GROUP BY 1, 2")
 def dr_call_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profile(spark, sf_dir).groupBy("drug", "verdict").agg(F.count("*").alias("samples"))
+    return V.call_tally(_profile(spark, sf_dir))
 
 
 @query("WITH p AS (SELECT CASE WHEN l_partkey % 2 = 0 THEN 'RIF;RIF-R;m' || l_suppkey || ';' || (l_linenumber % 7) || ') Assoc w R;g;x' ELSE 'L' || l_suppkey || ';L' || l_linenumber END AS path FROM lineitem) SELECT n_paths, n_resistance, n_resistance >= greatest(1, ceil(n_paths * 0.5)) AS is_panel FROM (SELECT count(*) AS n_paths, count(*) FILTER (WHERE regexp_matches(path, '^RIF;[^;]*;[^;]*;[1-5]\\)')) AS n_resistance FROM p)")
@@ -77,29 +78,46 @@ def depth_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CALLED.format(p=5) + " SELECT CAST(sum(alt_count) AS BIGINT) AS alt_reads, sum(alt_count) * 100.0::DOUBLE / sum(coverage) AS weighted_alt, quantile_cont(alt_percent, 0.5) AS median_alt, count(*) FILTER (WHERE alt_percent >= 95) AS fixed_loci, quantile_cont(CAST(coverage AS DOUBLE), 0.5) AS median_depth, count(*) FILTER (WHERE coverage < 10) AS low_depth FROM called")
 def read_support_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _called(spark, sf_dir, 5)
-    return calls.agg(F.sum("alt_count").alias("alt_reads"), (F.sum("alt_count") * 100.0 / F.sum("coverage")).alias("weighted_alt"), F.percentile("alt_percent", F.lit(0.5)).alias("median_alt"), F.count_if(F.col("alt_percent") >= 95).alias("fixed_loci"), F.percentile("coverage", F.lit(0.5)).alias("median_depth"), F.count_if(F.col("coverage") < 10).alias("low_depth"))
+    return V.read_support(_called(spark, sf_dir, 5))
 
 
 @query(_CALLED.format(p=50) + _TALLY + ", k AS (SELECT sample, max(n) * 100.0::DOUBLE / sum(n) AS support, count(*) AS paths FROM tally GROUP BY sample) SELECT count(*) AS samples, avg(support) AS mean_support, count(*) FILTER (WHERE support < 60) AS weak, count(*) FILTER (WHERE paths > 1) AS multi FROM k")
 def lineage_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kmerlake.operators.lineage import lineage_counts
+    return V.lineage_evidence(_tally(spark, sf_dir))
 
-    per = lineage_counts(_called(spark, sf_dir, 50), "sample").groupBy("sample").agg((F.max("n") * 100.0 / F.sum("n")).alias("support"), F.count("*").alias("paths"))
-    return per.agg(F.count("*").alias("samples"), F.avg("support").alias("mean_support"), F.count_if(F.col("support") < 60).alias("weak"), F.count_if(F.col("paths") > 1).alias("multi"))
 
+def _tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage_counts(_called(spark, sf_dir, 50), "sample")
 
-@query("WITH v AS (SELECT l_tax * 12 AS c FROM lineitem) SELECT CASE WHEN c < 0.5 THEN '<0.5' WHEN c < 0.7 THEN '0.5-0.7' WHEN c < 0.9 THEN '0.7-0.9' ELSE '>=0.9' END AS bin, count(*) AS n FROM v GROUP BY 1")
+
+@query(_CALLED.format(p=5) + " SELECT sample, count(*) AS loci, CAST(sum(coverage) AS BIGINT) AS coverage, sum(alt_count) * 100.0::DOUBLE / sum(coverage) AS weighted_alt, quantile_cont(alt_percent, 0.5) AS median_alt FROM called GROUP BY sample ORDER BY weighted_alt DESC, coverage DESC, sample LIMIT 8")
+def read_support_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.sample_support(_called(spark, sf_dir, 5))
+
+
+@query(_CALLED.format(p=5) + " SELECT sample, marker_id, coverage, alt_percent FROM called ORDER BY alt_percent DESC, coverage DESC, sample, marker_id LIMIT 6")
+def strongest_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.strongest_markers(_called(spark, sf_dir, 5).select("sample", "marker_id", "coverage", "alt_percent"))
+
+
+@query(_CALLED.format(p=50) + _TALLY + ", k AS (SELECT sample, max(n) * 100.0::DOUBLE / sum(n) AS support, count(*) AS paths, CAST(sum(n) AS BIGINT) AS evidence FROM tally GROUP BY sample) SELECT * FROM k ORDER BY support, evidence DESC, sample LIMIT 8")
+def weakest_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.weakest_groups(_tally(spark, sf_dir))
+
+
+@query(_CALLED.format(p=50) + _TALLY + " SELECT path, CAST(sum(n) AS BIGINT) AS n FROM tally GROUP BY path ORDER BY n DESC, lower(path), path LIMIT 5")
+def frequent_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.frequent_paths(_tally(spark, sf_dir))
+
+
+@query("WITH v AS (SELECT l_tax * 12 AS c FROM lineitem) SELECT CASE WHEN c < 0.5 THEN '<0.5' WHEN c < 0.7 THEN '0.5-0.7' WHEN c < 0.9 THEN '0.7-0.9' ELSE '>=0.9' END AS bin, count(*) AS n, CAST(avg(c) AS DOUBLE) AS mean FROM v GROUP BY 1")
 def confidence_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("l_tax") * 12
-    return X.table(spark, sf_dir, "lineitem").groupBy(F.when(c < 0.5, "<0.5").when(c < 0.7, "0.5-0.7").when(c < 0.9, "0.7-0.9").otherwise(">=0.9").alias("bin")).agg(F.count("*").alias("n"))
+    return V.confidence_bins(X.table(spark, sf_dir, "lineitem"), F.col("l_tax") * 12)
 
 
 @query("WITH v AS (SELECT user_id, CASE WHEN value > 1.2 AND value <= 100 THEN value / 100 ELSE value END AS s FROM events), c AS (SELECT user_id, coalesce(least(1, greatest(0, s)), 0) AS s FROM v) SELECT count(*) AS n, round(avg(s), 9) AS mean_score, max(s) AS best_score, count(DISTINCT user_id) AS refs FROM c")
 def match_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    s = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when((v > 1.2) & (v <= 100), v / 100).otherwise(v))), F.lit(0.0))
-    return X.table(spark, sf_dir, "events").select("user_id", s.alias("s")).agg(F.count("*").alias("n"), F.round(F.avg("s"), 9).alias("mean_score"), F.max("s").alias("best_score"), F.countDistinct("user_id").alias("refs"))
+    return V.match_scores(X.table(spark, sf_dir, "events"), "value", "user_id")
 
 
 @query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, lower(event_type), event_type) = 1) SELECT event_type AS call, count(*) AS genomes FROM b GROUP BY 1")
@@ -109,13 +127,21 @@ def majority_call(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(value) AS n, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.9) AS p90, min(value) AS low, max(value) AS high FROM events GROUP BY event_type HAVING count(value) >= greatest(3, 0.2 * count(*))")
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.count("*").alias("all"), F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.9)).alias("p90"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return rows.where(F.col("n") >= F.greatest(F.lit(3.0), 0.2 * F.col("all"))).drop("all")
+    return V.quality_summary(X.table(spark, sf_dir, "events"), "event_type", "value")
+
+
+#: Events, some with a call that says nothing.
+_TOLD = "told AS (SELECT user_id, CASE WHEN event_id % 11 = 0 THEN ' Unknown ' WHEN event_id % 13 = 0 THEN 'n/a' WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS call FROM events), flag AS (SELECT *, lower(trim(coalesce(call, ''))) IN (" + ", ".join(f"'{u}'" for u in I.UNKNOWN) + ") AS open FROM told)"
+
 
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    return X.table(spark, sf_dir, "events").select("user_id", F.when(key % 11 == 0, " Unknown ").when(key % 13 == 0, "n/a").when(key % 17 != 0, F.col("event_type")).alias("call"))
 
-@query("SELECT c_mktsegment AS label, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, label LIMIT 5")
+
+@query("WITH " + _TOLD + ", c AS (SELECT trim(coalesce(call, '')) AS label, count(*) AS n FROM told GROUP BY 1), f AS (SELECT * FROM c WHERE label <> '' ORDER BY n DESC, lower(label), label LIMIT 5) SELECT * FROM f UNION ALL SELECT 'Unresolved', count(*) FROM flag WHERE open")
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "customer").where(~I.unknown(F.col("c_mktsegment"))).groupBy(F.col("c_mktsegment").alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(5)
+    return V.facets(_told(spark, sf_dir), "call")
 
 
 @query("WITH c AS (SELECT p_brand AS label, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, label) AS k FROM c) SELECT CASE WHEN k <= 7 THEN label ELSE 'Other' END AS label, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1")
@@ -123,20 +149,15 @@ def topn_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.top_with_other(X.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("label")).agg(F.count("*").alias("n")), "label", "n", 7)
 
 
-@query("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT (SELECT count(DISTINCT user_id) FROM events) AS samples, CAST((SELECT sum(n) FROM c) AS BIGINT) AS assigned, 0::BIGINT AS unresolved, event_type AS top_call, n * 100.0::DOUBLE / (SELECT sum(n) FROM c) AS top_share FROM c ORDER BY n DESC, event_type LIMIT 1")
+@query("WITH " + _TOLD + ", c AS (SELECT call, count(*) AS n FROM flag WHERE NOT open GROUP BY 1) SELECT (SELECT count(DISTINCT user_id) FROM events) AS samples, CAST((SELECT sum(n) FROM c) AS BIGINT) AS assigned, (SELECT count(*) FROM flag WHERE open) AS unresolved, call AS top_call, n * 100.0::DOUBLE / (SELECT sum(n) FROM c) AS top_share FROM c ORDER BY n DESC, call LIMIT 1")
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = X.table(spark, sf_dir, "events")
-    per = events.groupBy("event_type").agg(F.count("*").alias("n"))
-    known = ~I.unknown(F.col("event_type"))
-    whole = per.agg(F.sum(F.when(known, F.col("n")).otherwise(0)).alias("assigned"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("unresolved"), F.min(F.when(known, F.struct((-F.col("n")).alias("less"), "event_type"))).alias("top"))
-    samples = events.agg(F.countDistinct("user_id")).scalar()
-    return whole.select(samples.alias("samples"), "assigned", "unresolved", F.col("top.event_type").alias("top_call"), (-F.col("top.less") * 100.0 / F.col("assigned")).alias("top_share"))
+    return V.overview(_told(spark, sf_dir), "user_id", "call")
 
 
 @query("SELECT p_brand AS gene, CAST(min(p_size) AS INT) AS low, CAST(max(p_size) AS INT) AS high, count(*) AS n, CASE WHEN 2 * count(*) FILTER (WHERE p_partkey % 3 > 0) >= count(*) THEN '+' ELSE '-' END AS strand FROM part GROUP BY 1")
 def gene_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strand = F.when(2 * F.count_if(F.col("p_partkey") % 3 > 0) >= F.count("*"), "+").otherwise("-")
-    return X.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("gene")).agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"), F.count("*").alias("n"), strand.alias("strand"))
+    strand = F.when(F.col("p_partkey") % 3 > 0, "+").otherwise("-")
+    return V.gene_segments(X.table(spark, sf_dir, "part").withColumn("strand", strand), "p_brand", "p_size", "strand")
 
 
 _MODE = "SELECT gene, {c} AS v FROM (SELECT gene, {c}, count(*) AS n FROM r GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY gene ORDER BY n DESC, {c}) = 1"
@@ -145,12 +166,7 @@ _MODE = "SELECT gene, {c} AS v FROM (SELECT gene, {c}, count(*) AS n FROM r GROU
 @query("WITH r AS (SELECT l_suppkey AS gene, l_partkey AS pos, l_linestatus AS strand, CAST(l_linenumber % 3 AS INT) AS phase FROM lineitem), a AS (" + _MODE.format(c="strand") + "), b AS (" + _MODE.format(c="phase") + ") SELECT gene, min(pos) AS low, max(pos) AS high, any_value(a.v) AS strand, any_value(b.v) AS phase FROM r JOIN a USING (gene) JOIN b USING (gene) GROUP BY gene")
 def gene_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("gene"), F.col("l_partkey").alias("pos"), F.col("l_linestatus").alias("strand"), (F.col("l_linenumber") % 3).cast("int").alias("phase"))
-
-    def modal(column: str) -> DataFrame:
-        counted = rows.groupBy("gene", column).agg(F.count("*").alias("n"))
-        return counted.groupBy("gene").agg(F.min(F.struct((-F.col("n")).alias("less"), column)).alias("m")).select("gene", F.col(f"m.{column}").alias(column))
-
-    return rows.groupBy("gene").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).join(modal("strand"), "gene").join(modal("phase"), "gene")
+    return V.gene_context(rows, "gene", "pos")
 
 
 @query("SELECT page_id, url FROM pages WHERE contains(lower(concat_ws(chr(1), CAST(page_id AS VARCHAR), url)), 'a') AND page_id >= 20 AND contains(lower(url), 'http')")

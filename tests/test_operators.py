@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerlake.functions import names, seq as S
-from kmerlake.operators import annotate as A, catalogue as C, contain, features, forest as M, insights as I, lineage as L, scan
+from kmerlake.operators import annotate as A, catalogue as C, contain, features, forest as M, insights as I, lineage as L, reports, scan
 from kmerlake.sources import files, sinks
 from kmerlake.streaming import totals
 
@@ -499,3 +499,35 @@ def test_columns_by_token_and_search_by_position(spark):
     frame = spark.createDataFrame([(7, 70, "g7"), (17, 7, "x"), (77, 71, "7")], "g int, r int, gene string")
     assert [r.g for r in I.scored_search(frame, ["g", "r", "gene"], " 7 ", ["g", "r"], positions=("g", "r")).collect()] == [7, 17]
     assert [r.g for r in I.scored_search(frame, ["g", "gene"], "g7", ["g"], positions=("g", "r")).collect()] == [7]
+
+
+def test_literature_grades(spark):
+    said = {"Assoc w R": "1) Assoc w R", "Assoc w R - Interim": "2) Assoc w R - Interim", "Uncertain significance": "3) Uncertain significance", "Not assoc w R - Interim": "4) Not assoc w R - Interim", "Not assoc w R": "5) Not assoc w R", "assoc w r": "TBProfiler_literature", None: "TBProfiler_literature"}
+    frame = spark.createDataFrame([(k, v) for k, v in said.items()], "said string, want string")
+    assert all(r.want == r.got for r in frame.select("want", C.literature_grade(F.col("said")).alias("got")).collect())
+    graded = spark.createDataFrame([("v", "RIF", "1) x"), ("v", "XYZ", "1) x"), ("w", "XYZ", "1) x")], "variant string, drug string, grade string")
+    assert rows(C.collapse(graded).select("variant", "label")) == [("v", "RIF")]
+
+
+def test_reports(spark):
+    records = spark.createDataFrame([("/d/a.fa", 0, "c1", "ACGT", "s1"), ("/d/a.fa", 1, "c2", "ACGT", "s1")], "file string, ordinal int, id string, seq string, sample string")
+    names_of = {m: sorted({r.genome for r in reports.named_contigs(records, m).collect()}) for m in ("listed", "records", "files")}
+    assert names_of == {"listed": ["s1"], "records": ["c1", "c2"], "files": ["[a.fa] c1", "[a.fa] c2"]}
+    with pytest.raises(ValueError):
+        reports.named_contigs(records, "odd")
+    made = scan.diagnostic_kmers(panel(spark, [(150, 1, ALT)]), F.lit(REF), 11)
+    contigs = spark.createDataFrame([("g", 0, REF[:149] + ALT + REF[150:]), ("none", 0, "ACGT" * 10)], "genome string, contig int, seq string")
+    got = {r.genome: r for r in reports.hit_detail(contigs, made, None, REF, 11).collect()}
+    assert list(got["g"].asDict()) == list(reports.DETAIL) and got["g"]["SNPgenome"] == 150 and got["g"]["AA_Pos"] is None
+    assert [v for k, v in got["none"].asDict().items() if k != "genome"] == [None] * 12
+    summary = spark.createDataFrame([("b", "L1", 0.5, 0.25, "L2:1"), ("a", "L2", 1.0, 1.0, "")], "seq string, winner string, confidence double, margin double, others string")
+    assert [tuple(r) for r in reports.prediction_table(summary).collect()] == [("a", "L2", "1.0000", "1.0000", ""), ("b", "L1", "0.5000", "0.2500", "L2:1")]
+    assert tuple(reports.match_table(spark.createDataFrame([(3, 0.25)], "ref_id int, score double"), ["x.fq", "y.fq"]).first()) == ("x.fq,y.fq", "3", "0.2500")
+    calls = spark.createDataFrame([("s", 5, "A", "G", 1, 9, 90.0, ["L1", "L1.1"], ["n1", "n2"]), ("s", 7, "C", "T", 0, 20, 100.0, ["L2"], [])], "sample string, pos int, ref string, alt string, ref_count long, alt_count long, alt_percent double, levels array<string>, notes array<string>")
+    lines = [r.value for r in reports.mutation_lines(reports.mutation_table(calls)).orderBy("value").collect()]
+    assert lines == ["5\tA\tG\t1\t9\t90.00\tL1;L1.1\tn1\tn2", "7\tC\tT\t0\t20\t100.00\tL2"]
+    ranked = spark.createDataFrame([(1, 7, 3, 75.0), (2, 9, 1, 25.0)], "rank int, bucket int, split_count long, importance_pct double")
+    kmers_ = spark.createDataFrame([(7, "ACG,CGT")], "bucket int, kmers string")
+    assert [tuple(r) for r in reports.importance_table(ranked, kmers_).collect()] == [(1, 7, 3, "75.0000", "ACG,CGT"), (2, 9, 1, "25.0000", "")]
+    places = spark.createDataFrame([("b", 4, "ACG", 7), ("a", 9, "CGT", 7), ("a", 2, "CGT", 9)], "seq string, position int, kmer string, bucket int")
+    assert [(r["rank"], r.seq, r.position) for r in reports.coordinate_table(places, ranked, "seq").collect()] == [(1, "a", 9), (1, "b", 4), (2, "a", 2)]
