@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kmerlake.llm.bytewords import SPACE, U64, Words, fingerprint, mix, pieces
-from kmerlake.llm.tables import bounded, cut, per_piece, runs, small
+from kmerlake.llm.tables import bounded, cut, near, per_piece, runs, small
 
 _EMPTY = U64(0xA0761D6478BD642F)
 
@@ -260,10 +260,10 @@ def needed_blocks(met: DataFrame) -> DataFrame:
     every pair, however long the chain.
     """
     over = met.groupBy(F.col("node").alias("pivot")).agg(F.min("pivot").alias("upper"))
-    asked = met.join(over, "pivot").select("node", "pivot", "upper")
+    asked = met.join(near(over), "pivot").select("node", "pivot", "upper")
     there = met.select("node", F.col("pivot").alias("upper"), F.lit(True).alias("there"))
     missing = asked.join(there, ["node", "upper"], "left").groupBy("pivot").agg(F.count_if(F.col("there").isNull()).alias("missing"))
-    return met.join(missing.where("missing = 0"), "pivot", "left_anti").select("node", "pivot")
+    return met.join(near(missing.where("missing = 0").select("pivot")), "pivot", "left_anti").select("node", "pivot")
 
 
 def _node_texts(docs: DataFrame, width: int) -> DataFrame:
@@ -307,8 +307,8 @@ def block_edges(members: DataFrame, docs: DataFrame, width: int, percent: int) -
 
     members = members.select(*keys, "node", "rep")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    near = F.broadcast(members) if small(members) else members
-    known = texts.join(near, F.col("doc_id") == F.col("rep")).select(*keys, "node", "text")
+    dealt = F.broadcast(members) if small(members) else members
+    known = texts.join(dealt, F.col("doc_id") == F.col("rep")).select(*keys, "node", "text")
     lost = members.where("rep is null")
     if not lost.isEmpty():
         unnamed = _node_texts(texts.where("doc_id is null"), width).groupBy("node").agg(F.min("text").alias("text"))
@@ -351,7 +351,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block
     met = cut(needed_blocks(cut(candidate_blocks(docs, width, percent))))
     members = met.union(met.select("pivot", "pivot").distinct()).join(nodes, "node")
     load = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_members)).cast("int").alias("chunks"))
-    members = cut(members.join(load, "pivot"))
+    members = cut(members.join(near(load), "pivot"))
     spread = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "chunks").cast("int")))
     tasks = members.select("pivot", F.explode(spread).alias("chunk"), F.lit(0).alias("part"), "node", "rep")
     found = cut(block_edges(tasks, docs, width, percent))

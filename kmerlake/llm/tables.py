@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,3 +105,9 @@ def per_piece(function: Callable[[pa.RecordBatch], dict], schema: pa.Schema, tex
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if not isinstance(got[f.name], pa.Array) else got[f.name].cast(f.type) for f in schema], schema=schema)
 
     return run
+
+
+def near(df: DataFrame, rows: int = 400_000) -> DataFrame:
+    """``df`` of few narrow rows, written and marked for broadcasting if it is small, so that the other side's hot keys stay where they are."""
+    df = cut(df)
+    return broadcast(df) if small(df, rows) else df
