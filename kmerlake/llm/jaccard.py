@@ -359,7 +359,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block
 
     apart = found.where("not to_pivot").join(members.where("chunks > 1"), ["pivot", "node"]).select("pivot", "node", "rep", "n", "chunks")
     if not apart.isEmpty():
-        parts = apart.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_members)).cast("int").alias("parts"))
+        parts = near(apart.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_members)).cast("int").alias("parts")))
         across = members.join(parts, "pivot")
         own = across.select("pivot", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "rep")
         other = apart.join(parts, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int").alias("part"), "node", "rep")
