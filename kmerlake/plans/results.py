@@ -110,9 +110,9 @@ def frequent_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.frequent_paths(_tally(spark, sf_dir))
 
 
-@query("WITH v AS (SELECT l_tax * 12 AS c FROM lineitem) SELECT CASE WHEN c < 0.5 THEN '<0.5' WHEN c < 0.7 THEN '0.5-0.7' WHEN c < 0.9 THEN '0.7-0.9' ELSE '>=0.9' END AS bin, count(*) AS n, CAST(avg(c) AS DOUBLE) AS mean FROM v GROUP BY 1")
+@query("WITH v AS (SELECT l_tax * 12 AS c FROM lineitem) SELECT CASE WHEN c < 0.5 THEN '<0.5' WHEN c < 0.7 THEN '0.5-0.7' WHEN c < 0.9 THEN '0.7-0.9' ELSE '>=0.9' END AS bin, count(*) AS n, round(CAST(avg(c) AS DOUBLE), 9) AS mean FROM v GROUP BY 1")
 def confidence_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.confidence_bins(X.table(spark, sf_dir, "lineitem"), F.col("l_tax") * 12)
+    return V.confidence_bins(X.table(spark, sf_dir, "lineitem"), F.col("l_tax") * 12).withColumn("mean", F.round(F.col("mean").cast("double"), 9))
 
 
 @query("WITH v AS (SELECT user_id, CASE WHEN value > 1.2 AND value <= 100 THEN value / 100 ELSE value END AS s FROM events), c AS (SELECT user_id, coalesce(least(1, greatest(0, s)), 0) AS s FROM v) SELECT count(*) AS n, round(avg(s), 9) AS mean_score, max(s) AS best_score, count(DISTINCT user_id) AS refs FROM c")
