@@ -18,7 +18,9 @@ How the work is spread
   3. In a block the ordered sets go into a prefix tree.  Each set walks the tree
      and shares the overlap counted on a common path; a subtree is left when the
      members still to come cannot reach the needed overlap, when its sizes are
-     out of range, or when all of it already is in the set's component.
+     out of range, or when all of it already is in the set's component.  Sets that
+     can have no partner in the block stay out of the tree: of the members ordered
+     rarest first, linked sets share one of the first few (the prefix filter).
   4. A block over the bounds is cut into chunks that each hold the pivot.  Only
      the sets which did not get connected to the pivot then meet the other
      chunks, so a large group of near copies costs one pass and no pair is lost.
@@ -28,6 +30,9 @@ How the work is spread
   5. Tree edges of the components (never all pairs) go into a distributed
      min-label contraction of alternating stars, checkpointed each round.
 
+``jaccard_links`` gives every link between different sets, and ``link_counts`` the
+number of each document's; there the tree leaves no subtree for being connected.
+
 Only texts that have a candidate are shuffled, and once, when these are few enough
 to be broadcast by id (checked); else texts and candidates are dealt by id first.  Each phase is written
 to the checkpoint folder, and its shuffle files go then.
@@ -108,16 +113,18 @@ class PrefixTree:
     """A path-compressed prefix tree over sorted integer sets that joins while it grows.
 
     ``add(members)`` walks the tree for the sets linked with the new one, unites
-    their components and then stores the set.
+    their components and then stores the set.  With ``every`` it also notes each
+    link in ``links``, so that no subtree is left for being connected already.
     """
 
     # A node: label (the members on the edge to it), children by first member,
     # smallest and largest set size below, and one set below when all are in one
     # component (else -1).
-    __slots__ = ("percent", "root", "parent")
+    __slots__ = ("percent", "root", "parent", "links")
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, every: bool = False):
         self.percent, self.parent = percent, []
+        self.links: list[tuple[int, int]] | None = [] if every else None
         self.root = [np.zeros(0, np.uint64), {}, 1 << 60, 0, -1, -1]
 
     def find(self, i: int) -> int:
@@ -143,7 +150,7 @@ class PrefixTree:
                 continue
             if node[3] < smallest or node[2] > largest:
                 continue
-            if node[4] >= 0 and self.find(node[4]) == self.find(new):
+            if self.links is None and node[4] >= 0 and self.find(node[4]) == self.find(new):
                 continue
             need = -(-p * (n + max(node[2], smallest)) // (100 + p))
             if overlap + min(n - seen, node[3] - depth) < need:
@@ -159,6 +166,8 @@ class PrefixTree:
             if node[5] >= 0 and 100 * overlap >= p * (n + end - overlap):
                 a, b = self.find(new), self.find(node[5])
                 self.parent[max(a, b)] = min(a, b)
+                if self.links is not None:
+                    self.links.append((new, node[5]))
             if overlap + min(n - to, node[3] - end) < need:
                 continue
             if node[1]:
@@ -195,6 +204,29 @@ class PrefixTree:
             node, depth = child, depth + same
 
 
+def partnerless(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether none of the other (non-empty, different) sets can be linked with each set.
+
+    Members are ordered rarest first among these sets.  Linked sets of sizes n
+    share ``percent * n / 100`` members or more, so one of the first
+    ``n - ceil(percent * n / 100) + 1`` of either stands among the other's first.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, number, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(n), np.int64)
+    rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+    ordered = owner << 32 | rank[number]
+    ordered.sort()
+    place = np.arange(len(ordered)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    head = place < np.repeat(sizes - (sizes * percent + 99) // 100 + 1, sizes)
+    first = ordered[head] & 0xFFFFFFFF
+    shared = np.bincount(first, minlength=len(n))[first] > 1
+    out = np.ones(len(sets), dtype=bool)
+    out[owner[head][shared]] = False
+    return out
+
+
 def _sets(width: int, lower: bool = True):
     def of(batch: pa.RecordBatch) -> list[np.ndarray]:
         return Words(batch.column("text"), SPACE, lower).shingle_sets(width)
@@ -277,13 +309,14 @@ def _node_texts(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(per_piece(rows, schema), "node long, text string").where("node is not null")
 
 
-def block_edges(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def block_edges(members: DataFrame, docs: DataFrame, width: int, percent: int, every: bool = False) -> DataFrame:
     """Join the sets of each block.
 
     ``members`` has pivot, chunk, part, node, and rep: the id of a document with
     that set, null if it occurs only without an id.  Gives pivot, node, head (a
     set of its component in the block, the same for all of it) and whether the
-    pivot is in that component.
+    pivot is in that component.  With ``every`` a row for each link instead: head
+    is the linked set, and the last column null.
     """
     of = _sets(width)
     keys = ["pivot", "chunk", "part"]
@@ -296,13 +329,19 @@ def block_edges(members: DataFrame, docs: DataFrame, width: int, percent: int) -
                     if node not in held and len(s) and fingerprint(s) == node:
                         held[node] = s
             if last:
-                tree = PrefixTree(percent)
+                tree = PrefixTree(percent, every)
                 nodes = sorted(held, key=lambda x: (len(held[x]), x))
+                alone = partnerless([held[x] for x in nodes], percent) if nodes else []
+                apart = [x for x, single in zip(nodes, alone) if single]
+                nodes = [x for x, single in zip(nodes, alone) if not single]
                 for node in nodes:
                     tree.add(held[node])
-                heads = [nodes[tree.find(i)] for i in range(len(nodes))]
-                own = heads[nodes.index(key[0])] if key[0] in held else None
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array(heads, pa.int64()), pa.array([h == own for h in heads], pa.bool_())], ["pivot", "node", "head", "to_pivot"])
+                if every:
+                    rows_ = [(nodes[i], nodes[j], None) for i, j in tree.links]
+                else:
+                    heads = {x: nodes[tree.find(i)] for i, x in enumerate(nodes)} | {x: x for x in apart}
+                    rows_ = [(x, h, h == heads.get(key[0])) for x, h in heads.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows_), pa.int64()), *(pa.array([r[i] for r in rows_], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_())))], ["pivot", "node", "head", "to_pivot"])
                 held = {}
 
     members = members.select(*keys, "node", "rep")
@@ -339,19 +378,24 @@ def star_components(edges: DataFrame, near_rows: int = 1_000_000) -> DataFrame:
         e = cut(large.join(dealt(low), "a").select(F.explode(small_star).alias("e")).select("e.*").where("a <> b").distinct())
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block_sets: int = 1500, block_members: int = 1_500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id and component_sets (distinct sets in the component) of each row.
-
-    ``block_sets`` and ``block_members`` bound what one task holds of a block;
-    larger blocks are cut, none is dropped.
-    """
+def _blocks(docs: DataFrame, width: int, percent: int, block_sets: int, block_members: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sets, the distinct sets, and the members of each block with the number of chunks it is cut into."""
     bounded(docs)
     sized = cut(document_sets(docs, width))
     nodes = cut(sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
     met = cut(needed_blocks(cut(candidate_blocks(docs, width, percent))))
     members = met.union(met.select("pivot", "pivot").distinct()).join(nodes, "node")
     load = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_members)).cast("int").alias("chunks"))
-    members = cut(members.join(near(load), "pivot"))
+    return sized, nodes, cut(members.join(near(load), "pivot"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block_sets: int = 1500, block_members: int = 1_500_000) -> DataFrame:
+    """doc_id, n_shingles, component_id and component_sets (distinct sets in the component) of each row.
+
+    ``block_sets`` and ``block_members`` bound what one task holds of a block;
+    larger blocks are cut, none is dropped.
+    """
+    sized, nodes, members = _blocks(docs, width, percent, block_sets, block_members)
     spread = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "chunks").cast("int")))
     tasks = members.select("pivot", F.explode(spread).alias("chunk"), F.lit(0).alias("part"), "node", "rep")
     found = cut(block_edges(tasks, docs, width, percent))
@@ -373,6 +417,43 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, block
     return sized.join(told, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component_sets", F.lit(0)).alias("component_sets"))
 
 
+def _linked_sets(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b), a < b: every link between different sets.
+
+    Of a block every two chunks meet in a task of their own.
+    """
+    own = F.pmod(F.xxhash64("node"), "chunks").cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(own, x).alias("chunk"), F.greatest(own, x).alias("part")))
+    tasks = members.select("pivot", F.explode(others).alias("t"), "node", "rep").select("pivot", "t.chunk", "t.part", "node", "rep")
+    found = block_edges(tasks, docs, width, percent, every=True)
+    return cut(found.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
+
+
+def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, block_sets: int = 1500, block_members: int = 1_500_000) -> DataFrame:
+    """(a, b, doc_a, doc_b): every link between different sets, once, a < b.
+
+    ``doc_a`` and ``doc_b`` are the smallest ids with these sets, null if there is
+    none.  Equal texts are one set, so copies are not expanded.  The rows are as
+    many as there are links, which in a group of near copies that all differ are
+    its pairs; ``jaccard_components`` needs far fewer comparisons.
+    """
+    _, nodes, members = _blocks(docs, width, percent, block_sets, block_members)
+    links = _linked_sets(docs, members, width, percent)
+    name = lambda x: nodes.select(F.col("node").alias(x), F.col("rep").alias(f"doc_{x}"))
+    return links.join(name("a"), "a").join(name("b"), "b").select("a", "b", "doc_a", "doc_b")
+
+
+def link_counts(docs: DataFrame, width: int = 3, percent: int = 90, block_sets: int = 1500, block_members: int = 1_500_000) -> DataFrame:
+    """doc_id, n_shingles and n_links (other rows linked with it, copies among them) of each row; 0 for an empty set."""
+    sized, _, members = _blocks(docs, width, percent, block_sets, block_members)
+    links = _linked_sets(docs, members, width, percent)
+    copies = cut(sized.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")))
+    both = links.union(links.select("b", "a")).toDF("node", "other")
+    linked = both.join(copies.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
+    told = copies.join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return sized.join(told, "node", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without the near copies: of each component the smallest doc_id stays.
 

@@ -124,6 +124,61 @@ def test_prefix_tree_equals_pairs():
         assert [tree.find(i) for i in range(len(sets))] == [find(i) for i in range(len(sets))]
 
 
+def plain_links(data, width, percent):
+    """{(smaller doc, larger doc)} of rows with ids, compared pair by pair."""
+    sets = []
+    for d, t in data:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append((d, {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())))
+    return [(d, e) for i, (d, a) in enumerate(sets) for e, b in sets[:i] if a and b and 100 * len(a & b) >= percent * len(a | b)]
+
+
+@pytest.mark.parametrize("edits,block_sets", [(1, 7), (2, 7), (4, 20), (3, 1500)])
+def test_links_equal_pairs(spark, edits, block_sets):
+    data = near_copies(60, edits) + [(100, near_copies(1, 0)[0][1]), (101, near_copies(1, 0)[0][1]), (102, "alone here"), (103, ""), (104, None)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    pairs = plain_links(data, 3, 90)
+    counts = Counter(d for pair in pairs for d in pair)
+    got = jaccard.link_counts(frame, 3, 90, block_sets=block_sets).collect()
+    assert {r.doc_id: r.n_links for r in got} == {d: counts[d] for d, _ in data} and len(got) == len(data)
+    text = dict(data)
+    first = {t: min(d for d, u in data if u == t) for t in text.values()}
+    links = jaccard.jaccard_links(frame, 3, 90, block_sets=block_sets).collect()
+    assert sorted(tuple(sorted((r.doc_a, r.doc_b))) for r in links) == sorted({tuple(sorted((first[text[d]], first[text[e]]))) for d, e in pairs if text[d] != text[e]})
+
+
+def test_links_of_odd_rows(odd, empty):
+    found = jaccard.link_counts(odd)
+    assert same_ids(found, odd)
+    assert {r.doc_id: r.n_links for r in found.where("doc_id in (0, 1, 6)").collect()} == {0: 0, 1: 0, 6: 3}
+    assert jaccard.link_counts(empty).count() == jaccard.jaccard_links(empty).count() == 0
+
+
+def test_sets_left_out_of_the_tree_have_no_partner():
+    rng = np.random.default_rng(8)
+    for percent in (60, 80, 90):
+        left_out = 0
+        for _ in range(60):
+            base = np.unique(rng.integers(0, 2**63, 30, dtype=np.uint64))
+            sets = [np.unique(np.concatenate([base[rng.random(len(base)) < rng.choice([0.5, 0.9, 0.97])], rng.integers(0, 2**63, rng.integers(1, 6), dtype=np.uint64)])) for _ in range(12)]
+            alone = jaccard.partnerless(sets, percent)
+            left_out += alone.sum()
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    inter = len(np.intersect1d(a, b))
+                    if i != j and 100 * inter >= percent * (len(a) + len(b) - inter):
+                        assert not alone[i]
+        assert left_out > 0
+
+
+def test_short_texts_that_share_a_passage_are_not_compared_all_with_all(spark):
+    """They meet in one block without being linked; each has words of its own, so none goes into a tree."""
+    words = [f"w{i}" for i in range(12)]
+    data = [(i, " ".join([*words[:6], f"own{i}", *words[7:]])) for i in range(6000)]
+    got = jaccard.jaccard_components(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == 6000 and all(r.component_id == r.doc_id and r.component_sets == 1 for r in got)
+
+
 def test_linked_sets_share_a_segment():
     rng = np.random.default_rng(11)
     for percent in (60, 80, 90, 95):
