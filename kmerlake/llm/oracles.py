@@ -50,3 +50,30 @@ both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach(x, y) AS (SELECT DISTINCT rep, rep FROM sig UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x),
 comp AS (SELECT x, min(y) AS component_id, count(*) AS component_sets FROM reach GROUP BY x)
 SELECT d.doc_id, coalesce(sig.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_sets, 0) AS component_sets FROM d LEFT JOIN sig USING (doc_id) LEFT JOIN comp ON comp.x = rep"""
+
+
+#: The table of the reflected CRC-32, built by its rule; ``crc32`` is 4294967295 exclusive-or the fold over the bytes.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], list_transform(range(8), lambda z: 0)), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) AS tab)"
+_HEX = "list_transform(range(CAST(length({0}) / 2 AS BIGINT)), lambda i: CAST('0x' || {0}[CAST(2 * i + 1 AS INT):CAST(2 * i + 2 AS INT)] AS BIGINT))"
+
+
+def _crc(bytes_as_hex: str) -> str:
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {_HEX.format(bytes_as_hex)}), lambda c, b: xor(c >> 8, tab[CAST((xor(c, b) & 255) + 1 AS INT)])))"
+
+
+TRIE = f"""
+WITH RECURSIVE t AS (SELECT conv_id AS c, turn, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, CAST(strlen(coalesce(text, '')) AS BIGINT) AS b FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, k, b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) - 1 AS i FROM t),
+hx AS (SELECT c, count(*) AS n, hex(encode(CAST(c AS VARCHAR))) AS x FROM o GROUP BY c),
+v0 AS (SELECT c, n, {_crc('x')} % 9 AS h, c - c % 5 AS base FROM hx, {_CRC_TABLE}),
+v AS (SELECT v0.c, v0.h, v0.base, least(v0.h, coalesce(w.n, 0)) AS p, least(v0.h, coalesce(w.n, 0)) + greatest(v0.n - v0.h, 0) AS total FROM v0 LEFT JOIN v0 w ON w.c = v0.base),
+r AS (SELECT v.c, p + i - h + 1 AS d, k, b FROM o JOIN v ON o.c = v.c WHERE i >= h UNION ALL SELECT v.c, i + 1, k, b FROM o JOIN v ON o.c = v.base WHERE i < h),
+pre AS (SELECT c, d, b, string_agg(k, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS s FROM r UNION ALL SELECT c, 0, 0, '' FROM v),
+nodes AS (SELECT s, d, min(c) AS c, count(*) AS n, min(b) AS b FROM pre GROUP BY s, d),
+up AS (SELECT n.s, n.d, n.c, n.n, n.b, q.c AS parent, q.s AS ps FROM nodes n LEFT JOIN nodes q ON q.d = n.d - 1 AND q.s = n.s[:CAST(64 * (n.d - 1) AS INT)]),
+kids AS (SELECT ps, count(*) AS k FROM up WHERE d > 0 GROUP BY ps),
+below(a, s) AS (SELECT s, s FROM up UNION ALL SELECT up.ps, below.s FROM below JOIN up ON up.s = below.a WHERE up.d > 0),
+tot AS (SELECT a, count(*) FILTER (WHERE kids.k IS NULL) AS leaves, sum((up.n - 1) * up.b) AS saved FROM below JOIN up ON up.s = below.s LEFT JOIN kids ON kids.ps = below.s GROUP BY a),
+ends AS (SELECT s, string_agg(CAST(pre.c AS VARCHAR), ',' ORDER BY pre.c) AS m FROM pre JOIN v ON v.c = pre.c AND v.total = pre.d GROUP BY s)
+SELECT up.c AS conv_id, CAST(up.d AS BIGINT) AS depth, up.parent AS parent_conv_id, up.n AS n_convs, coalesce(kids.k, 0) AS n_children, tot.leaves AS n_leaves, CAST(tot.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.m, '')) AS ends_sha256
+FROM up LEFT JOIN kids ON kids.ps = up.s JOIN tot ON tot.a = up.s LEFT JOIN ends ON ends.s = up.s"""

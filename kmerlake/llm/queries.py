@@ -82,6 +82,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kmerlake.llm.prefixtrie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
@@ -93,10 +99,12 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_license_scan": op10_license_scan,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": oracles.JACCARD,
     "op3_secret_scan": oracles.SECRETS,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op11_conversation_trie": oracles.TRIE,
 }
