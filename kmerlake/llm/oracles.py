@@ -77,3 +77,16 @@ tot AS (SELECT a, count(*) FILTER (WHERE kids.k IS NULL) AS leaves, sum((up.n -
 ends AS (SELECT s, string_agg(CAST(pre.c AS VARCHAR), ',' ORDER BY pre.c) AS m FROM pre JOIN v ON v.c = pre.c AND v.total = pre.d GROUP BY s)
 SELECT up.c AS conv_id, CAST(up.d AS BIGINT) AS depth, up.parent AS parent_conv_id, up.n AS n_convs, coalesce(kids.k, 0) AS n_children, tot.leaves AS n_leaves, CAST(tot.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.m, '')) AS ends_sha256
 FROM up LEFT JOIN kids ON kids.ps = up.s JOIN tot ON tot.a = up.s LEFT JOIN ends ON ends.s = up.s"""
+
+SPELLING = f"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all({_LOW.format('text')}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+o AS (SELECT w, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x, count(*) AS k FROM r WHERE length(w) >= 7 GROUP BY ALL),
+hs AS (SELECT w, k, {_crc('x')} AS h, length(w) AS l FROM o, {_CRC_TABLE}),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substring(w, 1, CAST(h % l AS INT)) || substring(w, CAST(h % l AS INT) + 2) ELSE w END AS word, k FROM hs) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+del AS (SELECT word, n, i, substring(word, 1, CAST(i AS INT)) || substring(word, CAST(i AS INT) + 2) AS rest FROM words, range(length(word)) t(i)),
+near AS (SELECT a.word AS x, b.word AS y, b.n AS m FROM del a JOIN del b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM del a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM del a JOIN words b ON a.rest = b.word),
+best AS (SELECT x, y, m, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY m DESC, y) AS place FROM near),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN y END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best ON x = word AND place = 1),
+walk(word, root, d) AS (SELECT word, word, 0 FROM f UNION ALL SELECT walk.word, f.form, d + 1 FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, d) AS root FROM walk GROUP BY word)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN roots ON roots.word = f.word"""

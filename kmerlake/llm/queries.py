@@ -88,6 +88,12 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kmerlake.llm.spelling import spelling_forms
+
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
@@ -100,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_license_scan": op10_license_scan,
     "op11_conversation_trie": op11_conversation_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -107,4 +114,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": oracles.SECRETS,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
     "op11_conversation_trie": oracles.TRIE,
+    "op13_spelling_variants": oracles.SPELLING,
 }
