@@ -90,3 +90,10 @@ f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN
 walk(word, root, d) AS (SELECT word, word, 0 FROM f UNION ALL SELECT walk.word, f.form, d + 1 FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
 roots AS (SELECT word, arg_max(root, d) AS root FROM walk GROUP BY word)
 SELECT f.word, n, n_near, form, form_n, root FROM f JOIN roots ON roots.word = f.word"""
+
+NEAREST = """
+WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+v AS (SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS v FROM d WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5"""

@@ -88,6 +88,12 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kmerlake.llm.topk import nearest_vectors
+
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kmerlake.llm.spelling import spelling_forms
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_license_scan": op10_license_scan,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_exact_top_k": op12_exact_top_k,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -114,5 +121,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": oracles.SECRETS,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
     "op11_conversation_trie": oracles.TRIE,
+    "op12_exact_top_k": oracles.NEAREST,
     "op13_spelling_variants": oracles.SPELLING,
 }
