@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kmerlake.functions.seq import clean_revcomp, complement
 from kmerlake.operators.annotate import _THREE, CODONS, amino1
+from kmerlake.operators.refstore import ReferenceStore, with_bases
 
 #: Order of drugs in a composite label, fixed values.
 LABEL_ORDER = ("RIF", "INH", "EMB", "PZA", "STR", "FQ", "ETH", "AMI", "KAN", "CAP", "LZD", "BDQ", "CFZ", "DLM")
@@ -70,7 +71,7 @@ def variant_parts(name: Column) -> Column:
     return F.struct(F.when(whole, name).otherwise(gene).alias("gene"), F.when(whole, name).when(F.startswith(bare, F.lit("p.")), protein).otherwise(bare).alias("mutation"))
 
 
-def protein_snps(variants: DataFrame, reference: str) -> DataFrame:
+def protein_snps(variants: DataFrame, reference: ReferenceStore | str) -> DataFrame:
     """Protein changes (``mutation`` like ``p.Ser450Leu``, with gene ``start``, ``end``, ``strand``) as single bases.
 
     Adds pos, ref and alt, one row a changed base.  The codon with the fewest
@@ -81,8 +82,8 @@ def protein_snps(variants: DataFrame, reference: str) -> DataFrame:
     told = variants.where((part(1) != "") & ~part(3).rlike("^(del|ins)")).withColumns({"_from": _one_letter(part(1)), "_to": _one_letter(part(3)), "_cds": (part(2).cast("int") - 1) * 3})
     plus = F.col("strand") == "+"
     told = told.withColumn("_first", F.when(plus, F.col("start") + F.col("_cds")).otherwise(F.col("end") - F.col("_cds") - 2))
-    cut = F.substring(F.lit(reference), F.col("_first").cast("int"), F.lit(3))
-    told = told.withColumn("_codon", F.when(plus, cut).otherwise(clean_revcomp(cut))).where(amino1(F.col("_codon")) == F.col("_from"))
+    told = with_bases(told, reference, F.col("_first") - 1, F.lit(3), "_cut")
+    told = told.withColumn("_codon", F.when(plus, F.col("_cut")).otherwise(clean_revcomp(F.col("_cut")))).drop("_cut").where(amino1(F.col("_codon")) == F.col("_from"))
     ordered = sorted(CODONS, key=lambda c: ["TCAG".index(c[i]) for i in (1, 0, 2)])
     table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.lit(CODONS[c]).alias("a")) for i, c in enumerate(ordered)])
     at = lambda c, j: F.substring(c, F.lit(j), F.lit(1))
@@ -95,7 +96,7 @@ def protein_snps(variants: DataFrame, reference: str) -> DataFrame:
     return rows.withColumns({"pos": F.when(plus, F.col("_first") + F.col("_j")).otherwise(F.col("_first") + 2 - F.col("_j")), "ref": strand("_codon"), "alt": strand("_new")}).drop("_from", "_to", "_cds", "_first", "_codon", "_new", "_j")
 
 
-def base_snps(variants: DataFrame, reference: str) -> DataFrame:
+def base_snps(variants: DataFrame, reference: ReferenceStore | str) -> DataFrame:
     """Base changes (``c.1210C>T``, ``c.-15C>T``, ``n.1401A>G``) with pos, ref and alt on the genome.
 
     On the reverse strand the bases are complemented, unless only the bases as
@@ -104,10 +105,11 @@ def base_snps(variants: DataFrame, reference: str) -> DataFrame:
     form = r"^[cn]\.(-?\d+)([ACGT])>([ACGT])"
     part = lambda i: F.regexp_extract("mutation", form, i)
     told = variants.where(part(1) != "").withColumn("pos", gene_position(F.col("start"), F.col("end"), F.col("strand"), part(1).cast("int")))
-    there = F.substring(F.lit(reference), F.col("pos").cast("int"), F.lit(1))
+    told = with_bases(told, reference, F.col("pos") - 1, F.lit(1), "_there")
+    there = F.col("_there")
     turned = lambda i: F.when(F.col("strand") == "-", complement(part(i))).otherwise(part(i))
     pick = lambda i: F.when(there == turned(2), turned(i)).when(there == part(2), part(i))
-    return told.withColumns({"ref": pick(2), "alt": pick(3)}).where("ref is not null and pos > 0")
+    return told.withColumns({"ref": pick(2), "alt": pick(3)}).where("ref is not null and pos > 0").drop("_there")
 
 
 def literature_grade(confidence: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kmerlake.operators.annotate import amino_change, first_gene
+from kmerlake.operators.annotate import first_gene, with_amino_change
+from kmerlake.operators.refstore import ReferenceStore
 from kmerlake.operators.scan import assembly_hits
 from kmerlake.sources.sinks import four_places
 
@@ -29,7 +30,7 @@ def named_contigs(records: DataFrame, mode: str) -> DataFrame:
     return records.select(genome[mode]().alias("genome"), F.col("ordinal").alias("contig"), "seq")
 
 
-def hit_detail(contigs: DataFrame, markers: DataFrame, genes: DataFrame | None, reference: str, k: int) -> DataFrame:
+def hit_detail(contigs: DataFrame, markers: DataFrame, genes: DataFrame | None, reference: ReferenceStore | str, k: int) -> DataFrame:
     """``DETAIL`` of every marker found in a genome, and one row of nulls for a genome without any.
 
     ``markers`` are diagnostic k-mers that may have ``gene`` and ``mutation``,
@@ -47,7 +48,8 @@ def hit_detail(contigs: DataFrame, markers: DataFrame, genes: DataFrame | None,
         placed = hits.withColumns({"gene": F.lit(None).cast("struct<start:int,stop:int,id:string,strand:string>"), "aa": F.lit(None).cast("struct<aa_pos:int,change:string>")})
     else:
         placed = first_gene(hits, genes, "hit")
-        placed = placed.withColumn("aa", F.when(F.col("gene").isNotNull(), amino_change(F.col("h_start"), F.length("ref"), F.col("cut"), F.col("gene.start"), F.col("gene.stop"), F.col("gene.strand"), reference)))
+        gene = lambda c: F.col(f"gene.{c}")
+        placed = with_amino_change(placed, reference, F.col("h_start"), F.length("ref"), F.col("cut"), gene("start"), gene("stop"), gene("strand"))
     rows = placed.select(
         "genome", F.col("kmer").alias("k-mer"), F.col("kmer_pos").alias("k-merPOS"), F.col("genome_pos").alias("SNPgenome"), F.col("pos").alias("SNPreference"), F.col("ref").alias("REF"), F.col("alt").alias("ALT"),
         F.array_join("levels", ";").alias("lineage"), F.coalesce("gene.id", "m_gene").alias("Gene"), (F.col("gene.start") + 1).alias("Gene_Start"), F.col("gene.stop").alias("Gene_End"),

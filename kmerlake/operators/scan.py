@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kmerlake.functions.kmers import kmer_rows, panel_codes, panel_counts, panel_hits
 from kmerlake.functions.seq import check_k, clean_revcomp, decode, encode, revcomp
+from kmerlake.operators.refstore import ReferenceStore, stored, with_bases
 
 
-def diagnostic_kmers(markers: DataFrame, reference: Column, k: int, min_flank: int = 0) -> DataFrame:
+def diagnostic_kmers(markers: DataFrame, reference: ReferenceStore | str, k: int, min_flank: int = 0) -> DataFrame:
     """Markers with ``left`` flank length, ``ref_kmer`` and ``alt_kmer``.
 
     A window is centred on the longer allele; near the genome's start the left
@@ -16,18 +17,20 @@ def diagnostic_kmers(markers: DataFrame, reference: Column, k: int, min_flank: i
     leave too little flank, or whose window leaves the reference, are dropped.
     """
     check_k(k, min_flank)
+    store = stored(markers.sparkSession, reference)
     pos0 = F.col("pos") - 1
     size = F.greatest(F.length("ref"), F.length("alt"))
     left = F.least(pos0, F.floor((k - size) / 2).cast("int"))
     after = pos0 + F.length("ref")
-    need_ref = F.greatest(F.lit(0), k - F.col("left") - F.length("ref"))
-    need_alt = F.greatest(F.lit(0), k - F.col("left") - F.length("alt"))
     fits = (size < k) & ((size <= k - 2 * min_flank) if min_flank else F.lit(True))
     placed = markers.where(fits).withColumn("left", left)
-    placed = placed.where(after + F.greatest(need_ref, need_alt) <= F.length(reference))
-    head = F.substring(reference, pos0 - F.col("left") + 1, F.col("left"))
-    kmer = lambda allele, need: F.concat(head, F.col(allele), F.substring(reference, after + 1, need))
-    return placed.withColumns({"ref_kmer": kmer("ref", need_ref), "alt_kmer": kmer("alt", need_alt)})
+    need = lambda allele: F.greatest(F.lit(0), k - F.col("left") - F.length(allele))
+    most = F.greatest(need("ref"), need("alt"))
+    placed = placed.where(after + most <= store.length)
+    placed = with_bases(placed, store, pos0 - F.col("left"), F.col("left") + F.length("ref") + most, "_window")
+    head, rest = F.substring(F.col("_window"), F.lit(1), F.col("left")), F.col("left") + F.length("ref") + 1
+    kmer = lambda allele: F.concat(head, F.col(allele), F.substring(F.col("_window"), rest, need(allele)))
+    return placed.withColumns({"ref_kmer": kmer("ref"), "alt_kmer": kmer("alt")}).drop("_window")
 
 
 def read_index(markers: DataFrame, k: int) -> DataFrame:

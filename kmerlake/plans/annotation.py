@@ -67,7 +67,7 @@ def _variants(spark: SparkSession, sf_dir: str, alt_len) -> DataFrame:
     v = parts.select(F.col("p_partkey").alias("vid"), pos0.alias("h_start"), (1 + F.col("p_size") % 3).cast("int").alias("rl"), alt_len.cast("int").alias("al"))
     v = v.select("vid", "h_start", (F.col("h_start") + F.col("rl")).alias("h_end"), "rl", F.substring(F.lit("ACGTTGCA"), (1 + F.col("vid") % 5).cast("int"), F.col("al")).alias("alt"))
     met = A.overlapping(v, _genes(spark))
-    return met.withColumn("aa", A.amino_change(F.col("h_start"), F.col("rl"), F.col("alt"), F.col("start"), F.col("stop"), F.col("strand"), X.REFERENCE)).where("aa is not null")
+    return A.with_amino_change(met, X.REFERENCE, *[F.col(c) for c in ("h_start", "rl", "alt", "start", "stop", "strand")]).where("aa is not null")
 
 
 @query(_VAR.format(al="1 + p_size % 3") + ", cd AS (SELECT ok.*, i, substr(sq, CAST(b0 + 3 * i + 1 AS INT), 3) AS rc, (SELECT string_agg(CASE WHEN b0 + 3 * i + j BETWEEN f1 AND f2 THEN substr(ab, CAST(b0 + 3 * i + j - f1 + 1 AS INT), 1) ELSE substr(sq, CAST(b0 + 3 * i + j + 1 AS INT), 1) END, '' ORDER BY j) FROM range(0, 3) t(j)) AS nc FROM ok, range(0, 700) r(i) WHERE i BETWEEN c1 AND c2 AND b0 + 3 * i + 3 <= 2048) SELECT vid, id AS gene, CAST(min(i) + 1 AS INT) AS aa_pos, string_agg(coalesce(x.a3, '???') || (i + 1) || coalesce(y.a3, '???') || '(' || rc || '>' || nc || ')' || CASE WHEN coalesce(x.a3, '???') = coalesce(y.a3, '???') THEN ' syn' ELSE '' END, ';' ORDER BY i) AS change FROM cd LEFT JOIN codon x ON rc = x.c LEFT JOIN codon y ON nc = y.c GROUP BY vid, id")
@@ -124,6 +124,6 @@ _DETAIL = (
 
 @query(_DETAIL)
 def classify_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = scan.diagnostic_kmers(X.markers(spark).withColumn("mutation", F.concat(F.lit("m"), F.col("marker_id").cast("string"))), F.lit(X.REFERENCE), X.K)
+    made = scan.diagnostic_kmers(X.markers(spark).withColumn("mutation", F.concat(F.lit("m"), F.col("marker_id").cast("string"))), X.REFERENCE, X.K)
     blank = X.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("genome"), F.lit(0).alias("contig"), F.lit("ACGT").alias("seq"))
     return reports.hit_detail(X.contigs(spark, sf_dir).unionByName(blank), made, _genes(spark), X.REFERENCE, X.K)

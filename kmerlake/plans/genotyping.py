@@ -107,7 +107,7 @@ def best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _panel(spark: SparkSession) -> DataFrame:
-    return scan.diagnostic_kmers(X.markers(spark), F.lit(X.REFERENCE), X.K)
+    return scan.diagnostic_kmers(X.markers(spark), X.REFERENCE, X.K)
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,12 +135,12 @@ def _part_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PART + _GEOMETRY + ", ref2 AS (SELECT rseq FROM ref) SELECT marker_id, pos, substr(rseq, pos - lf, lf) || alt || substr(rseq, CAST(aft + 1 AS INT), CAST(na AS INT)) AS alt_kmer FROM pw, ref2 WHERE aft + greatest(na, nr) <= 2048 AND greatest(length(ref), length(alt)) <= 11")
 def marker_kmers_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.diagnostic_kmers(_part_markers(spark, sf_dir), F.lit(X.REFERENCE), 31, 10).select("marker_id", "pos", "alt_kmer")
+    return scan.diagnostic_kmers(_part_markers(spark, sf_dir), X.REFERENCE, 31, 10).select("marker_id", "pos", "alt_kmer")
 
 
 @query(_PART + _GEOMETRY + "SELECT marker_id, pos, lf AS \"left\", substr(rseq, pos - lf, lf) || pw.ref || substr(rseq, CAST(aft + 1 AS INT), CAST(nr AS INT)) AS ref_kmer, substr(rseq, pos - lf, lf) || alt || substr(rseq, CAST(aft + 1 AS INT), CAST(na AS INT)) AS alt_kmer FROM pw, ref WHERE aft + greatest(na, nr) <= 2048 AND length(pw.ref) = length(alt)")
 def marker_kmers_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = scan.diagnostic_kmers(_part_markers(spark, sf_dir), F.lit(X.REFERENCE), 31)
+    made = scan.diagnostic_kmers(_part_markers(spark, sf_dir), X.REFERENCE, 31)
     return made.where(F.length("ref") == F.length("alt")).select("marker_id", "pos", "left", "ref_kmer", "alt_kmer")
 
 

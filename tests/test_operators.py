@@ -63,7 +63,7 @@ def test_a_genome_takes_linear_time(spark):
 
 
 def test_large_panels_are_joined(spark, monkeypatch):
-    made = scan.diagnostic_kmers(panel(spark, [(150, 1, ALT), (100, 1, "T" if REF[99] != "T" else "G")]), F.lit(REF), 11)
+    made = scan.diagnostic_kmers(panel(spark, [(150, 1, ALT), (100, 1, "T" if REF[99] != "T" else "G")]), REF, 11)
     reads = spark.createDataFrame([("s", REF[100:220]), ("t", REF[140:149] + ALT + REF[150:170])], "sample string, seq string")
     contigs = spark.createDataFrame([("g", 0, REF[:149] + ALT + REF[150:]), ("h", 0, REF[:149] + ALT + REF[150:])], "genome string, contig int, seq string")
     both = lambda: (rows(scan.allele_counts(reads, scan.read_index(made, 11), 11)), rows(scan.assembly_hits(contigs, made, 11).drop("levels")))
@@ -103,7 +103,7 @@ def panel(spark, variants):
 
 
 def test_windows_at_the_ends(spark):
-    made = {r.marker_id: r for r in scan.diagnostic_kmers(panel(spark, [(3, 1, "T"), (150, 1, ALT), (299, 1, "T"), (150, 2, "TGC")]), F.lit(REF), 11).collect()}
+    made = {r.marker_id: r for r in scan.diagnostic_kmers(panel(spark, [(3, 1, "T"), (150, 1, ALT), (299, 1, "T"), (150, 2, "TGC")]), REF, 11).collect()}
     assert made[0].left == 2 and made[0].ref_kmer == REF[:11]
     assert made[1].ref_kmer == REF[144:155] and made[1].alt_kmer == REF[144:149] + ALT + REF[150:155]
     assert 2 not in made
@@ -112,7 +112,7 @@ def test_windows_at_the_ends(spark):
 
 def test_reads_credit_both_markers_of_a_kmer_and_assemblies_the_last(spark):
     twice = panel(spark, [(150, 1, ALT), (150, 1, ALT)])
-    made = scan.diagnostic_kmers(twice, F.lit(REF), 11)
+    made = scan.diagnostic_kmers(twice, REF, 11)
     alt = REF[:149] + ALT + REF[150:]
     reads = spark.createDataFrame([("s", alt[130:170])], "sample string, seq string")
     counts = rows(scan.allele_counts(reads, scan.read_index(made, 11), 11))
@@ -122,7 +122,7 @@ def test_reads_credit_both_markers_of_a_kmer_and_assemblies_the_last(spark):
 
 
 def test_reverse_contig_is_found_once(spark):
-    made = scan.diagnostic_kmers(panel(spark, [(150, 1, ALT)]), F.lit(REF), 11)
+    made = scan.diagnostic_kmers(panel(spark, [(150, 1, ALT)]), REF, 11)
     alt = REF[:149] + ALT + REF[150:]
     rc = alt[::-1].translate(str.maketrans("ACGT", "TGCA"))
     frame = spark.createDataFrame([("g", 0, rc), ("g", 1, alt), ("h", 0, REF)], "genome string, contig int, seq string")
@@ -190,7 +190,7 @@ def test_amino_changes(spark):
     ref = "AAATGGCCTTAAGGG"  # from 2: ATG GCC TTA AGG
     cases = [(5, 1, "A", 2, 14, "+"), (7, 1, "A", 2, 14, "+"), (4, 2, "TT", 2, 14, "+"), (5, 1, "AA", 2, 14, "+"), (0, 1, "C", 2, 14, "+"), (5, 1, "A", 2, 14, "."), (13, 1, "A", 2, 14, "-")]
     frame = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, pos0 int, n int, alt string, start int, stop int, strand string")
-    got = {r.i: r.aa for r in frame.select("i", A.amino_change(*[F.col(c) for c in ("pos0", "n", "alt", "start", "stop", "strand")], ref).alias("aa")).collect()}
+    got = {r.i: r.aa for r in A.with_amino_change(frame, ref, *[F.col(c) for c in ("pos0", "n", "alt", "start", "stop", "strand")]).collect()}
     assert got[0].change == "Ala2Thr(GCC>ACC)" and got[1].change == "Ala2Ala(GCC>GCA) syn"
     assert got[2].change == "Met1Ile(ATG>ATT);Ala2Ser(GCC>TCC)" and got[3].change == "frameshift_pos2"
     assert got[4] is None and got[5] is None and got[6].aa_pos == 1 and got[6].change.startswith("Pro1Ser(CCT>")
@@ -203,7 +203,7 @@ def test_overlap_join_equals_plain(spark):
     a = spark.createDataFrame(hits, "hit int, h_start int, h_end int")
     b = spark.createDataFrame(genes, "id int, start int, stop int")
     want = sorted((h[0], g[0]) for h in hits for g in genes if h[1] < g[2] and h[2] > g[1])
-    assert rows(A.overlapping(a, b, width=512).select("hit", "id")) == want
+    assert rows(A.overlapping(a, b).select("hit", "id")) == want
 
 
 def test_masks(spark):
@@ -515,7 +515,7 @@ def test_reports(spark):
     assert names_of == {"listed": ["s1"], "records": ["c1", "c2"], "files": ["[a.fa] c1", "[a.fa] c2"]}
     with pytest.raises(ValueError):
         reports.named_contigs(records, "odd")
-    made = scan.diagnostic_kmers(panel(spark, [(150, 1, ALT)]), F.lit(REF), 11)
+    made = scan.diagnostic_kmers(panel(spark, [(150, 1, ALT)]), REF, 11)
     contigs = spark.createDataFrame([("g", 0, REF[:149] + ALT + REF[150:]), ("none", 0, "ACGT" * 10)], "genome string, contig int, seq string")
     got = {r.genome: r for r in reports.hit_detail(contigs, made, None, REF, 11).collect()}
     assert list(got["g"].asDict()) == list(reports.DETAIL) and got["g"]["SNPgenome"] == 150 and got["g"]["AA_Pos"] is None
