@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from kmerlake.operators.prefix import running
+from kmerlake.operators.selection import quantiles
+from kmerlake.operators.stage import written
 
 #: Clinical reading order of drug codes, fixed values; AMI is read as AMK.
 DRUG_ORDER = ("RIF", "INH", "PZA", "EMB", "FQ", "BDQ", "LZD", "BDQ_CFZ", "CFZ", "DLM", "ETH", "PAS", "AMK", "KAN", "CAP", "STR", "OTHER")
@@ -81,18 +85,31 @@ def composition(branches: DataFrame, group: str, slots: int = 3) -> DataFrame:
     return own.join(F.broadcast(named), "branch", "left").groupBy(group, F.coalesce("slot", F.lit("Other")).alias("slot")).agg(F.sum("specific").alias("specific"))
 
 
+def _finite(value: str) -> Column:
+    return F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf"))
+
+
 def histogram(values: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """(bin, n) of percentages in equal bins; 100 belongs to the last, what lies outside to the ends."""
     width = 100 / bins
     clamped = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col(value)))
-    return values.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.least(F.lit(bins - 1), F.floor(clamped / width)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return values.where(_finite(value)).groupBy(F.least(F.lit(bins - 1), F.floor(clamped / width)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def mixed_share(values: DataFrame, value: str, low: float = 20, high: float = 80) -> DataFrame:
+    """One row: how many percentages there are, how many lie from ``low`` to ``high`` (both included), and their share (0 without any)."""
+    told = values.where(_finite(value)).agg(F.count("*").alias("n"), F.count_if(F.col(value).between(low, high)).alias("middle"))
+    return told.withColumn("share", F.when(F.col("n") > 0, F.col("middle") / F.col("n")).otherwise(0.0))
 
 
 def depth_fraction(calls: DataFrame, group: str) -> DataFrame:
-    """Depth range, upper median and share of fractions in 20-80 of groups with three calls or more."""
-    good = calls.where("coverage > 0 and alt_percent is not null")
-    rows = good.groupBy(group).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("coverage")).alias("d"), F.count_if(F.col("alt_percent").between(20, 80)).alias("middle"))
-    return rows.where("n >= 3").select(group, F.col("d")[0].alias("min_depth"), F.element_at("d", -1).alias("max_depth"), F.element_at("d", F.floor(F.col("n") / 2).cast("int") + 1).alias("median_depth"), "middle", (F.col("middle") / F.col("n")).alias("middle_ratio"))
+    """Depth range, upper median and share of fractions in 20-80 of groups with three calls or more; the median is exact at any size."""
+    kind = dict(calls.dtypes)["coverage"]
+    good = written(calls.where("coverage > 0 and alt_percent is not null").select(group, "coverage", "alt_percent"))
+    rows = good.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("n"), F.min("coverage").alias("min_depth"), F.max("coverage").alias("max_depth"), F.count_if(F.col("alt_percent").between(20, 80)).alias("middle")).where("n >= 3")
+    medians = quantiles(good, [group], "coverage", {"median_depth": None}).drop("n")
+    met = rows.join(medians, F.col("_group").eqNullSafe(F.col(group)))
+    return met.select(group, "min_depth", "max_depth", F.col("median_depth").cast(kind).alias("median_depth"), "middle", (F.col("middle") / F.col("n")).alias("middle_ratio"))
 
 
 def number(text: Column) -> Column:
@@ -208,8 +225,10 @@ def _points(fields: Column, word: Column) -> Column:
     return F.when(F.array_contains(fields, word), 14).when(begins, 8).when(holds, 4).otherwise(0)
 
 
-def every_nth(df: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
-    """Rows of each group thinned by an even stride to about ``most``."""
-    w = W.partitionBy(group)
-    numbered = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
-    return numbered.where(F.col("_i") % F.greatest(F.lit(1), F.ceil(F.col("_n") / most)) == 0).drop("_i", "_n")
+def every_nth(df: DataFrame, group: str, order: list[str], most: int, parts: int | None = None) -> DataFrame:
+    """Rows of each group thinned by an even stride to about ``most``; one group may fill many tasks."""
+    df = written(df)
+    sizes = df.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_n"))
+    numbered = running(df.withColumn("_one", F.lit(1).cast("long")), [group], order, {"_i": ("sum", "_one")}, before=True, parts=parts)
+    met = numbered.join(sizes, F.col(group).eqNullSafe(F.col("_of")))
+    return met.where(F.col("_i") % F.greatest(F.lit(1), F.ceil(F.col("_n") / most)) == 0).select(*df.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kmerlake.operators.insights import unknown
+from kmerlake.operators.selection import quantiles
+from kmerlake.operators.stage import written
 
 
 def call_tally(profiles: DataFrame) -> DataFrame:
@@ -13,17 +15,23 @@ def call_tally(profiles: DataFrame) -> DataFrame:
 
 
 def read_support(calls: DataFrame) -> DataFrame:
-    """One row of figures over calls (alt_count, coverage, alt_percent)."""
-    return calls.agg(
-        F.sum("alt_count").alias("alt_reads"), (F.sum("alt_count") * 100.0 / F.sum("coverage")).alias("weighted_alt"), F.percentile("alt_percent", F.lit(0.5)).alias("median_alt"),
-        F.count_if(F.col("alt_percent") >= 95).alias("fixed_loci"), F.percentile("coverage", F.lit(0.5)).alias("median_depth"), F.count_if(F.col("coverage") < 10).alias("low_depth"),
+    """One row of figures over calls (alt_count, coverage, alt_percent); the medians are exact at any size."""
+    calls = written(calls.select("alt_count", "coverage", "alt_percent"))
+    median = lambda c: quantiles(calls, [], c, {"m": 0.5}).select("m").scalar()
+    told = calls.agg(
+        F.sum("alt_count").alias("alt_reads"), (F.sum("alt_count") * 100.0 / F.sum("coverage")).alias("weighted_alt"), F.count_if(F.col("alt_percent") >= 95).alias("fixed_loci"), F.count_if(F.col("coverage") < 10).alias("low_depth")
     )
+    return told.select("alt_reads", "weighted_alt", median("alt_percent").alias("median_alt"), "fixed_loci", median("coverage").alias("median_depth"), "low_depth")
 
 
 def sample_support(calls: DataFrame, group: str = "sample", top: int = 8) -> DataFrame:
     """(group, loci, coverage, weighted_alt, median_alt) of the groups with the highest weighted share of ALT, then the most coverage, then by name."""
-    per = calls.groupBy(group).agg(F.count("*").alias("loci"), F.sum("coverage").alias("coverage"), (F.sum("alt_count") * 100.0 / F.sum("coverage")).alias("weighted_alt"), F.percentile("alt_percent", F.lit(0.5)).alias("median_alt"))
-    return per.orderBy(F.desc("weighted_alt"), F.desc("coverage"), group).limit(top)
+    calls = written(calls.select(group, "alt_count", "coverage", "alt_percent"))
+    per = calls.groupBy(group).agg(F.count("*").alias("loci"), F.sum("coverage").alias("coverage"), (F.sum("alt_count") * 100.0 / F.sum("coverage")).alias("weighted_alt"))
+    best = written(per.orderBy(F.desc("weighted_alt"), F.desc("coverage"), group).limit(top))
+    own = calls.join(F.broadcast(best.select(group)), calls[group].eqNullSafe(best[group]), "left_semi")
+    medians = quantiles(own, [group], "alt_percent", {"median_alt": 0.5}).select(F.col(group).alias("_group"), "median_alt")
+    return best.join(medians, best[group].eqNullSafe(medians["_group"]), "left").select(group, "loci", "coverage", "weighted_alt", "median_alt").orderBy(F.desc("weighted_alt"), F.desc("coverage"), group)
 
 
 def strongest_markers(calls: DataFrame, top: int = 6) -> DataFrame:
@@ -65,10 +73,13 @@ def match_scores(rows: DataFrame, score: str, ref: str) -> DataFrame:
 
 
 def quality_summary(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, n, median, p90, low, high) where at least three values and a fifth of the rows are numbers."""
-    v = F.col(value)
-    per = rows.groupBy(group).agg(F.count(v).alias("n"), F.count("*").alias("_all"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.9)).alias("p90"), F.min(v).alias("low"), F.max(v).alias("high"))
-    return per.where(F.col("n") >= F.greatest(F.lit(3.0), 0.2 * F.col("_all"))).drop("_all")
+    """(group, n, median, p90, low, high) where at least three values and a fifth of the rows are numbers; quantiles are exact at any size."""
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+    told = written(rows.select(group, v.alias(value)))
+    per = told.groupBy(F.col(group).alias("_group")).agg(F.count(value).alias("n"), F.count("*").alias("_all"), F.min(value).alias("low"), F.max(value).alias("high"))
+    ranked = quantiles(told, [group], value, {"median": 0.5, "p90": 0.9}).drop("n")
+    enough = per.where(F.col("n") >= F.greatest(F.lit(3.0), 0.2 * F.col("_all")))
+    return enough.join(ranked, F.col("_group").eqNullSafe(F.col(group))).select(group, "n", "median", "p90", "low", "high")
 
 
 def facets(rows: DataFrame, column: str, top: int = 5) -> DataFrame:

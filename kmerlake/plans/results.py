@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerlake.operators import insights as I, views as V
 from kmerlake.operators.lineage import lineage_counts
+from kmerlake.operators.selection import quantiles
 from kmerlake.plans import fixtures as X
 from kmerlake.plans.genotyping import _BRANCH, _CALLED, _TALLY, _branches, _called
 
@@ -71,6 +72,17 @@ def allele_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.histogram(X.table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 1000).alias("pct")), "pct")
 
 
+@query("WITH v AS (SELECT l_discount * 1000 AS pct FROM lineitem) SELECT count(*) AS n, count(*) FILTER (WHERE pct BETWEEN 20 AND 80) AS middle, count(*) FILTER (WHERE pct BETWEEN 20 AND 80) / count(*) AS share FROM v")
+def allele_mixed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.mixed_share(X.table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 1000).alias("pct")), "pct")
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.25) AS q25, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5) AS median, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.99) AS q99 FROM lineitem GROUP BY 1")
+def value_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = X.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return quantiles(lines, ["flag"], "l_extendedprice", {"q25": 0.25, "median": 0.5, "q99": 0.99}, few=10_000)
+
+
 @query(_CALLED.format(p=5) + ", s AS (SELECT sample, list_sort(list(coverage)) AS d, count(*) AS n, count(*) FILTER (WHERE alt_percent BETWEEN 20 AND 80) AS middle FROM called GROUP BY sample) SELECT sample, d[1] AS min_depth, d[-1] AS max_depth, d[CAST(n // 2 + 1 AS INT)] AS median_depth, middle, middle / n AS middle_ratio FROM s WHERE n >= 3")
 def depth_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.depth_fraction(_called(spark, sf_dir, 5), "sample")
