@@ -68,7 +68,7 @@ def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def oob_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels, model = _trained(spark, sf_dir)
-    return M.accuracy(M.out_of_bag(M.votes(cells, model)), labels)
+    return M.accuracy(M.out_of_bag(M.votes(cells, model), labels, TREES), labels)
 
 
 @query()

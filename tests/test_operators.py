@@ -349,79 +349,108 @@ def test_forest_separates_motifs(spark):
     ballots = M.votes(cells, model)
     assert ballots.count() == 600
     assert M.accuracy(ballots, labels).first().accuracy >= 80
-    assert M.accuracy(M.out_of_bag(ballots), labels).first().accuracy >= 80
+    assert M.accuracy(M.out_of_bag(ballots, labels, 10), labels).first().accuracy >= 80
     ranked = M.importance(model).collect()
     assert ranked[0]["rank"] == 1 and sum(r.importance_pct for r in ranked) == pytest.approx(100)
 
 
-def grown_plainly(cells, codes, drawn, depth, leaf, classes):
-    """One tree over every bucket, by trying every split."""
-    def gini(y):
-        n = sum(y.values())
-        return 1 - sum((c / n) ** 2 for c in y.values()) if n else 0
+def gini_single(y):
+    one, total = np.float32(1), np.float32(sum(y))
+    squares = np.float32(0)
+    for c in y:
+        squares += (np.float32(c) * (one / total)) ** 2
+    return one - squares
+
+
+def grown_plainly(cells, codes, drawn, depth, leaf, classes, most, seed=42):
+    """One tree by trying every split of the candidates, level by level as nodes are numbered; nodes as (feature, threshold, left, right) or a class."""
 
     def tally(rows):
-        out = {}
-        for r in rows:
-            out[codes[r]] = out.get(codes[r], 0) + drawn[r]
-        return out
-
-    def grow(rows, level):
-        y = tally(rows)
-        n = sum(y.values())
-        top = max(range(classes), key=lambda c: (y.get(c, 0), c))
-        best = None
-        if level < depth and len(y) > 1 and n > 2 * leaf:
-            for f in sorted({b for r in rows for b in cells[r]}):
-                points = sorted({cells[r].get(f, 0) for r in rows})
+        return [sum(drawn[r] for r in rows if codes[r] == c) for c in range(classes)]
+
+    held, nodes, edge, tried = [[r for r in codes if drawn[r]]], {}, [0], []
+    for level in range(depth + 1):
+        following = []
+        for i in edge:
+            rows_, y = held[i], tally(held[i])
+            nodes[i] = max(range(classes), key=lambda c: (y[c], c))
+            if level == depth or max(y) == sum(y) or sum(y) <= 2 * leaf:
+                continue
+            there = np.array(sorted({b for r in rows_ for b in cells[r]}), dtype=np.int64)
+            order = M.draw_order(np.full(len(there), i, np.int64), there, seed)
+            chosen = sorted(there[np.argsort(order, kind="stable")[:most]].tolist())
+            tried.append((len(there), len(chosen)))
+            best = None
+            for f in chosen:
+                points = sorted({cells[r].get(f, 0) for r in rows_})
                 for lo, hi in zip(points, points[1:]):
-                    low = [r for r in rows if cells[r].get(f, 0) <= lo]
-                    a, b = tally(low), tally([r for r in rows if r not in set(low)])
-                    na, nb = sum(a.values()), sum(b.values())
-                    gain = gini(y) - (na * gini(a) + nb * gini(b)) / n
-                    if na >= leaf and nb >= leaf and gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                    low = [r for r in rows_ if cells[r].get(f, 0) <= lo]
+                    p, q = tally(low), [x - z for x, z in zip(y, tally(low))]
+                    gain = gini_single(y) - (np.float32(sum(p)) * gini_single(p) + np.float32(sum(q)) * gini_single(q)) / np.float32(sum(y)) if sum(p) and sum(q) else -1
+                    if min(sum(p), sum(q)) >= leaf and gain > (best[0] if best else 0):
                         best = gain, f, (lo + hi) / 2, low
-        if best is None:
-            return top
-        rest = [r for r in rows if r not in set(best[3])]
-        return best[1], best[2], grow(best[3], level + 1), grow(rest, level + 1)
-
-    return grow([r for r in codes if drawn[r]], 0)
+            if best:
+                left, right = len(held), len(held) + 1
+                held += [best[3], [r for r in rows_ if r not in set(best[3])]]
+                nodes[i] = (best[1], best[2], left, right)
+                following += [left, right]
+        edge = following
+    return nodes, tried
 
 
-def test_trees_equal_plain(spark):
+@pytest.fixture(scope="module")
+def small_forest(spark):
     rng = np.random.default_rng(5)
     codes = {i: int(rng.integers(0, 3)) for i in range(70)}
     cells = {i: {int(b): int(rng.integers(1, 4)) + codes[i] * int(b % 3 == 0) for b in rng.choice(25, 8, replace=False)} for i in codes}
-    frame = spark.createDataFrame([(i, b, n) for i, own in cells.items() for b, n in own.items()], "seq long, bucket int, cnt long")
-    labels = spark.createDataFrame(list(codes.items()), "seq long, code int")
+    cells[69] = {}  # too short for a k-mer
+    frame = spark.createDataFrame([(i, b, n) for i, own in cells.items() for b, n in own.items()], "seq long, bucket int, cnt long").repartition(5)
+    return codes, cells, frame, spark.createDataFrame(list(codes.items()), "seq long, code int")
+
+
+@pytest.mark.parametrize("most", [7, 1024])
+def test_trees_equal_plain(spark, small_forest, most):
+    codes, cells, frame, labels = small_forest
+    for seed in (42, 7):  # each forest is one tree, so that nodes are numbered alike
+        nodes = {r.node: r for r in M.train(frame, labels, trees=1, depth=5, leaf=2, seed=seed, most=most).collect()}
+        drawn = {r.seq: r.drawn[0] for r in M.bootstrap(labels, "seq", 1, seed).collect()}
+        want, tried = grown_plainly(cells, codes, drawn, 5, 2, 3, most, seed)
+        assert {i: r.cls if r.feature < 0 else (r.feature, r.threshold, r.left, r.right) for i, r in nodes.items()} == want
+        assert most == 1024 or any(there > most == used for there, used in tried)
+
+
+def test_walks_and_out_of_bag(spark, small_forest):
+    codes, cells, frame, labels = small_forest
     model = M.train(frame, labels, trees=3, depth=4, leaf=3)
     nodes = {(r.tree, r.node): r for r in model.collect()}
-    drawn = {(r.t, r.seq): r.n for r in labels.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("t"))).select("t", "seq", M.draws(F.col("t"), F.col("seq"), 42).alias("n")).collect()}
 
-    def told(tree, i):
+    def call(tree, i, row):
         r = nodes[tree, i]
-        return r.cls if r.feature < 0 else (r.feature, r.threshold, told(tree, r.left), told(tree, r.right))
+        return r.cls if r.feature < 0 else call(tree, r.left if row.get(r.feature, 0) <= r.threshold else r.right, row)
 
-    for tree in range(3):
-        assert told(tree, 0) == grown_plainly(cells, codes, {i: drawn[tree, i] for i in codes}, 4, 3, 3)
     walked = {(r.seq, r.tree): r.code for r in M.votes(frame, model).collect()}
-
-    def call(t, row):
-        return t if isinstance(t, int) else call(t[2] if row.get(t[0], 0) <= t[1] else t[3], row)
-
-    assert walked == {(i, tree): call(told(tree, 0), cells[i]) for i in codes for tree in range(3)}
-    oob = {(r.seq, r.tree) for r in M.out_of_bag(M.votes(frame, model)).collect()}
-    assert oob == {(i, t) for t in range(3) for i in codes if not drawn[t, i]}
+    assert walked == {(i, tree): call(tree, 0, cells[i]) for i in codes if cells[i] for tree in range(3)}
+    drawn = {r.seq: r.drawn for r in M.bootstrap(labels, "seq", 3).collect()}
+    oob = {(r.seq, r.tree) for r in M.out_of_bag(M.votes(frame, model), labels, 3).collect()}
+    assert oob == {(i, t) for t in range(3) for i in codes if cells[i] and not drawn[i][t]}
     with pytest.raises(ValueError):
         M.train(frame, labels.withColumn("code", F.lit(1)), trees=1)
     with pytest.raises(ValueError):
         M.cross_validation(frame, labels.limit(3), 4)
 
 
-def test_draws_have_the_right_spread(spark):
-    share = {r.n: r["count"] / 20_000 for r in spark.range(20_000).select(M.draws(F.lit(3), F.col("id"), 42).alias("n")).groupBy("n").count().collect()}
-    assert abs(share[0] - 0.3679) < 0.02 and abs(share[1] - 0.3679) < 0.02 and abs(share[2] - 0.1839) < 0.02
+def test_bootstrap_draws_n_of_n(spark):
+    frame = spark.range(20_000).withColumnRenamed("id", "seq")
+    bags = {r.seq: r.drawn for r in M.bootstrap(frame, "seq", 4, bin_rows=300).collect()}
+    drawn = np.array([bags[i] for i in range(20_000)])
+    assert drawn.sum(axis=0).tolist() == [20_000] * 4
+    for n, share in enumerate((0.3679, 0.3679, 0.1839)):
+        assert np.allclose((drawn == n).mean(axis=0), share, atol=0.015)
+    assert abs(np.corrcoef(drawn.T)[0, 1]) < 0.05
+    again = {r.seq: r.drawn for r in M.bootstrap(frame.repartition(7, F.rand(1)), "seq", 4, bin_rows=300).collect()}
+    assert again == bags
+    assert {r.seq: r.drawn[:2] for r in M.bootstrap(frame, "seq", 2, bin_rows=300).collect()} == {i: d[:2] for i, d in bags.items()}
+    assert M.bootstrap(frame.limit(1), "seq", 3).first().drawn == [1, 1, 1] and M.bootstrap(frame.limit(0), "seq", 3).collect() == []
 
 
 def test_splits_check_their_parameters(spark):
