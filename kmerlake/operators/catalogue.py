@@ -12,6 +12,37 @@ from kmerlake.operators.refstore import ReferenceStore, with_bases
 LABEL_ORDER = ("RIF", "INH", "EMB", "PZA", "STR", "FQ", "ETH", "AMI", "KAN", "CAP", "LZD", "BDQ", "CFZ", "DLM")
 
 
+#: Order of drugs in a written catalogue, fixed values.
+CATALOGUE_ORDER = ("RIF", "INH", "EMB", "PZA", "STR", "FQ", "ETH", "AMI", "KAN", "CAP", "LZD", "BDQ", "CFZ", "BDQ_CFZ", "DLM", "OTHER")
+
+
+def in_frame(markers: DataFrame, reference: ReferenceStore | str) -> DataFrame:
+    """Markers (pos, ref, alt) told in the frame of a reference: ``ref`` are its bases there, ``changed`` says where they differ from the marker's.
+
+    At its end there may be fewer; beyond it the marker's own bases stay.  A marker whose
+    alternative is what the reference has is no variant there and drops out.
+    """
+    told = with_bases(markers.withColumn("_own", F.col("ref")).drop("ref"), reference, F.col("pos") - 1, F.length("_own"), "_there")
+    ref = F.when((F.col("pos") > 0) & (F.col("_there") != ""), F.col("_there")).otherwise(F.col("_own"))
+    framed = told.withColumn("ref", ref).withColumn("changed", F.col("ref") != F.col("_own")).where("ref <> alt")
+    return framed.select(*markers.columns, "changed")
+
+
+def catalogue_rank(drug: Column) -> Column:
+    """The place of a drug in a written catalogue; drugs without one come last.  Rows are ordered by it, then by position."""
+    place = F.array_position(F.array(*[F.lit(d) for d in CATALOGUE_ORDER]), drug)
+    return F.when(place > 0, place - 1).otherwise(999).cast("int")
+
+
+def catalogue_frames(markers: DataFrame, references: dict[str, ReferenceStore | str]) -> DataFrame:
+    """The catalogue in the frame of every reference, with ``frame`` and ``drug_rank``."""
+    out = None
+    for name, reference in references.items():
+        one = in_frame(markers, reference).withColumns({"frame": F.lit(name), "drug_rank": catalogue_rank(F.col("drug"))})
+        out = one if out is None else out.union(one)
+    return out
+
+
 def grade_rank(grade: Column) -> Column:
     """0 for ``1)`` to 4 for ``5)``, 9 for anything else."""
     n = F.regexp_extract(grade, r"^([1-5])\)", 1)

@@ -182,3 +182,22 @@ def marker_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array(F.when(key % 50 == 0, "x").otherwise(key.cast("string")), F.lit("A"), F.when(key % 33 == 0, " ").otherwise(" c "), level, F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(level, F.lit(".1"))), F.lit(""), F.col("p_name"), F.lit(""), F.col("p_brand"))
     found = parse_markers(X.table(spark, sf_dir, "part").select(key.alias("ordinal"), cells.alias("cells")))
     return found.withColumns({"levels": F.array_join("levels", ";"), "notes": F.array_join("notes", ";")})
+
+
+#: A second frame: another base at every 37th place.
+_ANCESTOR = "".join(c if i % 37 else {"A": "C", "C": "G", "G": "T", "T": "A"}[c] for i, c in enumerate(X.REFERENCE))
+_FRAME_DRUGS = (*C.CATALOGUE_ORDER, "XYZ")
+
+
+@query(
+    "WITH " + X.REF_SQL + ", anc AS (SELECT string_agg(CASE WHEN (p - 1) % 37 = 0 THEN translate(substr(rseq, CAST(p AS INT), 1), 'ACGT', 'CGTA') ELSE substr(rseq, CAST(p AS INT), 1) END, '' ORDER BY p) AS aseq FROM ref, range(1, 2049) t(p)), "
+    "m AS (SELECT p_partkey AS id, CAST(1 + (p_partkey * 29) % 2060 AS INT) AS pos, ['A', 'C', 'G', 'T', 'GA'][CAST(1 + p_partkey % 5 AS INT)] AS r0, ['A', 'C', 'G', 'T'][CAST(1 + p_size % 4 AS INT)] AS alt, [" + ", ".join(f"'{d}'" for d in _FRAME_DRUGS) + f"][CAST(1 + p_partkey % {len(_FRAME_DRUGS)} AS INT)] AS drug FROM part), "
+    "f AS (SELECT m.*, 'first' AS frame, rseq AS s FROM m, ref UNION ALL SELECT m.*, 'second', aseq FROM m, anc), b AS (SELECT *, CASE WHEN pos <= 2048 THEN substr(s, pos, length(r0)) ELSE r0 END AS ref FROM f) "
+    "SELECT id, pos, ref, alt, drug, ref <> r0 AS changed, frame, CAST(coalesce(list_position([" + ", ".join(f"'{d}'" for d in C.CATALOGUE_ORDER) + "], drug) - 1, 999) AS INT) AS drug_rank FROM b WHERE ref <> alt"
+)
+def catalogue_two_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, pick = F.col("p_partkey"), lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (1 + i).cast("int"))
+    markers = X.table(spark, sf_dir, "part").select(
+        key.alias("id"), (1 + (key * 29) % 2060).cast("int").alias("pos"), pick(("A", "C", "G", "T", "GA"), key % 5).alias("ref"), pick("ACGT", F.col("p_size") % 4).alias("alt"), pick(_FRAME_DRUGS, key % len(_FRAME_DRUGS)).alias("drug")
+    )
+    return C.catalogue_frames(markers, {"first": X.REFERENCE, "second": _ANCESTOR})

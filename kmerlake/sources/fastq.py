@@ -43,7 +43,7 @@ class Range(InputPartition):
         super().__init__(None)
 
 
-def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -51,7 +51,7 @@ def files_of(path: str) -> list[tuple[str, int]]:
     """(path, size) of a file, of all files in a folder, or of those that a pattern in the last part matches."""
     from fnmatch import fnmatch
 
-    system, plain = _file_system(path)
+    system, plain = file_system(path)
     head = path[: len(path) - len(plain)]
     folder, _, last = plain.rpartition("/")
     if any(c in last for c in "*?["):
@@ -68,7 +68,7 @@ def files_of(path: str) -> list[tuple[str, int]]:
 
 def _lines(path: str, start: int, packed: bool, block: int = 1 << 22) -> Iterator[tuple[int, bytes]]:
     """(offset, line) from the first line that begins at ``start`` or later; a last line needs no line end."""
-    system, plain = _file_system(path)
+    system, plain = file_system(path)
     with system.open_input_stream(plain) if packed else system.open_input_file(plain) as source:
         offset, rest = start, b""
         if start:

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from kmerlake.functions import names, seq as S
 from kmerlake.operators import annotate as A, catalogue as C, contain, features, forest as M, insights as I, lineage as L, reports, scan
@@ -324,6 +324,28 @@ def test_sinks(spark, tmp_path):
     assert files.result_table(spark, str(tmp_path / "t")).count() == 3
 
 
+def test_no_two_samples_share_a_file_name(spark):
+    names = ["a b", "a/b", "a_b_2", "a_b_3", "a.b", ".._x_", "x", "", "__", "é", None, "a_b_02", "a?b", "sample_2"]
+    got = {r.sample: r.file_name for r in sinks.safe_names(spark.createDataFrame([(n,) for n in names], "sample string")).collect()}
+    assert set(got) == set(names) and len(set(got.values())) == len(names)
+    assert got["a_b_2"] == "a_b_2" and {got["a b"], got["a/b"], got["a?b"]} == {"a_b", "a_b_4", "a_b_5"} and got["a.b"] == "a.b"
+    assert {got[".._x_"], got["x"]} == {"x", "x_2"} and {got[""], got["__"], got["é"], got[None]} == {"sample", "sample_3", "sample_4", "sample_5"}
+
+
+def test_files_of_samples_come_all_or_none(spark, tmp_path):
+    lines = spark.createDataFrame([("a b", 2, "two"), ("a b", 1, "one"), ("a/b", 1, "x"), ("c", 1, None)], "sample string, i int, value string")
+    sinks.write_per_sample(lines, str(tmp_path / "o"), ["i"], head="#h")
+    files_ = {p.name: p.read_text() for p in (tmp_path / "o").iterdir()}
+    assert files_ == {"a_b_mutations.tsv": "#h\none\ntwo\n", "a_b_2_mutations.tsv": "#h\nx\n", "c_mutations.tsv": "#h\n"}
+    bad = lines.withColumn("value", F.when(F.col("sample") == "c", F.raise_error("broken").cast("string")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_per_sample(bad, str(tmp_path / "p"), ["i"])
+    assert not (tmp_path / "p").exists() or not list((tmp_path / "p").iterdir())
+    with pytest.raises(Exception, match="already holds"):
+        sinks.write_per_sample(lines, str(tmp_path / "o"), ["i"], overwrite=False)
+    assert sorted(p.name for p in (tmp_path / "o").iterdir()) == sorted(files_)
+
+
 # ---- forest
 
 
@@ -464,12 +486,27 @@ def test_splits_check_their_parameters(spark):
 # ---- streams
 
 
-def test_stream_ends_with_the_batch_totals(spark, tmp_path):
-    reads = spark.createDataFrame([("s", "ACGTACGTACGT"), ("t", "GGGGGGACGT")], "sample string, seq string")
-    reads.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    totals.run_available(totals.kmer_totals(stream, 5), "kmer_totals_test", str(tmp_path / "c"))
-    assert rows(spark.table("kmer_totals_test")) == rows(contain.kmer_counts(reads, 5))
+def test_a_stream_that_was_killed_ends_with_the_batch_totals(spark, tmp_path, monkeypatch):
+    reads = spark.createDataFrame([("s", "ACGTACGTACGT"), ("t", "GGGGGGACGT"), ("u", "ACGTTTTT")] * 3, "sample string, seq string")
+    reads.repartition(5).write.parquet(str(tmp_path / "in"))
+    start = lambda: totals.kmer_totals(spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 5)
+    table, checkpoint = str(tmp_path / "t"), str(tmp_path / "c")
+    write = DataFrameWriter.parquet
+
+    def failing(self, path, *a, **k):
+        write(self, path, *a, **k)  # what it wrote stays, as if it died before the trigger was noted
+        if path.endswith("trigger=1"):
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    with pytest.raises(Exception, match="killed"):
+        totals.run_available(start(), table, checkpoint)
+    monkeypatch.undo()
+    assert rows(totals.latest(spark, table, ["kmer"])) != rows(contain.kmer_counts(reads, 5))
+    totals.run_available(start(), table, checkpoint)
+    assert rows(totals.latest(spark, table, ["kmer"])) == rows(contain.kmer_counts(reads, 5))
+    totals.compact(spark, table, str(tmp_path / "n"), ["kmer"])
+    assert rows(totals.latest(spark, str(tmp_path / "n"), ["kmer"])) == rows(contain.kmer_counts(reads, 5))
 
 
 def test_model_round_trip_and_cross_validation(spark, tmp_path):
