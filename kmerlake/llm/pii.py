@@ -6,15 +6,16 @@ ones for card numbers that were mistyped, national phone numbers, addresses in
 words, account numbers, identity numbers and IPv6 addresses.  A candidate is told
 by counts of its format and by its surroundings (``FEATURES``).
 
-No text comes with marked spans, so the trees learn from planted ones: ``PLANTED``
-has forms of personal data and of numbers that are none, their characters are
-drawn by hash, and they are put into places of the corpus itself.  A candidate over
-a planted span is positive if that is its kind, negative if it is none; whether a
-base check passes plays no part.  ``contexts`` documents, chosen by hash, lend a
-place each; that is the bound of the sample.  Boosted depth-two trees are fitted to
-counts of equal candidates; a third of the places is held out, and a kind's
-threshold is the lowest score, at least one half, from which the held-out precision,
-less two standard errors, reaches ``precision``.
+No text comes with marked spans, so the trees learn from planted ones: ``GRAMMAR``
+makes some hundreds of forms of personal data and of numbers that are none, their
+characters are drawn by hash, and they are put into places of the corpus itself.  A
+candidate over a planted span is positive if that is its kind, negative if it is
+none; whether a base check passes plays no part.  ``contexts`` documents, chosen by
+hash, lend a place each; that is the bound of the sample.  Boosted depth-two trees
+are fitted to counts of equal candidates.  Whole shapes are held out, not places: a
+kind's threshold is the lowest score, at least one half, from which the precision on
+shapes that the scoring trees have not seen, less two standard errors, reaches
+``precision``; a kind that has none adds nothing.
 
 The base spans, those that pass their check, always stay.  The method adds
 candidates whose score reaches their kind's threshold and that overlap no base
@@ -59,28 +60,79 @@ KINDS = (
     Kind("id_number", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", base=False, needs="-"),
     Kind("ip6", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}+(?::?[0-9A-Fa-f]{1,4}){1,6}+(?![0-9A-Za-z:])", base=False, needs=":"),
 )
-FEATURES = ("digits", "letters", "longest_run", "groups", "distinct_digits", "separator", "first_digit", "before", "after", "cue", "number_cue", "digits_near")
-_CUE = r"(?i)(mail|phone|tel|fax|call|mobile|cell|contact|reach|card|visa|credit|debit|account|iban|ssn|social|passport|host|client|address)[^A-Za-z0-9]*$"
+FEATURES = ("digits", "letters", "longest_run", "groups", "distinct_digits", "separator", "first_digit", "before", "after", "cue", "number_cue", "digits_near", "first_run", "last_run")
+_CUE = r"(?i)(mail|phone|tel|fax|call|mobile|cell|contact|reach|card|visa|credit|debit|account|iban|ssn|social|security|passport|host|client|address)(?:\x20(?:number|no|nr|is|was|of))?[^A-Za-z0-9]*$"
 _NUMBER = r"(?i)(version|ver|v|no|nr|order|item|id|invoice|ref|reference|section|isbn|build|release|tracking|serial|part|total|sum|rate|page|row|time|date)[^A-Za-z0-9]*$"
-#: What is planted: the kind (None: no personal data) and the text, the span between
-#: angle brackets; # is a digit, ^ a hexadecimal digit, ? a small and ~ a capital letter.
-PLANTED = (
-    ("card_like", "<4###############>"), ("card_like", "<5###############>"), ("card_like", "<2###############>"), ("card_like", "card <4### #### #### ####>"), ("card_like", "<5###-####-####-####>"),
-    ("card_like", "<6### #### #### ####>"), ("card_like", "visa <4###############>"), ("card_like", "<3### ###### #####>"), ("card_like", "<37#############>"),
-    (None, "order <################>"), (None, "id <##############>"), (None, "<0.###############>"), (None, "<16###########>"), (None, "<17###########>"), (None, "isbn <978##########>"), (None, "<978-#-##-######-#>"),
-    (None, "<2024##############>"), (None, "^^^^^^<################>^^^"), (None, "?<###############>"), (None, "<###############>^?"), (None, "#.## #.## <#### #### #### ####> #.##"), (None, "<^^^^^^^^-####-####-####-############>"),
-    (None, "tracking <9###################>"), (None, "<1Z################>"), (None, "serial <#### #### #### ####>"), (None, "#<################>"), (None, "$<#############>"),
-    ("local_phone", "<(###) ###-####>"), ("local_phone", "<###-###-####>"), ("local_phone", "call <###.###.####>"), ("local_phone", "tel <0## #######>"), ("local_phone", "<0### ######>"), ("local_phone", "<0## / ### ## ##>"),
-    ("local_phone", "<(0##) #### ####>"), ("local_phone", "<0# ## ## ## ##>"), ("local_phone", "phone <### #### ####>"),
-    (None, "<20##-##-##>"), (None, "<##.##.20##>"), (None, "<##/##/20##>"), (None, "<19##-19##>"), (None, "<###-##-##-###>"), (None, "version <##.##.###>"), (None, "<## ### ###>"), (None, "part <###-####-##>"), (None, "<#### ####>"),
-    (None, "<##.###,##>"), (None, "<###.###.###>"), (None, "page <###-###>"), (None, "<20##-##-## ##>"), (None, "row <## ## ## ##>"), (None, "<##-##-##>"),
-    ("email_in_words", "<?????.??? at ?????? dot com>"), ("email_in_words", "<?????## [at] ??????.org>"), ("email_in_words", "<????? (at) ????? (dot) net>"), ("email_in_words", "mail <???????(at)?????.com>"), ("email_in_words", "<???_??[at]?????[dot]???????[dot]de>"),
-    (None, "<look at ?????.?????????>"), (None, "<????? at #.#>"), (None, "<???? at ##.##>"), (None, "<?????? at ????.??>"),
-    ("iban", "<DE## #### #### #### #### ##>"), ("iban", "iban <FR######################~##>"), ("iban", "<GB##~~~~##############>"), ("iban", "<ES## #### #### #### #### ####>"), ("iban", "account <NL##~~~~##########>"),
-    (None, "<~~##~~~#~~#~>"), (None, "part <~~##~#~##~#~>"), (None, "<~~####~~####>"), (None, "serial <~~## #### ####>"), (None, "<~~##~~~~~~~~>"),
-    ("id_number", "<###-##-####>"), ("id_number", "ssn <###-##-####>"), (None, "part <###-##-####>"), (None, "item <9##-##-####>"), (None, "order <###-##-####>"), (None, "$<###-##-####>"),
-    ("ip6", "<20##:db^:^^^^:^^^^:^^^^:^^^^:^^^^:^^^^>"), ("ip6", "<fe80::^^^^:^^^^:^^^^:^^^^>"), ("ip6", "host <20##:^^^^:^^^^::^^>"), (None, "<##:##:##>"), (None, "<0#:##:##:##>"), (None, "time <##:##:##:##>"), (None, "<^^:^^:^^:^^:^^:^^>"),
+#: What is planted, as a grammar: every lead of a line with every shape of it makes a
+#: form.  In a shape the span stands between angle brackets; # is a digit, ^ a
+#: hexadecimal digit, ? a small and ~ a capital letter.  Kind None is no personal data.
+_CARD_LEADS = ("", "card ", "visa ", "credit card: ", "debit ", "his card was ")
+_NUMBER_LEADS = ("", "order ", "id ", "tracking ", "serial ", "invoice ", "ref: ", "batch ", "lot ", "code ", "item ", "the key ", "sum ")
+_PHONE_LEADS = ("", "call ", "tel ", "phone: ", "mobile ", "fax ", "ring ", "contact me on ")
+_PLAIN_LEADS = ("", "on ", "version ", "part ", "page ", "row ", "total ", "from ", "score ", "lot ", "see ")
+_WORD_USERS, _WORD_AT = ("?????", "???_??", "???.?????", "???????##"), (" [at] ", " (at) ", "(at)", "[at]")
+_WORD_HOSTS = ("?????? dot com", "?????.com", "???? (dot) net", "?????[dot]???????[dot]de", "???? dot co dot uk", "??????.org")
+#: Lengths of account numbers by country, fixed values; some have letters after the check digits.
+_IBAN = {"DE": 22, "FR": 27, "GB": 22, "ES": 24, "NL": 18, "IT": 27, "BE": 16, "AT": 20, "CH": 21, "PL": 28, "PT": 25, "SE": 24, "DK": 18, "FI": 18, "IE": 22, "LU": 20}
+_IBAN_LETTERS = {"GB": 4, "NL": 4, "IE": 4, "IT": 1}
+
+
+def _iban_shapes() -> tuple[str, ...]:
+    whole = [c + "##" + "~" * _IBAN_LETTERS.get(c, 0) + "#" * (n - 4 - _IBAN_LETTERS.get(c, 0)) for c, n in _IBAN.items()]
+    return tuple(f"<{x}>" for w in whole for x in (w, " ".join(w[i : i + 4] for i in range(0, len(w), 4))))
+
+
+GRAMMAR: tuple[tuple[str | None, tuple[str, ...], tuple[str, ...]], ...] = (
+    ("card_like", _CARD_LEADS, (
+        "<4###############>", "<4### #### #### ####>", "<4###-####-####-####>", "<51##############>", "<55## #### #### ####>", "<53##-####-####-####>", "<2221############>", "<27## #### #### ####>", "<6011############>", "<65## #### #### ####>",
+        "<37#############>", "<34## ###### #####>", "<37## ###### #####>", "<4############>", "<36############>", "<62##-####-####-####>",
+    )),
+    (None, _NUMBER_LEADS, (
+        "<################>", "<#############>", "<##############>", "<###############>", "<16###########>", "<17###########>", "<978##########>", "<978-#-##-######-#>", "<2024##############>", "<20##############>", "<#### #### #### ####>", "<####-####-####-####>", "<9##################>",
+        "<1##################>", "0.<################>", "$<#############>", "#<################>", "^^^^^^<################>^^^", "?<###############>", "<###############>^?", "_<################>", "<################>_?", "<1Z################>", "<^^^^^^^^-####-####-####-############>", "#.## #.## <#### #### #### ####> #.##",
+    )),
+    ("local_phone", _PHONE_LEADS, (
+        "<(###) ###-####>", "<###-###-####>", "<###.###.####>", "<0## #######>", "<0### ######>", "<0## / ### ## ##>", "<(0##) #### ####>", "<0# ## ## ## ##>", "<### #### ####>", "<0#### ######>", "<0##-#######>", "<(0####) ######>", "<0### ### ###>", "<0## ### ## ##>", "<### ### ####>", "<0###/######>", "<(0#) #### ####>", "<0## #### ####>",
+    )),
+    (None, _PLAIN_LEADS, (
+        "<20##-##-##>", "<##.##.20##>", "<##/##/20##>", "<19##-19##>", "<###-##-##-###>", "<##.##.###>", "<## ### ###>", "<###-####-##>", "<#### ####>", "<##.###,##>", "<###.###.###>", "<###-###>", "<20##-##-## ##>", "<## ## ## ##>", "<##-##-##>", "<###/###/##>", "<#### - ####>", "<### ## ##>", "<20##/20##>", "<##.##>-<##.##>",
+        "<##-###>", "<#### #### ##>", "<##.#####>", "<20##.##.##>",
+    )),
+    ("email_in_words", ("", "mail ", "write to ", "contact: "), tuple(f"<{u}{at}{host}>" for at in _WORD_AT for host in _WORD_HOSTS for u in _WORD_USERS) + tuple(f"<{u} at {host}>" for u in _WORD_USERS for host in ("?????? dot com", "???? dot co dot uk", "????? dot net", "?????? dot org"))),
+    (None, ("", "then ", "we "), (
+        "<look at ?????.?????????>", "<????? at #.#>", "<???? at ##.##>", "<?????? at ????.??>", "<???? at ???.????>", "<??? at ???????.?????>", "<arrived at ????.???? >", "<met at ?????.???>", "<???? at ##.##.20##>", "<???????? at ????????.?????>", "<sold at #.## >", "<?? at ?????.????????>",
+    )),
+    ("iban", ("", "iban ", "account ", "pay to ", "IBAN: "), _iban_shapes()),
+    (None, ("", "part ", "serial ", "code ", "model ", "key "), (
+        "<~~##~~~#~~#~>", "<~~##~#~##~#~>", "<~~####~~####>", "<~~## #### ####>", "<~~##~~~~~~~~>", "<~~##########>", "<~~## ~~~~ ####>", "<~~##~~##~~##>", "<~~##~~##~~##~~##>", "<~~## #~#~ ~#~#>", "<~~###########>", "<~~## ##~~ ##~~ ##~~>",
+    )),
+    ("ip6", ("", "host ", "address ", "from "), (
+        "<20##:db^:^^^^:^^^^:^^^^:^^^^:^^^^:^^^^>", "<fe80::^^^^:^^^^:^^^^:^^^^>", "<20##:^^^^:^^^^::^^>", "<2a0#:^^^^:^^^^:^::^^>", "<fd##:^^^^:^^^^:^^^^::^^^^>", "<20##:^:^:^::^^^^>", "<20##:^^^^:^^^:^^::^^^>", "<26##:^^^^:^^^^:^^^^:^^^^:^^^^:^^^^:^^^^>",
+    )),
+    (None, ("", "time ", "at ", "mac ", "row "), ("<##:##:##>", "<0#:##:##:##>", "<##:##:##:##>", "<^^:^^:^^:^^:^^:^^>", "<^^:^^:^^:^^:^^:^^:^^:^^>", "<#:##:##>", "<##:##:##:##:##>", "<##:#:##>", "<1#:##:##:###>", "<^^:^^:^^:^^>")),
 )
+#: Identity numbers have one shape, so it is leads that are known or unknown.
+_ID_LEADS = (
+    ("id_number", ("", "ssn ", "social security ", "ssn: ", "her social: ", "passport ", "client ", "the ssn of ", "ssn number ", "SSN # ", "social security number ", "passport no ", "his ssn is ", "ssn=", "social ", "client number ")),
+    (None, ("part ", "item ", "order ", "$", "no. ", "lot ", "model ", "kit ", "id ", "serial ", "ref ", "invoice ", "room ", "sheet ", "#", "tracking ")),
+)
+
+
+#: Folds of shapes.
+FOLDS = 4
+
+
+def forms() -> list[tuple[str | None, str, str, str, int]]:
+    """(kind, lead, span, tail, fold) of every form; all forms of a shape (of a lead, for identity numbers) are in one fold."""
+    out = []
+    for kind, leads, shapes in GRAMMAR:
+        for i, shape in enumerate(shapes):
+            before, _, rest = shape.partition("<")
+            span, _, after = rest.partition(">")
+            out += [(kind, lead + before, span, after.replace("<", "").replace(">", ""), i % FOLDS) for lead in leads]
+    for kind, leads in _ID_LEADS:
+        out += [(kind, lead, "###-##-####", "", i % FOLDS) for i, lead in enumerate(leads)]
+    return out
 
 
 def _digits(value: Column) -> Column:
@@ -118,12 +170,14 @@ def features(text: Column, span: Column) -> Column:
     after = F.substring(text, span["end"] + 1, F.lit(1))
     digits = _digits(value)
     runs = F.transform(F.split(value, "[^0-9]+"), lambda r: F.length(r))
+    filled = F.filter(runs, lambda n: n > 0)
     beside = lambda c, at: F.when(c.rlike(rf"[A-Za-z0-9_]{at}" if at == "$" else "^[A-Za-z0-9_]"), 2).when(c.rlike(rf"[#$%&*/=.:~+-]{at}" if at == "$" else r"^[#$%&*/=:~+-]"), 1).otherwise(0)
     separators = [F.when(value.rlike(p), 1 << i).otherwise(0) for i, p in enumerate((r"\x20", "-", r"\.", r"[/:()\[]"))]
     out = (
-        F.length(digits), F.length(F.regexp_replace(value, "[^A-Za-z]", "")), F.array_max(runs), F.size(F.filter(runs, lambda n: n > 0)), F.size(F.array_distinct(F.split(digits, ""))),
+        F.length(digits), F.length(F.regexp_replace(value, "[^A-Za-z]", "")), F.array_max(runs), F.size(filled), F.size(F.array_distinct(F.split(digits, ""))),
         sum(separators, F.lit(0)), F.coalesce(F.substring(digits, 1, 1).try_cast("int"), F.lit(10)), beside(before, "$"), beside(after, "^"),
         before.rlike(_CUE).cast("int"), before.rlike(_NUMBER).cast("int"), F.length(_digits(before)),
+        F.coalesce(F.get(filled, F.lit(0)), F.lit(0)), F.coalesce(F.try_element_at(filled, F.lit(-1)), F.lit(0)),
     )
     return F.array(*[F.least(x.cast("int"), F.lit(31)) for x in out])
 
@@ -185,21 +239,27 @@ def fit(counts: list[tuple[str, list[int], bool, bool, int]], rounds: int = 25,
             values = tuple((rate * g / h).tolist())
             model.trees.append((kind, *cuts[i], *cuts[j], values))
             z = z + np.array(values)[where]
-        score = model.score(kind, x[held])
-        order = np.argsort(-score, kind="stable")
-        score, good, some = score[order], (n[held] * y[held])[order].cumsum(), n[held][order].cumsum()
-        model.thresholds[kind] = 2.0
-        if len(score):
-            share = good / some
-            sure = share - 2 * np.sqrt(np.maximum(share * (1 - share), 1 / some) / some) >= precision
-            ends = np.append(score[1:] != score[:-1], True) & (some >= least) & sure & (score >= 0.5)
-            if ends.any():
-                last = int(np.flatnonzero(ends)[-1])
-                model.thresholds[kind] = float(score[last]) - 1e-9
-                model.report[kind] = float(share[last]), float(good[last] / max(good[-1], 1)), int(some[-1])
+        model.thresholds[kind], figures = threshold(model.score(kind, x[held]), y[held], n[held], precision, least)
+        if figures:
+            model.report[kind] = figures
     return model
 
 
+def threshold(score: np.ndarray, label: np.ndarray, n: np.ndarray, precision: float, least: int) -> tuple[float, tuple[float, float, int] | None]:
+    """The lowest score, at least one half, from which the precision is sure, with (precision, recall, candidates) there; 2 if there is none."""
+    if not len(score):
+        return 2.0, None
+    order = np.argsort(-score, kind="stable")
+    score, good, some = score[order], (n * label)[order].cumsum(), n[order].cumsum()
+    share = good / some
+    sure = share - 2 * np.sqrt(np.maximum(share * (1 - share), 1 / some) / some) >= precision
+    ends = np.append(score[1:] != score[:-1], True) & (some >= least) & sure & (score >= 0.5)
+    if not ends.any():
+        return 2.0, None
+    last = int(np.flatnonzero(ends)[-1])
+    return float(score[last]) - 1e-9, (float(share[last]), float(good[last] / max(good[-1], 1)), int(some[-1]))
+
+
 def _located(kind: Kind, text: Column) -> Column:
     return located(text if kind.needs is None else F.when(F.contains(text, F.lit(kind.needs)), text), kind.pattern)
 
@@ -214,19 +274,23 @@ def _good(kind: Kind, text: Column) -> Column:
     return F.filter(_located(kind, text), lambda s: passes(kind.name, s["value"]))
 
 
-def planted(docs: DataFrame, contexts: int = 1500) -> DataFrame:
-    """(held, kind, at, upto, text): every form of ``PLANTED`` in a place of ``contexts`` documents, chosen by hash.
+def planted(docs: DataFrame, contexts: int = 1500, each: int = 40) -> DataFrame:
+    """(fold, kind, at, upto, text): about ``each`` of the ``forms`` in a place of ``contexts`` documents, all chosen by hash.
 
     The form's kind is null if it is no personal data; the span is at to upto.
     """
+    known = forms()
     order = F.xxhash64("doc_id", F.length("text"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text"), F.lit(1))).cast("int")
     windows = docs.where(F.length("text") > 0).select(order.alias("h"), F.substring(F.col("text"), place + 1, F.lit(80)).alias("w"))
-    lent = windows.orderBy("h", "w").limit(contexts)
-    forms = F.array(*[F.struct(F.lit(k).cast("string").alias("kind"), F.lit(t[: t.index("<")]).alias("lead"), F.lit(t[t.index("<") + 1 : t.index(">")]).alias("form"), F.lit(t[t.index(">") + 1 :]).alias("tail")) for k, t in PLANTED])
-    rows = lent.select("h", "w", F.posexplode(forms).alias("i", "f"))
-
-    def drawn(c: Column, salt: int) -> Column:
+    # The sample is one partition of the least hashes; the work on it is dealt to all tasks.
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    lent = windows.orderBy("h", "w").limit(contexts).repartition(tasks, "h", "w")
+    made = docs.sparkSession.createDataFrame([(i, *f) for i, f in enumerate(known)], "i int, kind string, lead string, form string, tail string, fold int")
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(len(known) - 1)), lambda i: F.pmod(F.xxhash64("h", i, F.lit(2)), F.lit(max(1, len(known) // each))) == 0)
+    rows = lent.select("h", "w", F.explode(chosen).alias("i")).join(F.broadcast(made), "i")
+
+    def drawn(c: str, salt: int) -> Column:
         def one(x: Column, i: Column) -> Column:
             roll = lambda n: F.pmod(F.xxhash64("h", "i", i, F.lit(salt)), F.lit(n)).cast("int")
             of = lambda chars: F.substring(F.lit(chars), roll(len(chars)) + 1, F.lit(1))
@@ -236,21 +300,40 @@ def planted(docs: DataFrame, contexts: int = 1500) -> DataFrame:
 
     # Every other place lends only white space, so that lone values are known as well.
     half = F.when(F.col("h") % 2 == 0, F.col("w")).otherwise("")
-    parts = rows.select("h", F.col("f.kind").alias("kind"), F.concat(F.substring(half, 1, 40), F.lit(" "), drawn(F.col("f.lead"), 1)).alias("left"), drawn(F.col("f.form"), 2).alias("value"), F.concat(drawn(F.col("f.tail"), 3), F.lit(" "), F.substring(half, 41, 40)).alias("right"))
-    return parts.select((F.pmod("h", F.lit(3)) == 0).alias("held"), "kind", F.length("left").alias("at"), (F.length("left") + F.length("value")).alias("upto"), F.concat("left", "value", "right").alias("text"))
+    parts = rows.select("fold", "kind", F.concat(F.substring(half, 1, 40), F.lit(" "), drawn("lead", 1)).alias("left"), drawn("form", 2).alias("value"), F.concat(drawn("tail", 3), F.lit(" "), F.substring(half, 41, 40)).alias("right"))
+    return parts.select("fold", "kind", F.length("left").alias("at"), (F.length("left") + F.length("value")).alias("upto"), F.concat("left", "value", "right").alias("text"))
 
 
-def learn(docs: DataFrame, precision: float = 0.95, contexts: int = 1500) -> Model:
-    """Fit on the candidates over planted spans."""
+def learn(docs: DataFrame, precision: float = 0.95, contexts: int = 1500, least: int = 30) -> Model:
+    """Fit on the candidates over planted spans.
+
+    Each fold of the forms is scored by trees that know the other folds only, and
+    these scores set the thresholds, so they and the ``report`` are about forms that
+    the trees have not seen.  The trees that are kept know all forms.
+    """
 
     def over(kind: Kind) -> Column:
         met = F.filter(_featured(kind, F.col("text")), lambda s: (s["start"] < F.col("upto")) & (s["end"] > F.col("at")))
         return F.transform(met, lambda s: F.struct(F.lit(kind.name).alias("kind"), s["x"].alias("x")))
 
     told = [over(kind) for kind in KINDS if not kind.base]
-    rows = planted(docs, contexts).select("held", F.col("kind").alias("is"), F.explode(F.concat(*told)).alias("c")).where("is is null or is = c.kind")
-    counts = rows.groupBy("c.kind", "c.x", F.col("is").isNotNull().alias("label"), "held").count()
-    return fit([(r[0], list(r[1]), bool(r[2]), bool(r[3]), r[4]) for r in counts.collect()], precision=precision)
+    rows = planted(docs, contexts).select("fold", F.col("kind").alias("is"), F.explode(F.concat(*told)).alias("c")).where("is is null or is = c.kind")
+    counts = rows.groupBy("c.kind", "c.x", F.col("is").isNotNull().alias("label"), "fold").count()
+    cells = sorted((r[0], list(r[1]), bool(r[2]), r[3], r[4]) for r in counts.collect())
+    apart: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for fold in range(FOLDS):
+        trained = fit([(k, x, y, False, n) for k, x, y, f, n in cells if f != fold])
+        for kind in trained.prior:
+            own = [(x, y, n) for k, x, y, f, n in cells if k == kind and f == fold]
+            if own:
+                x, y, n = (np.array(c) for c in zip(*own))
+                apart.setdefault(kind, []).append((trained.score(kind, x), y, n))
+    model = fit([(k, x, y, False, n) for k, x, y, _, n in cells])
+    for kind, parts in apart.items():
+        model.thresholds[kind], figures = threshold(*(np.concatenate(c) for c in zip(*parts)), precision, least)
+        if figures:
+            model.report[kind] = figures
+    return model
 
 
 def _apart(spans: Column) -> Column:
