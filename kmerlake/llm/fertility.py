@@ -10,8 +10,7 @@ Bands come from the corpus: for each language, and for each script, histograms o
 the measures over all texts that pass the base give the quartiles, and a band
 reaches some interquartile ranges beyond them (``REACH``).  Quartiles do not move
 much while less than a quarter of the texts is odd on one side.  A language with
-fewer than ``least`` texts, or beyond the ``most_languages`` most frequent ones, has
-its script's band; a script with too few texts has the stated band of ``BANDS``.
+fewer than ``least`` texts has its script's band; a script with too few texts has the stated band of ``BANDS``.
 
 A word's tokens are those of the word encoded on its own, so each task encodes a
 distinct word once and the rest is array work over word numbers.  Only histogram
@@ -30,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from kmerlake.llm.bytewords import SPACE, U64, Words, mix, pieces
-from kmerlake.llm.tables import bounded, cut
+from kmerlake.llm.tables import bounded, cut, near, small
 
 #: Bands of scripts with too few texts to learn from: least and most characters
 #: per token, most byte-fallback share, least share of the possible entropy.
@@ -62,8 +62,8 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 BASE_FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean")]
 MORE_FIELDS = [("n_tokens", "long"), ("chars_per_token", "double"), ("byte_share", "double"), ("token_entropy", "double"), ("entropy_share", "double"), ("script", "string")]
+_TYPES = {"long": LongType, "double": DoubleType, "string": StringType, "boolean": BooleanType}
 _KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-Bands = dict[tuple[str, str | None], tuple[float, float, float, float]]
 
 
 def repeated_lines(text: bytes) -> int:
@@ -166,80 +166,86 @@ class Meter:
         return np.bincount(row[mark], minlength=rows)
 
 
-def measures(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, lang and the measures of each row."""
+#: Columns of measures beside those of the documents; no document column is named so.
+_P = "_fertility_"
+
+
+def measured_rows(docs: DataFrame, model_file: str, columns: list[str]) -> DataFrame:
+    """``columns`` of each row, its language and its measures (names with ``_P``)."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     fields = BASE_FIELDS + MORE_FIELDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = Meter(model_file)
         for batch in batches:
-            for piece in pieces(batch):
-                got = meter.measure(piece.column("text"))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("lang"), *(pa.array(got[n], _KINDS[t]) for n, t in fields)], ["doc_id", "lang", *(n for n, _ in fields)])
+            for piece in pieces(batch, f"{_P}text"):
+                got = meter.measure(piece.column(f"{_P}text"))
+                kept = [piece.column(i) for i in range(len(columns) + 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(got[n], _KINDS[t]) for n, t in fields)], [*columns, f"{_P}lang", *(_P + n for n, _ in fields)])
+
+    given = bounded(docs).select(*[F.col(f"`{c}`") for c in columns], lang.alias(f"{_P}lang"), F.col("text").alias(f"{_P}text"))
+    out = StructType([*given.schema.fields[:-1], *(StructField(_P + n, _TYPES[t]()) for n, t in fields)])
+    return given.mapInArrow(run, out)
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text").mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{n} {t}" for n, t in fields))
 
+def learn_bands(measured: DataFrame, least: int = 100) -> DataFrame:
+    """(script, lang, low, high, most_bytes, least_entropy), lang null for a script's band, from the rows of ``measured_rows`` that pass the base.
 
-def learn_bands(measured: DataFrame, least: int = 100, most_languages: int = 500) -> Bands:
-    """(script, language or None) to its band, from the rows of ``measures`` that pass the base."""
-    of = F.array(F.struct("script", F.lit(None).cast("string").alias("lang")), F.struct("script", "lang"))
-    groups = F.explode(F.when(F.col("lang").isNull(), F.slice(of, 1, 1)).otherwise(of))
-    good = measured.where("not base_failed").select(groups.alias("g"), *REACH)
+    A row for each language with ``least`` texts or more, however many there are.
+    """
+    script, lang = F.col(f"{_P}script").alias("script"), F.col(f"{_P}lang").alias("lang")
+    of = F.array(F.struct(script, F.lit(None).cast("string").alias("lang")), F.struct(script, lang))
+    groups = F.explode(F.when(lang.isNull(), F.slice(of, 1, 1)).otherwise(of))
+    good = measured.where(~F.col(f"{_P}base_failed")).select(groups.alias("g"), *[F.col(_P + m).alias(m) for m in REACH])
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * _BIN).cast("long").alias("bin")) for m in REACH]))
     counted = good.select("g.*", cells.alias("c")).groupBy("script", "lang", "c.measure", "c.bin").count()
     own = Window.partitionBy("script", "lang", "measure")
     placed = counted.withColumns({"upto": F.sum("count").over(own.orderBy("bin")), "total": F.sum("count").over(own)})
     quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) / _BIN
-    found = placed.where(F.col("total") >= least).groupBy("script", "lang", "measure").agg(quartile(0.25).alias("a"), quartile(0.75).alias("b"), F.first("total").alias("total"))
-    per = found.groupBy("script", "lang").agg(F.first("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("measure", F.struct("a", "b")))).alias("m"))
-    bands: Bands = {}
-    for r in per.orderBy(F.col("lang").isNotNull(), F.desc("total"), "script", "lang").limit(most_languages + len(BANDS)).collect():
-        out = {}
-        for name, (reach, narrowest) in REACH.items():
-            a, b = r.m[name]
-            out[name] = a - reach * max(b - a, narrowest), b + reach * max(b - a, narrowest)
-        bands[r.script, r.lang] = out["chars_per_token"][0], out["chars_per_token"][1], out["byte_share"][1], out["entropy_share"][0]
-    return bands
-
-
-def within(got: dict, langs: list[str | None], bands: Bands) -> np.ndarray:
-    """Whether each text passes the base and lies in the band of its language, else of its script."""
-    band = [bands.get((s, g)) or bands.get((s, None)) or BANDS[s] for s, g in zip(got["script"], langs)]
-    low, high, most_bytes, least_entropy = np.array(band, np.float64).reshape(-1, 4).T
-    per, share, entropy, failed = (np.asarray(got[n]) for n in ("chars_per_token", "byte_share", "entropy_share", "base_failed"))
-    return ~failed.astype(bool) & (per >= low) & (per <= high) & (share <= most_bytes) & (entropy >= least_entropy)
-
-
-def text_quality(docs: DataFrame, model_file: str, bands: Bands | None = None) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and the fertility measures of each row."""
-    measured = cut(measures(docs, model_file))
-    bands = learn_bands(measured) if bands is None else bands
-    names = [n for n, _ in BASE_FIELDS + MORE_FIELDS]
+    found = placed.where(F.col("total") >= least).groupBy("script", "lang", "measure").agg(quartile(0.25).alias("a"), quartile(0.75).alias("b"))
+    per = found.groupBy("script", "lang").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("a", "b")))).alias("m"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = {n: batch.column(n).to_pylist() if n == "script" else batch.column(n).to_numpy(zero_copy_only=False) for n in names}
-            kept = within(got, batch.column("lang").to_pylist(), bands)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in first), pa.array(kept), *(batch.column(n) for n, _ in MORE_FIELDS)], [*first, "kept", *(n for n, _ in MORE_FIELDS)])
+    def end(measure: str, side: int) -> Column:
+        reach, narrowest = REACH[measure]
+        q = F.try_element_at("m", F.lit(measure))
+        return q["ab"[side > 0]] + side * reach * F.greatest(q["b"] - q["a"], F.lit(narrowest))
 
-    first = ["doc_id", *(n for n, _ in BASE_FIELDS)]
-    schema = "doc_id long, " + ", ".join(f"{n} {t}" for n, t in [*BASE_FIELDS, ("kept", "boolean"), *MORE_FIELDS])
-    return measured.mapInArrow(run, schema)
+    return per.select("script", "lang", end("chars_per_token", -1).alias("low"), end("chars_per_token", 1).alias("high"), end("byte_share", 1).alias("most_bytes"), end("entropy_share", -1).alias("least_entropy"))
 
 
-def keep_quality(docs: DataFrame, model_file: str, bands: Bands | None = None) -> DataFrame:
-    """The documents that pass the base and the bands, columns unchanged.
+def judged(measured: DataFrame, bands: DataFrame) -> DataFrame:
+    """``measured`` with ``_P`` kept: whether each text passes the base and lies in the band of its language, else of its script.
 
-    Learning the bands reads the texts once, filtering once more.
+    The bands go to the tasks if they are few (counted); else they are joined.
     """
-    bands = learn_bands(cut(measures(docs, model_file))) if bands is None else bands
+    bands = near(bands)
+    whole = bands.where("lang is null").select(F.col("script").alias(f"{_P}of"), F.struct(*_ENDS).alias(f"{_P}whole"))
+    own = bands.where("lang is not null").select(F.col("script").alias(f"{_P}own_of"), F.col("lang").alias(f"{_P}own_lang"), F.struct(*_ENDS).alias(f"{_P}own"))
+    sent = F.broadcast if small(bands) else (lambda x: x)
+    met = measured.join(sent(own), (F.col(f"{_P}script") == F.col(f"{_P}own_of")) & (F.col(f"{_P}lang") == F.col(f"{_P}own_lang")), "left").join(sent(whole), F.col(f"{_P}script") == F.col(f"{_P}of"), "left")
+    stated = F.create_map(*[x for name, band in BANDS.items() for x in (F.lit(name), F.struct(*[F.lit(v).alias(n) for v, n in zip(band, _ENDS)]))])
+    band = F.coalesce(f"{_P}own", f"{_P}whole", F.try_element_at(stated, F.col(f"{_P}script")))
+    m = lambda name: F.col(_P + name)
+    kept = ~m("base_failed") & (m("chars_per_token") >= band["low"]) & (m("chars_per_token") <= band["high"]) & (m("byte_share") <= band["most_bytes"]) & (m("entropy_share") >= band["least_entropy"])
+    return met.select(*measured.columns, kept.alias(f"{_P}kept"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = Meter(model_file)
-        for batch in batches:
-            for piece in pieces(batch):
-                langs = piece.column("lang").cast(pa.string()).to_pylist() if "lang" in piece.schema.names else [None] * piece.num_rows
-                yield piece.filter(pa.array(within(meter.measure(piece.column("text")), langs, bands)))
 
-    return bounded(docs).mapInArrow(run, docs.schema)
+_ENDS = ("low", "high", "most_bytes", "least_entropy")
+
+
+def text_quality(docs: DataFrame, model_file: str, bands: DataFrame | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and the fertility measures of each row."""
+    measured = cut(measured_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model_file, ["doc_id"]))
+    told = judged(measured, learn_bands(measured) if bands is None else bands)
+    return told.select("doc_id", *[F.col(_P + n).alias(n) for n in (*(n for n, _ in BASE_FIELDS), "kept", *(n for n, _ in MORE_FIELDS))])
+
+
+def keep_quality(docs: DataFrame, model_file: str, bands: DataFrame | None = None) -> DataFrame:
+    """The documents that pass the base and the bands, columns unchanged.
+
+    The texts are measured once; what was measured is written beside them, the
+    bands are learned from it, and the verdict reads it again.
+    """
+    measured = cut(measured_rows(docs, model_file, docs.columns))
+    told = judged(measured, learn_bands(measured) if bands is None else bands)
+    return told.where(F.col(f"{_P}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
