@@ -18,8 +18,8 @@ def check_k(k: int, flank: int = 0) -> int:
 
 
 def normalise(seq: Column) -> Column:
-    """Upper case without white space."""
-    return F.upper(F.regexp_replace(seq, r"\s", ""))
+    """Upper case without white space: U is read as T, ``.`` and ``~`` as gaps, IUPAC codes stay, anything else becomes N."""
+    return F.regexp_replace(F.translate(F.upper(F.regexp_replace(seq, r"\s", "")), "U.~", "T--"), "[^ACGTNBDHVRYSWKM-]", "N")
 
 
 def complement(bases: Column) -> Column:

@@ -82,9 +82,21 @@ def _cells(value: Column) -> Column:
     return F.split(F.regexp_replace(value, "\r$", ""), "\t")
 
 
-def marker_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, cells) of the lines that are neither empty nor comments."""
-    return _lines(spark, path).where((F.trim("value") != "") & ~F.startswith(F.trim("value"), F.lit("#"))).select("ordinal", _cells(F.col("value")).alias("cells"))
+def _quoted_cells(value: Column) -> Column:
+    """Cells of a line in which a cell may stand in double quotes (a doubled one is a quote) and then hold tabs."""
+    found = F.regexp_extract_all(F.concat(F.regexp_replace(value, "\r$", ""), F.lit("\t")), F.lit('("(?:[^"]|"")*"[^\\t]*|[^\\t]*)\\t'), F.lit(1))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, '^"((?:[^"]|"")*)"', "$1"), '""', '"')
+    return F.transform(found, lambda c: F.when(F.startswith(c, F.lit('"')), bare(c)).otherwise(c))
+
+
+def marker_lines(spark: SparkSession, path: str, quoted: bool = False) -> DataFrame:
+    """(ordinal, cells) of the lines that are neither empty nor comments.
+
+    ``quoted``: cells may be quoted, as in marker files for assemblies; a quoted
+    cell lies within its line.
+    """
+    cells = _quoted_cells(F.col("value")) if quoted else _cells(F.col("value"))
+    return _lines(spark, path).where((F.trim("value") != "") & ~F.startswith(F.trim("value"), F.lit("#"))).select("ordinal", cells.alias("cells"))
 
 
 def levels_and_notes(cells: Column) -> tuple[Column, Column]:
@@ -100,8 +112,12 @@ def parse_markers(rows: DataFrame) -> DataFrame:
     """(marker_id, pos, ref, alt, levels, notes) from (ordinal, cells), for assemblies.
 
     Rows with fewer than four cells, a position that is no whole number or an
-    empty allele are skipped.
+    empty allele are skipped.  A cell ``L2;L2.2`` is two levels here.
     """
+    return _parsed(rows).withColumn("levels", F.flatten(F.transform("levels", lambda c: F.split(c, ";"))))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
     levels, notes = levels_and_notes(F.col("cells"))
     cell = lambda i: F.trim(F.get("cells", F.lit(i)))
     out = rows.where(F.size("cells") >= 4).select("ordinal", cell(0).try_cast("int").alias("pos"), F.upper(cell(1)).alias("ref"), F.upper(cell(2)).alias("alt"), levels.alias("levels"), notes.alias("notes"))
@@ -111,13 +127,13 @@ def parse_markers(rows: DataFrame) -> DataFrame:
 def parse_read_markers(rows: DataFrame, strict_header: bool = False) -> DataFrame:
     """The same for reads: variants that change the length are skipped, and so is a header.
 
-    The first line counts as a header when it holds ``pos``, ``lineage`` or
+    A cell ``L2;L2.2`` is one level here.  The first line counts as a header when it holds ``pos``, ``lineage`` or
     ``ref``; with ``strict_header`` only when its position is no number.
     """
     first = rows.agg(F.min("ordinal")).scalar()
     text = F.lower(F.array_join("cells", "\t"))
     header = F.get("cells", F.lit(0)).try_cast("int").isNull() if strict_header else text.rlike("pos|lineage|ref")
-    return parse_markers(rows.where(~((F.col("ordinal") == first) & header))).where(F.length("ref") == F.length("alt"))
+    return _parsed(rows.where(~((F.col("ordinal") == first) & header))).where(F.length("ref") == F.length("alt"))
 
 
 def gff(spark: SparkSession, path: str) -> DataFrame:
@@ -160,20 +176,55 @@ def with_annotation(genomes: DataFrame, annotations: DataFrame, shared: str | No
     return joined.withColumn("gff", F.coalesce("_own", F.lit(shared))).drop("_stem", "_own")
 
 
-def sample_list(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """(sample, paths) of a small list: a header line is skipped, a sample named twice is an error."""
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, in any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _listed(spark: SparkSession, path: str) -> list[list[str]]:
+    """Cells of a small list without comments, empty lines and a header."""
     rows = [[c.strip() for c in r.value.rstrip("\r").split("\t")] for r in spark.read.text(path).collect() if r.value.strip() and not r.value.lstrip().startswith("#")]
-    if rows and rows[0][0].lower() in ("sample", "name", "sample_name", "genome"):
-        rows = rows[1:]
+    return rows[1:] if rows and rows[0][0].lower() in ("sample", "name", "sample_name", "genome") else rows
+
+
+def sample_list(spark: SparkSession, path: str, check: bool = False) -> list[tuple[str, list[str]]]:
+    """(sample, paths) of a small list: a header line is skipped, a sample named twice is an error, and with ``check`` a missing file."""
     out: dict[str, list[str]] = {}
-    for name, *paths in rows:
+    for name, *paths in _listed(spark, path):
         if name in out:
             raise ValueError(f"sample {name} is listed twice")
         if not any(paths):
             raise ValueError(f"sample {name} has no file")
         out[name] = [p for p in paths if p]
+        for p in out[name] if check else ():
+            if not present(spark, p):
+                raise FileNotFoundError(f"{p} of sample {name} is not there")
     return list(out.items())
 
 
+def assembly_list(spark: SparkSession, path: str, shared: str | None = None) -> DataFrame:
+    """(sample, path, gff) of a list of assemblies with an optional column of annotation files; without an own one a sample has the shared one.
+
+    Every file must be there.
+    """
+    rows = []
+    for name, paths in sample_list(spark, path, check=True):
+        if len(paths) > 2:
+            raise ValueError(f"sample {name} has more than a sequence and an annotation")
+        rows.append((name, paths[0], paths[1] if len(paths) > 1 else shared))
+    return spark.createDataFrame(rows, "sample string, path string, gff string")
+
+
+def pooled_list(spark: SparkSession, path: str) -> list[str]:
+    """All paths of a list of read files in order, each once; names count for nothing, every file must be there."""
+    paths = list(dict.fromkeys(p for _, *own in _listed(spark, path) for p in own if p))
+    for p in paths:
+        if not present(spark, p):
+            raise FileNotFoundError(f"{p} is not there")
+    return paths
+
+
 def result_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True)

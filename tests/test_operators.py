@@ -324,6 +324,37 @@ def test_sinks(spark, tmp_path):
     assert files.result_table(spark, str(tmp_path / "t")).count() == 3
 
 
+def test_quoted_cells_and_levels_in_a_cell(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text('10\tA\tC\tL2;L2.2\t"L3\tx"\t\t"say ""hi"""\n11\t"A"\tG\tL1\r\n')
+    quoted = files.parse_markers(files.marker_lines(spark, str(tmp_path / "m.tsv"), quoted=True)).orderBy("pos").collect()
+    assert [(r.pos, r.ref, r.levels, r.notes) for r in quoted] == [(10, "A", ["L2", "L2.2", "L3\tx"], ['say "hi"']), (11, "A", ["L1"], [])]
+    (tmp_path / "r.tsv").write_text("10\tA\tC\tL2;L2.2\tL3\n")
+    lines = files.marker_lines(spark, str(tmp_path / "r.tsv"))
+    assert files.parse_markers(lines).first().levels == ["L2", "L2.2", "L3"] and files.parse_read_markers(lines).first().levels == ["L2;L2.2", "L3"]
+
+
+def test_lists_of_samples(spark, tmp_path):
+    for name in ("a.fa", "b.fa", "b.gff"):
+        (tmp_path / name).write_text("x")
+    at = lambda n: str(tmp_path / n)
+    (tmp_path / "l.tsv").write_text(f"sample\tfasta\tgff\na\t{at('a.fa')}\nb\t{at('b.fa')}\t{at('b.gff')}\n")
+    assert rows(files.assembly_list(spark, at("l.tsv"), "all.gff")) == [("a", at("a.fa"), "all.gff"), ("b", at("b.fa"), at("b.gff"))]
+    assert files.pooled_list(spark, at("l.tsv")) == [at("a.fa"), at("b.fa"), at("b.gff")]
+    (tmp_path / "m.tsv").write_text(f"a\t{at('none.fa')}\n")
+    for read in (files.assembly_list, files.pooled_list):
+        with pytest.raises(FileNotFoundError, match="none.fa"):
+            read(spark, at("m.tsv"))
+
+
+def test_labels_and_sequences_that_are_odd(spark):
+    codes = spark.createDataFrame([("x", 0), ("y", 1)], "label string, code int")
+    frame = spark.createDataFrame([(1, "y"), (2, None), (3, "x")], "seq int, lineage string")
+    assert rows(M.encoded(frame, codes, "lineage")) == [(1, "y", 1), (2, None, None), (3, "x", 0)]
+    with pytest.raises(Exception, match="unseen label: z"):
+        M.encoded(frame.withColumn("lineage", F.lit("z")), codes, "lineage").collect()
+    assert spark.range(1).select(S.normalise(F.lit("ac gu\nRyn.~-*j"))).first()[0] == "ACGTRYN---NN"
+
+
 def test_no_two_samples_share_a_file_name(spark):
     names = ["a b", "a/b", "a_b_2", "a_b_3", "a.b", ".._x_", "x", "", "__", "é", None, "a_b_02", "a?b", "sample_2"]
     got = {r.sample: r.file_name for r in sinks.safe_names(spark.createDataFrame([(n,) for n in names], "sample string")).collect()}
