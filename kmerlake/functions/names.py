@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Patterns of read-pair names in the order they are tried, and of read suffixes, fixed values; {} stands for the read's number.
 PAIRS = (r"^(.+?)_R{}_\d+\.", r"^(.+?)_R{}[._]", r"^(.+?)_{}\.", r"^(.+?)\.{}\.")
@@ -46,6 +46,31 @@ def forced_pairs(paths: list[str]) -> list[tuple[str, str]]:
     return list(zip(paths[::2], paths[1::2]))
 
 
+def single_files(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(sample, files) of files that are samples of their own; two files of one name are an error."""
+    return _distinct(paths.select(sample_name(F.col(path)).alias("sample"), F.array(path).alias("files")))
+
+
+def forced_samples(paths: DataFrame, path: str = "path", order: str = "ordinal") -> DataFrame:
+    """(sample, files, agree) of files two by two in order, named by the first; ``agree`` tells whether both have that name.
+
+    An odd number of files or two pairs of one name are an error.
+    """
+    if paths.count() % 2:
+        raise ValueError("an odd number of files cannot be paired")
+    numbered = paths.select(F.col(path).alias("path"), (F.row_number().over(W.orderBy(order)) - 1).alias("n"))  # a list of files, not reads
+    pairs = numbered.groupBy(F.floor(F.col("n") / 2).alias("pair")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "path"))), lambda x: x["path"]).alias("files"))
+    first, second = sample_name(F.col("files")[0]), sample_name(F.col("files")[1])
+    return _distinct(pairs.select(first.alias("sample"), "files", (first == second).alias("agree")))
+
+
+def _distinct(samples: DataFrame) -> DataFrame:
+    twice = samples.groupBy("sample").count().where("count > 1").orderBy("sample").first()
+    if twice:
+        raise ValueError(f"{twice['count']} inputs are named {twice.sample}; list them with names of their own")
+    return samples
+
+
 def unique_names(names: list[str]) -> list[str]:
     """Names with ``_2``, ``_3`` and so on for those that came before."""
     taken: set[str] = set()

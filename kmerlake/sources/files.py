@@ -162,6 +162,16 @@ def coding_genes(features: DataFrame) -> DataFrame:
     return features.where("type = 'CDS'").select("start", "stop", "strand", F.coalesce(attribute(a, "gene"), attribute(a, "locus_tag", "Name", "ID"), F.lit("Unknown")).alias("id"))
 
 
+#: Types of features that a viewer shows and which comes first, fixed values.
+TYPE_PRIORITY = {"cds": 0, "gene": 1, "mrna": 2, "transcript": 2, "orf": 3}
+
+
+def shown_features(features: DataFrame) -> DataFrame:
+    """The features of the types in ``TYPE_PRIORITY`` (whatever their case) with their ``priority``, as ``annotate.best_feature`` takes them."""
+    table = F.create_map(*[F.lit(x) for pair in TYPE_PRIORITY.items() for x in pair])
+    return features.withColumn("priority", F.try_element_at(table, F.lower(F.trim("type")))).where("priority is not null")
+
+
 def feature_label(attributes: Column, chosen: str = "") -> Column:
     """The label a feature shows: the chosen attribute, else the usual names in turn."""
     order = ([chosen] if chosen else []) + ["locus_tag", "gene", "Name", "product", "ID"]

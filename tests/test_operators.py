@@ -1,6 +1,7 @@
 """Operators on hand-made cases."""
 
 import random
+import warnings
 import re
 
 import numpy as np
@@ -346,6 +347,33 @@ def test_lists_of_samples(spark, tmp_path):
             read(spark, at("m.tsv"))
 
 
+def test_files_without_detection_and_forced_pairs(spark):
+    paths = spark.createDataFrame([(0, "a/S1_R1.fastq.gz"), (1, "a/S1_R2.fastq.gz"), (2, "b/x.fq"), (3, "b/y.fq")], "ordinal int, path string")
+    with pytest.raises(ValueError, match="S1"):
+        names.single_files(paths)
+    assert rows(names.single_files(paths.where("ordinal > 1"))) == [("x", ["b/x.fq"]), ("y", ["b/y.fq"])]
+    assert rows(names.forced_samples(paths)) == [("S1", ["a/S1_R1.fastq.gz", "a/S1_R2.fastq.gz"], True), ("x", ["b/x.fq", "b/y.fq"], False)]
+    with pytest.raises(ValueError, match="odd"):
+        names.forced_samples(paths.limit(3))
+
+
+def test_shown_features(spark):
+    frame = spark.createDataFrame([("CDS",), ("mRNA",), ("exon",), ("ORF",), (None,)], "type string")
+    assert rows(files.shown_features(frame)) == [("CDS", 0), ("ORF", 3), ("mRNA", 2)]
+
+
+def test_a_model_of_another_version_warns(spark, tmp_path, monkeypatch):
+    model = spark.createDataFrame([(0, 0, -1, 0.0, -1, -1, 0)], "tree int, node int, feature int, threshold double, left int, right int, cls int")
+    codes = spark.createDataFrame([("x", 0)], "label string, code int")
+    M.save(model, codes, str(tmp_path / "m"), 9)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert M.load(spark, str(tmp_path / "m"))[2] == 9
+    monkeypatch.setattr(M, "VERSION", "other")
+    with pytest.warns(UserWarning, match="was written by"):
+        M.load(spark, str(tmp_path / "m"))
+
+
 def test_labels_and_sequences_that_are_odd(spark):
     codes = spark.createDataFrame([("x", 0), ("y", 1)], "label string, code int")
     frame = spark.createDataFrame([(1, "y"), (2, None), (3, "x")], "seq int, lineage string")
