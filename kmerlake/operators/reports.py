@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kmerlake.operators.annotate import first_gene, with_amino_change
 from kmerlake.operators.refstore import ReferenceStore
 from kmerlake.operators.scan import assembly_hits
-from kmerlake.sources.sinks import four_places
+from kmerlake.sources.sinks import four_places, write_per_sample
 
 #: Columns of the reports, fixed values.
 DETAIL = ("genome", "k-mer", "k-merPOS", "SNPgenome", "SNPreference", "REF", "ALT", "lineage", "Gene", "Gene_Start", "Gene_End", "AA_Pos", "AA_Change")
@@ -93,3 +93,13 @@ def mutation_lines(table: DataFrame, group: str = "sample") -> DataFrame:
     """(group, value): the rows of a mutation table as text, each with as many cells as it has annotations."""
     cells = F.array(*[F.col(c).cast("string") for c in MUTATIONS])
     return table.select(group, F.array_join(F.concat(cells, F.coalesce("notes", F.array().cast("array<string>"))), "\t", "").alias("value"))
+
+
+def write_mutations(table: DataFrame, path: str, samples: DataFrame | None = None, group: str = "sample") -> None:
+    """A mutation table as a file for each sample, by position; samples (``group``) without a mutation get the head alone."""
+    cells = F.array(*[F.col(c).cast("string") for c in MUTATIONS])
+    lines = table.select(group, "pos", F.array_join(F.concat(cells, F.coalesce("notes", F.array().cast("array<string>"))), "\t", "").alias("value"))
+    if samples is not None:
+        bare = samples.select(group).distinct().join(lines.select(group).distinct(), group, "left_anti")
+        lines = lines.unionByName(bare.withColumns({"pos": F.lit(None).cast(dict(lines.dtypes)["pos"]), "value": F.lit(None).cast("string")}))
+    write_per_sample(lines, path, ["pos", "value"], name=group, head="\t".join(MUTATIONS))
