@@ -15,6 +15,7 @@ PREDICTIONS = ("Header", "Predicted_Lineage", "Confidence", "Confidence_Margin",
 MATCH = ("Query_Files", "Best_Match_Reference", "Shared_Kmer_Fraction")
 IMPORTANCE = ("rank", "bucket", "split_count", "importance_pct", "kmers")
 MUTATIONS = ("pos", "ref_allele", "alt_allele", "ref_count", "alt_count", "alt_fraction", "lineage_path")
+EXTRA = "extra_annotations..."
 
 
 def named_contigs(records: DataFrame, mode: str) -> DataFrame:
@@ -102,4 +103,4 @@ def write_mutations(table: DataFrame, path: str, samples: DataFrame | None = Non
     if samples is not None:
         bare = samples.select(group).distinct().join(lines.select(group).distinct(), group, "left_anti")
         lines = lines.unionByName(bare.withColumns({"pos": F.lit(None).cast(dict(lines.dtypes)["pos"]), "value": F.lit(None).cast("string")}))
-    write_per_sample(lines, path, ["pos", "value"], name=group, head="\t".join(MUTATIONS))
+    write_per_sample(lines, path, ["pos", "value"], name=group, head="\t".join((*MUTATIONS, EXTRA)))

@@ -328,7 +328,7 @@ def test_sinks(spark, tmp_path):
 def test_mutation_files(spark, tmp_path):
     calls = spark.createDataFrame([("a/1", 20, "A", "C", 1, 99, 99.0, ["L1"], ["x", "y"]), ("a/1", 7, "G", "T", 0, 10, 100.0, ["L1", "L1.1"], None)], "sample string, pos int, ref string, alt string, ref_count long, alt_count long, alt_percent double, levels array<string>, notes array<string>")
     reports.write_mutations(reports.mutation_table(calls), str(tmp_path / "m"), spark.createDataFrame([("a/1",), ("b",)], "sample string"))
-    head = "\t".join(reports.MUTATIONS) + "\n"
+    head = "\t".join(reports.MUTATIONS) + "\textra_annotations...\n"
     assert {p.name: p.read_text() for p in (tmp_path / "m").iterdir()} == {"a_1_mutations.tsv": head + "7\tG\tT\t0\t10\t100.00\tL1;L1.1\n20\tA\tC\t1\t99\t99.00\tL1\tx\ty\n", "b_mutations.tsv": head}
 
 
