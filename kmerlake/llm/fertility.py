@@ -243,9 +243,10 @@ def text_quality(docs: DataFrame, model_file: str, bands: DataFrame | None = Non
 def keep_quality(docs: DataFrame, model_file: str, bands: DataFrame | None = None) -> DataFrame:
     """The documents that pass the base and the bands, columns unchanged.
 
-    The texts are measured once; what was measured is written beside them, the
-    bands are learned from it, and the verdict reads it again.
+    Learning the bands reads the texts once, filtering once more: writing them
+    beside their measures would save the second measuring and cost their size in
+    disk and a third more of an executor's memory.
     """
-    measured = cut(measured_rows(docs, model_file, docs.columns))
-    told = judged(measured, learn_bands(measured) if bands is None else bands)
+    bands = learn_bands(cut(measured_rows(docs, model_file, []))) if bands is None else bands
+    told = judged(measured_rows(docs, model_file, docs.columns), bands)
     return told.where(F.col(f"{_P}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
