@@ -144,7 +144,7 @@ def base_snps(variants: DataFrame, reference: ReferenceStore | str) -> DataFrame
 
 
 def literature_grade(confidence: Column) -> Column:
-    """Free text on confidence as a grade; its case counts.  Text that says nothing is ``TBProfiler_literature``."""
+    """Free text on confidence as a grade; its case counts.  Text that says nothing is ``TBProfiler_literature``.  The texts looked for and the grades are fixed values."""
     has = lambda x: F.contains(F.coalesce(confidence, F.lit("")), F.lit(x))
     grade = lambda interim, plain: F.when(has("Interim"), interim).otherwise(plain)
     return (

@@ -48,21 +48,21 @@ def _trained(spark: SparkSession, sf_dir: str, part: str | None = None) -> tuple
     docs = X.table(spark, sf_dir, "documents").select("doc_id", "lang")
     if part:
         docs = M.holdout_split(docs, "doc_id", 0.2).where(part)
-    labels = docs.join(F.broadcast(_codes(spark, sf_dir)), F.col("lang") == F.col("label")).select(F.col("doc_id").alias("seq"), "code")
+    labels = docs.join(_codes(spark, sf_dir), F.col("lang") == F.col("label")).select(F.col("doc_id").alias("seq"), "code")
     return cells, labels, M.train(cells, labels, TREES, DEPTH, LEAF)
 
 
 @query()
 def forest_train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels, model = _trained(spark, sf_dir, "not is_test")
-    every = X.table(spark, sf_dir, "documents").join(F.broadcast(_codes(spark, sf_dir)), F.col("lang") == F.col("label")).select(F.col("doc_id").alias("seq"), "code")
+    every = X.table(spark, sf_dir, "documents").join(_codes(spark, sf_dir), F.col("lang") == F.col("label")).select(F.col("doc_id").alias("seq"), "code")
     return M.accuracy(M.votes(cells, model), every.join(labels, "seq", "left_anti")).select(F.lit(TREES).alias("trees"), F.col("n").alias("tested"), F.col("accuracy").alias("test_accuracy"))
 
 
 @query()
 def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, _, model = _trained(spark, sf_dir)
-    return M.vote_summary(M.votes(cells, model).join(F.broadcast(_codes(spark, sf_dir)), "code").select("seq", F.col("label").alias("cls")))
+    return M.vote_summary(M.votes(cells, model).join(_codes(spark, sf_dir), "code").select("seq", F.col("label").alias("cls")))
 
 
 @query()
