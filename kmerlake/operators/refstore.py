@@ -74,9 +74,9 @@ def with_bases(df: DataFrame, reference: ReferenceStore | str, start: Column, le
     first = F.when(known, F.greatest(start, F.lit(0))).cast("long")
     size = F.when(known, F.greatest(start + length - first, F.lit(0))).cast("int")
     checked = F.when(size > store.overlap + 1, F.raise_error(F.concat(F.lit("a window of "), size.cast("string"), F.lit(" bases is longer than the reference store's overlap"))).cast("int")).otherwise(size)
-    asked = df.withColumns({"_first": first, "_size": checked}).withColumn("_tile", F.floor(F.col("_first") / store.width))
-    tiles = store.tiles.select(F.col("tile").alias("_tile"), F.col("bases").alias("_of_tile"))
+    asked = df.withColumns({"_store_first": first, "_store_size": checked}).withColumn("_store_tile", F.floor(F.col("_store_first") / store.width))
+    tiles = store.tiles.select(F.col("tile").alias("_store_tile"), F.col("bases").alias("_store_bases"))
     if store.length * (store.width + store.overlap) <= BROADCAST_BASES * store.width:
         tiles = F.broadcast(tiles)
-    found = F.substring(F.col("_of_tile"), (F.col("_first") - F.col("_tile") * store.width + 1).cast("int"), F.col("_size"))
-    return asked.join(tiles, "_tile", "left").withColumn(name, F.when(F.col("_first").isNotNull(), F.coalesce(found, F.lit("")))).drop("_tile", "_first", "_size", "_of_tile")
+    found = F.substring(F.col("_store_bases"), (F.col("_store_first") - F.col("_store_tile") * store.width + 1).cast("int"), F.col("_store_size"))
+    return asked.join(tiles, "_store_tile", "left").withColumn(name, F.when(F.col("_store_first").isNotNull(), F.coalesce(found, F.lit("")))).drop("_store_tile", "_store_first", "_store_size", "_store_bases")
