@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kmerlake.functions.seq import clean_revcomp, revcomp
 from kmerlake.operators.prefix import running
 from kmerlake.operators.refstore import ReferenceStore, stored, with_bases
+from kmerlake.operators.stage import written
 
 #: The standard genetic code in T, C, A, G order of the three bases, fixed values.
 _BASES = "TCAG"
@@ -144,10 +145,12 @@ def merged_ranges(ranges: DataFrame, group: list[str], start: str = "start", sto
     """
     kinds = dict(ranges.dtypes)
     sound = ranges.where(F.col(start).isNotNull() & F.col(stop).isNotNull()).select(*group, F.col(start).cast("long").alias("_from"), F.col(stop).cast("long").alias("_to"))
-    reached = running(sound, group, ["_from", "_to"], {"_reach": ("max", "_to")}, before=True, parts=parts)
+    # Of ranges with one start the longest covers the others.  No ties are left, so both passes see one order.
+    sound = written(sound.groupBy(*group, "_from").agg(F.max("_to").alias("_to")))
+    reached = running(sound, group, ["_from"], {"_reach": ("max", "_to")}, before=True, parts=parts)
     opened = reached.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("_from") > F.col("_reach")), F.col("_from")))
     # Islands lie apart, so the latest start of one tells it from the others.
-    placed = running(opened.drop("_reach"), group, ["_from", "_to"], {"_island": ("max", "_new")}, parts=parts)
+    placed = running(opened.drop("_reach"), group, ["_from"], {"_island": ("max", "_new")}, parts=parts)
     return placed.groupBy(*group, "_island").agg(F.min("_from").cast(kinds[start]).alias(start), F.max("_to").cast(kinds[stop]).alias(stop)).drop("_island")
 
 
