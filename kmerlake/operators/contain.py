@@ -18,9 +18,15 @@ def without_noise(counts: DataFrame, least: int = 2, gate: int = 100_000) -> Dat
     return counts.where((distinct <= gate) | (F.col("n") >= least))
 
 
-def containment(counts: DataFrame, references: DataFrame, k: int) -> DataFrame:
-    """(ref_id, shared, total, score) of every reference; ``references`` has ref_id and seq."""
+def containment(counts: DataFrame, references: DataFrame, k: int, most: int = 1_000_000) -> DataFrame:
+    """(ref_id, shared, total, score) of every reference; ``references`` has ref_id and seq.
+
+    References of ``most`` k-mers or fewer (counted first) go to the tasks; beyond
+    that both sides are shuffled by k-mer.
+    """
     distinct = kmer_rows(references, k, keep=["ref_id"], form="canonical").select("ref_id", "kmer").distinct()
+    if distinct.limit(most + 1).count() <= most:
+        distinct = F.broadcast(distinct)
     shared = distinct.join(counts, "kmer").groupBy("ref_id").agg(F.sum("n").alias("shared"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     out = references.select("ref_id").join(shared, "ref_id", "left").withColumn("total", total)
