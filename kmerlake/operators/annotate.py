@@ -60,14 +60,17 @@ def met_bins(start: Column, end: Column) -> Column:
     return F.concat(*each, F.array(_bin(_NO_LEVEL, F.lit(0))))
 
 
-def overlapping(hits: DataFrame, intervals: DataFrame, start: str = "start", end: str = "stop") -> DataFrame:
+def overlapping(hits: DataFrame, intervals: DataFrame, start: str = "start", end: str = "stop", most: int = 200_000) -> DataFrame:
     """Pairs of a hit's half-open stretch (``h_start``, ``h_end``) and an interval that overlap, each once.
 
     An equi-join on bins instead of a nested loop.  An interval is one row, however
     long: it lies in the smallest bin that holds it.  A hit looks into the bins it
-    touches, one a level if it is short; a long hit touches many small ones.
+    touches, one a level if it is short; a long hit touches many small ones.  Up to
+    ``most`` intervals (counted first) go to the tasks; the hits, each a row for every
+    bin, never do, whatever size their table is taken to have.
     """
     placed = intervals.withColumn("_bin", home_bin(F.col(start), F.col(end)))
+    placed = F.broadcast(placed) if intervals.limit(most + 1).count() <= most else placed.hint("merge")
     asked = hits.withColumn("_bin", F.explode(met_bins(F.col("h_start"), F.col("h_end"))))
     return asked.join(placed, "_bin").where((F.col("h_start") < F.col(end)) & (F.col("h_end") > F.col(start))).drop("_bin")
 
@@ -80,7 +83,9 @@ def first_gene(hits: DataFrame, genes: DataFrame, key: str) -> DataFrame:
 
 def best_feature(points: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """Each point (``h_start``) with the feature over it of best priority, then shortest, then first."""
-    met = overlapping(points, features).groupBy(key).agg(F.min(F.struct("priority", (F.col("stop") - F.col("start")).alias("span"), "start", "stop", "id")).alias("best"))
+    # Of features over one stretch only the best can win, so copies of it do not meet every point.
+    distinct = features.groupBy("start", "stop").agg(F.min(F.struct("priority", "id")).alias("_f")).select("start", "stop", "_f.priority", "_f.id")
+    met = overlapping(points, distinct).groupBy(key).agg(F.min(F.struct("priority", (F.col("stop") - F.col("start")).alias("span"), "start", "stop", "id")).alias("best"))
     return points.join(met, key, "left")
 
 

@@ -62,7 +62,7 @@ _VAR += "vp AS (SELECT *, CASE WHEN fw THEN pos0 ELSE 2048 - pos0 - rl END AS f1
 
 
 def _variants(spark: SparkSession, sf_dir: str, alt_len) -> DataFrame:
-    parts = X.table(spark, sf_dir, "part")
+    parts = X.spread(X.table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     pos0 = ((F.col("p_partkey") * 37) % 2000).cast("int")
     v = parts.select(F.col("p_partkey").alias("vid"), pos0.alias("h_start"), (1 + F.col("p_size") % 3).cast("int").alias("rl"), alt_len.cast("int").alias("al"))
     v = v.select("vid", "h_start", (F.col("h_start") + F.col("rl")).alias("h_end"), "rl", F.substring(F.lit("ACGTTGCA"), (1 + F.col("vid") % 5).cast("int"), F.col("al")).alias("alt"))
