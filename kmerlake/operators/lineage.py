@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kmerlake.operators.stage import written
+
 UNCLASSIFIED = "Unclassified"
 
 
@@ -70,7 +72,8 @@ def branches(counts: DataFrame, group: str) -> DataFrame:
     ``total`` adds the counts of all paths on the branch, ``specific`` those of
     paths that lie on no other branch.
     """
-    merged = counts.groupBy(group, "path").agg(F.sum("n").alias("n"))
+    # Read five times below; written, the hits behind the counts are found once.
+    merged = written(counts.groupBy(group, "path").agg(F.sum("n").alias("n")))
     longer = merged.select(group, F.col("path").alias("longer"))
     same = merged[group] == longer[group]
     tips = merged.join(longer, same & F.startswith(longer["longer"], F.concat(merged["path"], F.lit(";"))), "left_anti").select(group, F.col("path").alias("branch"))
