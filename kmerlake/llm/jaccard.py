@@ -10,11 +10,14 @@ How the work is spread
      copies are never compared or multiplied.
   2. Cutting the ordered sets of one size class at ``k`` fixed points gives ``k``
      segments.  Linked sets differ in at most ``d`` members, so with
-     ``k = d + m`` at least ``m`` segments agree member for member.  Sets that
-     agree on a segment meet in a block under their smallest fingerprint, the
-     block's pivot.  A segment without members is used only by sets that have
-     ``m`` such segments or more, because any other set must agree on a filled
-     one.
+     ``k = d + m`` at least ``m`` segments agree member for member.  So a set may
+     leave ``m - 1`` segments out, the last ones in an order that all sets share:
+     first those without members (a set that has ``m`` of these or more uses
+     them), then those that most sets agree on.  ``m`` is larger than the segments
+     without members need by a quarter of ``d``.  Texts that only have some
+     passages in common leave just these out and never meet.  Sets that agree on a
+     segment left in meet in a block under their smallest fingerprint, the block's
+     pivot.
   3. In a block the ordered sets go into a prefix tree.  Each set walks the tree
      and shares the overlap counted on a common path; a subtree is left when the
      members still to come cannot reach the needed overlap, when its sizes are
@@ -49,15 +52,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from kmerlake.llm.bytewords import SPACE, U64, Words, fingerprint, mix, pieces
 from kmerlake.llm.tables import bounded, cut, near, per_piece, runs, small
 
 _EMPTY = U64(0xA0761D6478BD642F)
+#: A class has so many times fewer segments to spare than linked sets may differ in.
+_SPARE = 4
+#: A set's segments to spare, below the number of the class, in one int.
+_SPARE_BITS = 24
+#: Sets under one key are counted up to here.
+_LONG = 1 << 16
+_KEY = np.dtype([("key", "<i8"), ("node", "<i8"), ("spare", "<i4")])
+_BIN_BITS = 12
 
 
 def size_classes(percent: int, largest: int) -> list[tuple[int, int, int]]:
@@ -67,8 +79,9 @@ def size_classes(percent: int, largest: int) -> list[tuple[int, int, int]]:
     while not out or low <= largest:
         high = max(low + 1, math.ceil(low * ratio))
         d = (high - 1) * (100 - percent) // percent
-        empties = (d + 1) * math.exp(-low / (d + 1))
-        m = 1 if empties < 0.05 else 1 + math.ceil(empties + 3 * math.sqrt(empties))
+        m = 1 + math.ceil(d / _SPARE)
+        empties = (d + m) * math.exp(-low / (d + m))
+        m += 0 if empties < 0.05 else math.ceil(empties + 3 * math.sqrt(empties))
         out.append((low, d + m, m))
         low = high
     return out
@@ -76,14 +89,24 @@ def size_classes(percent: int, largest: int) -> list[tuple[int, int, int]]:
 
 def segment_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of the segments under which each set can meet a linked set."""
+    return spared_keys(sets, percent)[:2]
+
+
+def spared_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, spare) of the segments under which each set can meet a linked set.
+
+    Of the keys of a row with the same ``spare`` (they are of one class) the last
+    ``spare & (1 << 24) - 1`` may go, in any order that is the same for all sets:
+    linked sets agree on one of the others.
+    """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     if not sizes.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
     classes = size_classes(percent, int(sizes.max()))
     lows, segments, needed = (np.array(x, dtype=np.int64) for x in zip(*classes))
     least = (sizes * percent + 99) // 100
     top, bottom = (np.searchsorted(lows, x, side="right") - 1 for x in (sizes, least))
-    rows, keys = [], []
+    rows, keys, spares = [], [], []
     for down in range(int((top - bottom)[sizes > 0].max()) + 1):
         use = np.flatnonzero((sizes > 0) & (top - down >= bottom))
         if not len(use):
@@ -104,9 +127,11 @@ def segment_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
         keep = filled | (gaps >= m)[who]
         number = np.arange(base[-1]) - base[who]
         salt = mix((level[who].astype(np.uint64) << U64(32)) + number.astype(np.uint64) + U64(1))
+        spare = np.clip(m - 1 - gaps, 0, (1 << _SPARE_BITS) - 1) | level << _SPARE_BITS
         rows.append(use[who[keep]])
         keys.append(mix(content + salt)[keep])
-    return np.concatenate(rows), np.concatenate(keys)
+        spares.append(spare[who[keep]].astype(np.int32))
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(spares)
 
 
 class PrefixTree:
@@ -246,11 +271,25 @@ def document_sets(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(per_piece(rows, schema), "doc_id long, n_shingles long, node long")
 
 
-def candidate_blocks(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, pivot): sets that agree on a segment, under the smallest of them."""
+def shared_keys(docs: DataFrame, width: int, percent: int, most: int = 1 << 22) -> DataFrame:
+    """(key, node, spare, n): the segments that several sets agree on, and how many do (up to 65,536), for each of these sets.
+
+    Keys travel packed, by bins of the key, and a bin is sorted alone; beyond
+    ``most`` rows of a bin the keys of very many sets leave it at once.
+    """
     of = _sets(width)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+            keys = np.concatenate(held)
+            bins = (keys["key"].view(np.uint64) >> U64(64 - _BIN_BITS)).astype(np.uint16)
+            order = np.argsort(bins, kind="stable")
+            there, n = np.unique(bins, return_counts=True)
+            at = np.append(0, np.cumsum(n)) * _KEY.itemsize
+            texts = pa.BinaryArray.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(keys[order].tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), texts], ["bin", "keys"])
+
+        held, size = [], 0
         for batch in batches:
             known: set[int] = set()  # copies in one batch are combined before the shuffle
             for piece in pieces(batch):
@@ -261,8 +300,64 @@ def candidate_blocks(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         fresh.append(s)
                         nodes.append(f)
                 if fresh:
-                    row, key = segment_keys(fresh, percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.array(nodes, np.int64)[row])], ["key", "node"])
+                    row, key, spare = spared_keys(fresh, percent)
+                    rows = np.empty(len(row), _KEY)
+                    rows["key"], rows["node"], rows["spare"] = key.view(np.int64), np.array(nodes, np.int64)[row], spare
+                    held.append(rows)
+                    size += len(rows)
+                    if size >= 1 << 20:
+                        yield packed(held)
+                        held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(rows), 1 << 18):
+                part = rows[i : i + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(part[c]) for c in _KEY.names), pa.array(n[i : i + (1 << 18)])], [*_KEY.names, "n"])
+
+        def by_key(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort((rows["node"], rows["key"]))]
+            rows = rows[np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["node"][1:] != rows["node"][:-1]))]
+            heads = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
+            size = np.diff(np.append(heads, len(rows)))
+            return rows, np.repeat(np.minimum(size, _LONG), size).astype(np.int32)
+
+        bin_, held, size, limit, long = None, [], 0, most, np.zeros(0, np.int64)
+        for batch in chain(batches, [None]):
+            for number, text in [(None, None)] if batch is None else zip(batch.column(0).to_pylist(), batch.column(1)):
+                if number != bin_ and held:
+                    rows, n = by_key(held)
+                    n = np.where(np.isin(rows["key"], long), np.int32(_LONG), n)
+                    yield from told(rows[n > 1], n[n > 1])
+                    held, size, limit, long = [], 0, most, long[:0]
+                bin_ = number
+                if number is None:
+                    break
+                held.append(np.frombuffer(text.as_buffer(), _KEY))
+                size += len(held[-1])
+                if size > limit:
+                    rows, n = by_key(held)
+                    n = np.where(np.isin(rows["key"], long), np.int32(_LONG), n)
+                    yield from told(rows[n == _LONG], n[n == _LONG])
+                    long = np.union1d(long, rows["key"][n == _LONG])
+                    held = [rows[n < _LONG], rows[:0]]
+                    size = len(held[0])
+                    limit = max(most, 2 * size)
+
+    keys = docs.select("text").mapInArrow(emit, "bin int, keys binary")
+    dealt = keys.repartition("bin").sortWithinPartitions("bin")
+    return dealt.mapInArrow(count, "key long, node long, spare int, n int")
+
+
+def candidate_blocks(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, pivot): sets that agree on a segment, under the smallest of them.
+
+    A set leaves its most frequent segments out, as many as it has to spare, so
+    texts that only have some passages in common do not meet.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, pivot = None, 0
@@ -279,8 +374,9 @@ def candidate_blocks(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 pairs = np.unique(np.stack([node[met], own[met]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["node", "pivot"])
 
-    keys = docs.select("text").mapInArrow(emit, "key long, node long")
-    dealt = keys.repartition("key").sortWithinPartitions("key", "node")
+    place = F.row_number().over(W.partitionBy("node", "spare").orderBy(F.desc("n"), F.desc("key")))
+    asked = cut(shared_keys(docs, width, percent)).withColumn("place", place).where(F.col("place") > F.col("spare").bitwiseAND((1 << _SPARE_BITS) - 1))
+    dealt = asked.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(meet, "node long, pivot long").distinct()
 
 
